@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from chatlens.plans import activity, kpis, tools  # noqa: E402
+import datetime as dt  # noqa: E402
+
+from chatlens.plans import (activity, conversations, kpis, messages,  # noqa: E402
+                            tools, users)
 from chatlens.sources.fixtures import FIXTURE_AS_OF, from_testdata  # noqa: E402
 import oracle  # noqa: E402
 
@@ -39,7 +42,33 @@ def _q(fn: Callable[..., DataFrame], needs_spark: bool = False, **params):
     return run
 
 
+# Parameters of the registered list queries, shared with the oracle texts.
+CASES = {
+    "users_search": {"search": "MACHINERY 1"},
+    "conversations_filtered": {
+        "filters": {"date_from": dt.date(2024, 1, 5), "date_to": dt.date(2024, 1, 20),
+                    "has_error": True, "search": "building"},
+        "limit": 50, "offset": 0},
+    "conversations_no_errors": {
+        "filters": {"has_error": False}, "limit": 200, "offset": 10},
+    "messages_filtered": {
+        "filters": {"role": "assistant", "has_error": False, "search": "click",
+                    "date_from": dt.date(2024, 1, 10), "date_to": dt.date(2024, 1, 20)},
+        "limit": 100, "offset": 20},
+    "errors_filtered": {
+        "filters": {"search": "error%3}", "date_from": dt.date(2024, 1, 3)},
+        "limit": 200, "offset": 5},
+    "conversation_search": {"query": "ch", "role": "assistant"},
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    cf = CASES["conversations_filtered"]
+    cne = CASES["conversations_no_errors"]
+    mf = CASES["messages_filtered"]
+    ef = CASES["errors_filtered"]
+    cs = CASES["conversation_search"]
+    us = CASES["users_search"]["search"]
     return {
         "activity_hourly": _q(activity.activity_hourly, True, as_of=AS_OF),
         "activity_daily": _q(activity.activity_daily, True, as_of=AS_OF),
@@ -47,8 +76,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "table_health": _q(kpis.table_health, as_of=AS_OF),
         "top_tools": _q(tools.top_tools, as_of=AS_OF),
         "top_tools_ranked": _q(tools.top_tools_ranked, as_of=AS_OF),
+        "users_page": _q(users.users_list),
+        "users_total": _q(users.users_total),
+        "users_page_search": _q(users.users_list, search=us),
+        "users_total_search": _q(users.users_total, search=us),
+        "user_detail": _q(users.user_detail),
+        "user_conversations": _q(users.user_conversations, paged=False),
+        "user_conversations_page": _q(users.user_conversations),
+        "conversations_page": _q(conversations.conversations_list),
+        "conversations_total": _q(conversations.conversations_total),
+        "conversations_page_filtered": _q(
+            conversations.conversations_list, limit=cf["limit"], offset=cf["offset"],
+            **cf["filters"]),
+        "conversations_total_filtered": _q(conversations.conversations_total,
+                                           **cf["filters"]),
+        "conversations_page_no_errors": _q(
+            conversations.conversations_list, limit=cne["limit"], offset=cne["offset"],
+            **cne["filters"]),
+        "conversations_total_no_errors": _q(conversations.conversations_total,
+                                            **cne["filters"]),
+        "conversation_detail": _q(conversations.conversation_detail),
+        "conversation_messages": _q(conversations.conversation_messages,
+                                    query=cs["query"]),
+        "conversation_match_counts": _q(conversations.conversation_match_counts,
+                                        query=cs["query"], role=cs["role"]),
+        "messages_page": _q(messages.messages_list),
+        "messages_total": _q(messages.messages_total),
+        "messages_page_filtered": _q(messages.messages_list, limit=mf["limit"],
+                                     offset=mf["offset"], **mf["filters"]),
+        "messages_total_filtered": _q(messages.messages_total, **mf["filters"]),
+        "errors_page": _q(messages.errors_list),
+        "errors_total": _q(messages.errors_total),
+        "errors_page_filtered": _q(messages.errors_list, limit=ef["limit"],
+                                   offset=ef["offset"], **ef["filters"]),
+        "errors_total_filtered": _q(messages.errors_total, **ef["filters"]),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    return oracle.oracle_sql(CASES)
