@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import datetime as dt  # noqa: E402
 
 from chatlens.plans import (activity, conversations, kpis, messages,  # noqa: E402
-                            tools, users)
+                            tools, users, views)
 from chatlens.sources.fixtures import FIXTURE_AS_OF, from_testdata  # noqa: E402
 import oracle  # noqa: E402
 
@@ -59,9 +59,20 @@ CASES = {
         "filters": {"search": "error%3}", "date_from": dt.date(2024, 1, 3)},
         "limit": 200, "offset": 5},
     "conversation_search": {"query": "ch", "role": "assistant"},
+    "users_page_facts": {"search": "MACHINERY 1", "limit": 50, "offset": 100},
 }
 
 
+def _view(view: Callable[..., DataFrame], report: Callable[..., DataFrame],
+          report_params: dict | None = None, needs_spark: bool = False, **view_params):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = from_testdata(spark, sf_dir)
+        args = (spark, tables) if needs_spark else (tables,)
+        return view(report(*args, **(report_params or {})), **view_params)
+    run.__name__ = view.__name__
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     cf = CASES["conversations_filtered"]
     cne = CASES["conversations_no_errors"]
@@ -110,6 +121,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "errors_page_filtered": _q(messages.errors_list, limit=ef["limit"],
                                    offset=ef["offset"], **ef["filters"]),
         "errors_total_filtered": _q(messages.errors_total, **ef["filters"]),
+        "dashboard_cards": _view(views.dashboard_cards, kpis.kpi_stats,
+                                 {"as_of": AS_OF}, as_of=AS_OF),
+        "conversations_page_view": _view(views.conversations_view,
+                                         conversations.conversations_list,
+                                         as_of=AS_OF, lang="de"),
+        "conversation_header": _view(views.conversation_header,
+                                     conversations.conversation_detail),
+        "users_page_view": _view(views.users_view, users.users_list),
+        "errors_page_view": _view(views.errors_view, messages.errors_list),
+        "activity_hourly_view": _view(views.activity_view, activity.activity_hourly,
+                                      {"as_of": AS_OF}, needs_spark=True),
+        "users_page_facts": _view(views.list_page_facts, users.users_total,
+                                  {"search": CASES["users_page_facts"]["search"]},
+                                  limit=CASES["users_page_facts"]["limit"],
+                                  offset=CASES["users_page_facts"]["offset"]),
     }
 
 

@@ -320,4 +320,92 @@ def oracle_sql(cases: dict) -> dict[str, str]:
         "errors_page_filtered": _messages(
             limit=err_f["limit"], offset=err_f["offset"], has_error=True, **err_f["filters"]),
         "errors_total_filtered": _messages_total(has_error=True, **err_f["filters"]),
+        **label_views(cases),
+    }
+
+
+# --------------------------------------------------------------- labels ----
+WORDS = {
+    "en": ("just now", "", " minutes ago", "", " hours ago", "yesterday", "", " days ago"),
+    "de": ("gerade eben", "vor ", " Minuten", "vor ", " Stunden", "gestern", "vor ", " Tagen"),
+}
+
+
+def _mins(start: str, end: str) -> str:
+    return f"CAST(floor(date_diff('microsecond', {start}, {end}) / 60000000) AS BIGINT)"
+
+
+def _relative(ts: str, lang: str, yesterday: bool, null_text: str | None = None) -> str:
+    now, m_pre, m_post, h_pre, h_post, yday, d_pre, d_post = WORDS[lang]
+    mins = _mins(ts, AS_OF)
+    hours = f"CAST(floor({mins} / 60) AS BIGINT)"
+    days = f"CAST(floor({hours} / 24) AS BIGINT)"
+    parts = [f"WHEN {mins} < 1 THEN '{now}'",
+             f"WHEN {mins} < 60 THEN '{m_pre}' || CAST({mins} AS VARCHAR) || '{m_post}'",
+             f"WHEN {hours} < 24 THEN '{h_pre}' || CAST({hours} AS VARCHAR) || '{h_post}'"]
+    if yesterday:
+        parts.append(f"WHEN {days} = 1 THEN '{yday}'")
+    body = f"CASE {' '.join(parts)} ELSE '{d_pre}' || CAST({days} AS VARCHAR) || '{d_post}' END"
+    if null_text is not None:
+        body = f"CASE WHEN {ts} IS NULL THEN '{null_text}' ELSE {body} END"
+    return body
+
+
+def _latency(ms: str) -> str:
+    tenths = f"CAST(floor(({ms} + 50) / 100) AS BIGINT)"
+    return (f"CASE WHEN {ms} < 1000 THEN CAST({ms} AS VARCHAR) || 'ms' ELSE "
+            f"CAST(CAST(floor({tenths} / 10) AS BIGINT) AS VARCHAR) || '.' || "
+            f"CAST({tenths} % 10 AS VARCHAR) || 's' END")
+
+
+def _duration(start: str, end: str) -> str:
+    m = _mins(start, end)
+    return (f"CASE WHEN {m} < 1 THEN '< 1 min' WHEN {m} < 60 THEN CAST({m} AS VARCHAR) || ' min' "
+            f"ELSE CAST(CAST(floor({m} / 60) AS BIGINT) AS VARCHAR) || 'h ' || CAST({m} % 60 AS VARCHAR) || 'm' END")
+
+
+def _fallback(*cols_and_default: str) -> str:
+    *cols, default = cols_and_default
+    return "COALESCE(" + ", ".join(f"NULLIF({c}, '')" for c in cols) + f", '{default}')"
+
+
+def _wrap(base: str, labels: str) -> str:
+    return f"SELECT *, {labels} FROM ({base}) b"
+
+
+def label_views(cases: dict) -> dict[str, str]:
+    facts = cases["users_page_facts"]
+    return {
+        "dashboard_cards": _wrap(KPI_STATS, ", ".join([
+            _relative("b.last_message_at", "en", False, "—") + " AS last_activity_label",
+            _latency("b.avg_response_time_ms_7d") + " AS avg_response_label",
+            _latency("b.p95_response_time_ms_7d") + " AS p95_response_label",
+            "CASE WHEN b.errors_24h > 0 THEN 'error' ELSE 'success' END AS errors_status"])),
+        "conversations_page_view": _wrap(_conversations(), ", ".join([
+            _fallback("b.display_name", "Unknown") + " AS user_label",
+            "CASE WHEN b.avg_assistant_response_time_ms > 0 THEN "
+            "CAST(b.avg_assistant_response_time_ms AS VARCHAR) || 'ms' ELSE '—' END AS avg_response_label",
+            _duration("b.started_at", "b.last_message_at") + " AS duration_label",
+            _relative("b.last_message_at", "de", True) + " AS last_message_label"])),
+        "conversation_header": _wrap(CONVERSATION_DETAIL,
+                                     _fallback("b.display_name", "b.email", "Unknown User")
+                                     + " AS user_label"),
+        "users_page_view": _wrap(_users(None, True), ", ".join([
+            _fallback("b.display_name", "—") + " AS name_label",
+            _fallback("b.email", "—") + " AS email_label",
+            "CASE WHEN b.error_count > 0 THEN 'error' ELSE 'success' END AS error_badge"])),
+        "errors_page_view": _wrap(_messages(limit=50, has_error=True), ", ".join([
+            _fallback("b.display_name", "—") + " AS user_label",
+            "substring(b.content, 1, 100) || '...' AS content_preview"])),
+        "activity_hourly_view": _wrap(_activity("hour", 24, "24 HOUR"),
+                                      "strftime(b.bucket, '%H:%M') AS hour_label"),
+        "users_page_facts": f"""SELECT total, CAST({facts['limit']} AS INTEGER) AS "limit",
+  CAST({facts['offset']} AS INTEGER) AS "offset",
+  CAST(floor({facts['offset']} / {facts['limit']}) + 1 AS BIGINT) AS current_page,
+  CAST(ceil(total / {facts['limit']}) AS BIGINT) AS total_pages,
+  CAST({facts['offset']} + 1 AS BIGINT) AS first_row,
+  CAST(least({facts['offset']} + {facts['limit']}, total) AS BIGINT) AS last_row,
+  {facts['offset']} > 0 AS has_previous,
+  {facts['offset']} + {facts['limit']} < total AS has_next
+FROM ({_users_total(facts['search'])}) b""",
     }
