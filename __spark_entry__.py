@@ -20,6 +20,8 @@ import datetime as dt  # noqa: E402
 
 from chatlens.plans import (activity, conversations, kpis, messages,  # noqa: E402
                             tools, users, views)
+from chatlens.functions.timefns import ntz  # noqa: E402
+from chatlens.operators import integrity  # noqa: E402
 from chatlens.sources.fixtures import FIXTURE_AS_OF, from_testdata  # noqa: E402
 import oracle  # noqa: E402
 
@@ -60,9 +62,18 @@ CASES = {
         "limit": 200, "offset": 5},
     "conversation_search": {"query": "ch", "role": "assistant"},
     "users_page_facts": {"search": "MACHINERY 1", "limit": 50, "offset": 100},
+    "cascade": {"started_before": dt.date(2024, 1, 10)},
 }
 
 
+def _cascade_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = from_testdata(spark, sf_dir)
+    before = CASES["cascade"]["started_before"]
+    deleted = tables.conversations.filter(
+        tables.conversations["started_at"] < ntz(before))
+    return integrity.cascade_delete(tables, deleted).messages
+
+
 def _view(view: Callable[..., DataFrame], report: Callable[..., DataFrame],
           report_params: dict | None = None, needs_spark: bool = False, **view_params):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +147,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                   {"search": CASES["users_page_facts"]["search"]},
                                   limit=CASES["users_page_facts"]["limit"],
                                   offset=CASES["users_page_facts"]["offset"]),
+        "dq_duplicate_keys": _q(integrity.duplicate_keys),
+        "dq_duplicate_key_summary": _q(integrity.duplicate_key_summary),
+        "dq_required_nulls": _q(integrity.required_nulls),
+        "dq_orphans": _q(integrity.orphan_summary),
+        "dq_cascade_messages": _cascade_messages,
+        "dq_counter_audit": _q(integrity.counter_audit),
     }
 
 

@@ -321,6 +321,7 @@ def oracle_sql(cases: dict) -> dict[str, str]:
             limit=err_f["limit"], offset=err_f["offset"], has_error=True, **err_f["filters"]),
         "errors_total_filtered": _messages_total(has_error=True, **err_f["filters"]),
         **label_views(cases),
+        **quality_checks(cases),
     }
 
 
@@ -409,3 +410,62 @@ def label_views(cases: dict) -> dict[str, str]:
   {facts['offset']} + {facts['limit']} < total AS has_next
 FROM ({_users_total(facts['search'])}) b""",
     }
+
+
+# -------------------------------------------------------------- quality ----
+_UNIQUE = (("users", "u_", "id"), ("users", "u_", "ms_user_id"),
+           ("conversations", "c_", "id"), ("conversations", "c_", "thread_id"),
+           ("messages", "m_", "id"))
+_REQUIRED = (("users", "u_", ("id", "ms_user_id")),
+             ("conversations", "c_", ("id", "thread_id")),
+             ("messages", "m_", ("id", "role", "content")))
+
+DQ_DUPLICATE_KEYS = _with() + "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{k}' AS key_column, CAST({k} AS VARCHAR) AS key_value, "
+    f"COUNT(*) AS occurrences FROM {cte} WHERE {k} IS NOT NULL GROUP BY {k} HAVING COUNT(*) > 1"
+    for t, cte, k in _UNIQUE)
+
+DQ_DUPLICATE_SUMMARY = _with() + "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{k}' AS key_column, COUNT(*) AS distinct_keys, "
+    f"COUNT(*) FILTER (WHERE n > 1) AS duplicated_keys, CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS extra_rows "
+    f"FROM (SELECT {k}, COUNT(*) AS n FROM {cte} WHERE {k} IS NOT NULL GROUP BY {k}) g"
+    for t, cte, k in _UNIQUE)
+
+DQ_REQUIRED_NULLS = _with() + "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS null_rows FROM {cte}"
+    for t, cte, cols in _REQUIRED for c in cols)
+
+DQ_ORPHANS = _with() + """SELECT 'conversations.user_id' AS foreign_key, COUNT(*) AS orphan_rows
+FROM c_ c WHERE c.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM u_ u WHERE u.id = c.user_id)
+UNION ALL
+SELECT 'messages.conversation_id' AS foreign_key, COUNT(*) AS orphan_rows
+FROM m_ m WHERE m.conversation_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c_ c WHERE c.id = m.conversation_id)"""
+
+
+def _cascade(before: str) -> str:
+    return _with() + f"""SELECT m.* FROM m_ m WHERE NOT EXISTS (
+  SELECT 1 FROM c_ c WHERE c.id = m.conversation_id AND c.started_at < TIMESTAMP '{before} 00:00:00')"""
+
+
+DQ_COUNTER_AUDIT = _with() + """SELECT * FROM (
+  SELECT c.id, c.message_count AS stored_message_count,
+    CAST(COALESCE(ms.total_messages, 0) AS BIGINT) AS counted_messages,
+    c.last_message_at AS stored_last_message_at,
+    ms.last_message_at AS recomputed_last_message_at,
+    c.message_count IS DISTINCT FROM CAST(COALESCE(ms.total_messages, 0) AS BIGINT) AS count_mismatch,
+    c.last_message_at IS DISTINCT FROM ms.last_message_at AS last_message_mismatch
+  FROM c_ c LEFT JOIN (
+    SELECT conversation_id, COUNT(*) AS total_messages, MAX(timestamp) AS last_message_at
+    FROM m_ GROUP BY conversation_id) ms ON ms.conversation_id = c.id) a
+WHERE count_mismatch OR last_message_mismatch"""
+
+
+def quality_checks(cases: dict) -> dict[str, str]:
+    return {
+        "dq_duplicate_keys": DQ_DUPLICATE_KEYS,
+        "dq_duplicate_key_summary": DQ_DUPLICATE_SUMMARY,
+        "dq_required_nulls": DQ_REQUIRED_NULLS,
+        "dq_orphans": DQ_ORPHANS,
+        "dq_cascade_messages": _cascade(cases["cascade"]["started_before"]),
+        "dq_counter_audit": DQ_COUNTER_AUDIT,
+    }
