@@ -118,8 +118,8 @@ def start_rollup_sink(upserts: DataFrame, path: str, name: str = "conversation_r
     spark = upserts.sparkSession
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
+        # the folder name carries the batch id (read back as a partition column)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = (upserts.writeStream.outputMode("update").foreachBatch(write_batch)
               .option("checkpointLocation", _checkpoint(spark, name, checkpoint)))
