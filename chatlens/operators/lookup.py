@@ -12,6 +12,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _checkpoint_folder_ready(spark) -> bool:
+    """True when reliable checkpoints can be written (the session's folder)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session without a SparkContext
+        return False
+    if sc.getCheckpointDir():
+        return True
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        sc.setCheckpointDir(folder)
+        return True
+    return False
+
+
+def materialize_bounded(df: DataFrame) -> DataFrame:
+    """Compute a bounded result (a page, or rows 1:1 with a page) once.
+
+    A page feeds several branches (its own rows and the key sets of each
+    lookup); without this every branch would recompute it, i.e. scan the big
+    table again. With a checkpoint folder configured (the cluster's shared
+    ``spark.checkpoint.dir``) the rows are written there and the lineage is
+    cut, so a lost executor does not re-trigger the scan; otherwise the rows
+    are cached (recomputed from lineage if lost).
+    """
+    if _checkpoint_folder_ready(df.sparkSession):
+        return df.checkpoint(eager=True)
+    return df.cache()
+
+
+# Largest key set broadcast as a semi-join filter after a runtime count.
+BROADCAST_KEY_LIMIT = 1_000_000
+
+
+def restrict_to_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str,
+                     limit: int = BROADCAST_KEY_LIMIT) -> DataFrame:
+    """``big`` cut to rows whose key is in ``keys`` when that set is provably
+    small, else ``big`` unchanged (callers only use this to prune rows that a
+    later join would drop anyway).
+
+    ``keys`` is materialized once and counted: the count is the proven size
+    bound that makes broadcasting it safe. Above ``limit`` the caller's plan
+    (aggregate first, then join) is kept as it is.
+    """
+    k = materialize_bounded(keys.select(F.col(key).alias("_k"))
+                            .filter(F.col("_k").isNotNull()).distinct())
+    if k.count() > limit:
+        return big
+    return big.join(F.broadcast(k), big[big_key] == F.col("_k"), "left_semi")
+
+
 def rows_with_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``big`` whose ``big_key`` is among ``keys[key]``.
 

@@ -57,6 +57,12 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return ordered.limit(limit)
 
 
+def order_bounded(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Order a result already cut to one page (at most a few hundred rows):
+    one partition sorted locally, no range-partitioning sample job."""
+    return df.coalesce(1).sortWithinPartitions(*order)
+
+
 def total(df: DataFrame, name: str = "total") -> DataFrame:
     """The filtered row count as a one-row DataFrame."""
     return df.agg(F.count(F.lit(1)).alias(name))

@@ -36,4 +36,5 @@ def gap_fill(spine: DataFrame, counts: DataFrame, key: str = "bucket",
     joined = spine.join(F.broadcast(counts), on=key, how="left")
     cols = [F.col(key)] + [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                            for c in fill]
-    return joined.select(cols).orderBy(key)
+    # at most one row per spine bucket: sort it in one partition
+    return joined.select(cols).coalesce(1).sortWithinPartitions(key)

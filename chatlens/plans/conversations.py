@@ -18,9 +18,11 @@ from chatlens.functions.predicates import (all_of, count_tristate, date_range,
                                            ilike_any, in_conversation_match,
                                            key_equals, role_selector,
                                            truthy_error)
-from chatlens.operators.lookup import rows_with_keys, user_columns
+from chatlens.operators.lookup import (materialize_bounded, rows_with_keys,
+                                       user_columns)
 from chatlens.operators.paging import (CONVERSATIONS_PAGE, check_page,
-                                       newest_first, oldest_first, page, total)
+                                       newest_first, oldest_first, order_bounded,
+                                       page, total)
 from chatlens.operators.rollups import (DETAIL_COLUMNS, LIST_COLUMNS,
                                         conversation_rollup)
 from chatlens.schema import CONVERSATION_COLUMNS, MESSAGE_COLUMNS
@@ -66,9 +68,9 @@ def conversations_list(tables: ChatTables, user_id: int | None = None,
     order = newest_first("last_message_at")
     cand = _candidates(tables, user_id, search, date_from, date_to)
     if has_error is None:
-        pg = page(cand, order, n, offset)
+        pg = materialize_bounded(page(cand, order, n, offset))
         msgs = rows_with_keys(tables.messages, "conversation_id", pg, "id")
-        return _list_columns(pg, conversation_rollup(msgs, LIST_COLUMNS)).orderBy(*order)
+        return order_bounded(_list_columns(pg, conversation_rollup(msgs, LIST_COLUMNS)), order)
     rows = _list_columns(cand, conversation_rollup(tables.messages, LIST_COLUMNS))
     rows = rows.filter(count_tristate("error_count", has_error))
     return page(rows, order, n, offset)

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from chatlens.functions.predicates import (all_of, date_range, ilike_any,
                                            key_equals, null_tristate,
                                            role_equals)
-from chatlens.operators.lookup import rows_with_keys, user_columns
+from chatlens.operators.lookup import (materialize_bounded, rows_with_keys,
+                                       user_columns)
 from chatlens.operators.paging import (ERRORS_PAGE, MESSAGES_PAGE, PageBounds,
-                                       check_page, newest_first, page, total)
+                                       check_page, newest_first, order_bounded,
+                                       page, total)
 from chatlens.schema import MESSAGE_COLUMNS
 from chatlens.sources.tables import ChatTables
 
@@ -37,8 +39,10 @@ def _filtered(tables: ChatTables, conversation_id, role, has_error, search,
 
 
 def _with_users(tables: ChatTables, pg: DataFrame) -> DataFrame:
-    convs = rows_with_keys(tables.conversations, "id", pg, "conversation_id") \
-        .select(F.col("id").alias("_cid"), F.col("user_id").alias("_cuid"))
+    """Attach user columns to a page (``pg`` already materialized)."""
+    convs = materialize_bounded(
+        rows_with_keys(tables.conversations, "id", pg, "conversation_id")
+        .select(F.col("id").alias("_cid"), F.col("user_id").alias("_cuid")))
     users = user_columns(rows_with_keys(tables.users, "id", convs, "_cuid"))
     out = (pg.join(F.broadcast(convs), pg["conversation_id"] == convs["_cid"], "left")
            .join(F.broadcast(users), F.col("_cuid") == users["_uid"], "left"))
@@ -53,9 +57,10 @@ def messages_list(tables: ChatTables, conversation_id: int | None = None,
     """R9 page, newest first (NULL timestamps first), with user columns."""
     n = check_page(limit, offset, bounds)
     order = newest_first("timestamp")
-    pg = page(_filtered(tables, conversation_id, role, has_error, search,
-                        date_from, date_to).select(*MESSAGE_COLUMNS), order, n, offset)
-    return _with_users(tables, pg).orderBy(*order)
+    pg = materialize_bounded(page(
+        _filtered(tables, conversation_id, role, has_error, search, date_from, date_to)
+        .select(*MESSAGE_COLUMNS), order, n, offset))
+    return order_bounded(_with_users(tables, pg), order)
 
 
 def messages_total(tables: ChatTables, conversation_id: int | None = None,

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from chatlens.functions.coercion import zero_if_null
 from chatlens.functions.predicates import all_of, ilike_any, key_equals
-from chatlens.operators.lookup import rows_with_keys
+from chatlens.operators.lookup import (materialize_bounded, restrict_to_keys,
+                                       rows_with_keys)
 from chatlens.operators.paging import (USER_CONVERSATIONS_PAGE, USERS_PAGE,
-                                       check_page, newest_first, page, total)
+                                       check_page, newest_first, order_bounded,
+                                       page, total)
 from chatlens.operators.rollups import conversation_rollup, with_user_rollup
 from chatlens.schema import CONVERSATION_COLUMNS, USER_COLUMNS
 from chatlens.sources.tables import ChatTables
@@ -31,9 +33,10 @@ def users_list(tables: ChatTables, search: str | None = None,
     """
     n = check_page(limit, offset, USERS_PAGE)
     order = newest_first("last_active")
-    pg = page(_searched_users(tables, search), order, n, offset)
-    convs = rows_with_keys(tables.conversations, "user_id", pg, "id")
-    return with_user_rollup(pg, convs, tables.messages).orderBy(*order)
+    pg = materialize_bounded(page(_searched_users(tables, search), order, n, offset))
+    convs = materialize_bounded(rows_with_keys(tables.conversations, "user_id", pg, "id"))
+    msgs = restrict_to_keys(tables.messages, "conversation_id", convs, "id")
+    return order_bounded(with_user_rollup(pg, convs, msgs), order)
 
 
 def users_total(tables: ChatTables, search: str | None = None) -> DataFrame:
@@ -45,7 +48,11 @@ def user_detail(tables: ChatTables, user_id: int | None = None) -> DataFrame:
     """Users.* + rollup for one user (empty = not found), or for all."""
     users = tables.users.filter(all_of(key_equals("id", user_id)))
     convs = tables.conversations.filter(all_of(key_equals("user_id", user_id)))
-    return with_user_rollup(users, convs, tables.messages).select(
+    msgs = tables.messages
+    if user_id is not None:
+        convs = materialize_bounded(convs)
+        msgs = restrict_to_keys(msgs, "conversation_id", convs, "id")
+    return with_user_rollup(users, convs, msgs).select(
         *USER_COLUMNS, *ROLLUP_COLUMNS)
 
 
@@ -64,7 +71,7 @@ def user_conversations(tables: ChatTables, user_id: int | None = None,
     if paged:
         n = check_page(limit, offset, USER_CONVERSATIONS_PAGE)
         order = newest_first("last_message_at")
-        convs = page(convs, order, n, offset)
+        convs = materialize_bounded(page(convs, order, n, offset))
         msgs = rows_with_keys(tables.messages, "conversation_id", convs, "id")
     else:
         order = None
@@ -73,4 +80,4 @@ def user_conversations(tables: ChatTables, user_id: int | None = None,
     out = (convs.join(roll, convs["id"] == roll["conversation_id"], "left")
            .select(*[convs[c] for c in CONVERSATION_COLUMNS],
                    *[zero_if_null(roll[c]).cast("long").alias(c) for c in cols]))
-    return out.orderBy(*order) if order else out
+    return order_bounded(out, order) if order else out
