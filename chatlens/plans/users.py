@@ -34,7 +34,9 @@ def users_list(tables: ChatTables, search: str | None = None,
     n = check_page(limit, offset, USERS_PAGE)
     order = newest_first("last_active")
     pg = materialize_bounded(page(_searched_users(tables, search), order, n, offset))
-    convs = materialize_bounded(rows_with_keys(tables.conversations, "user_id", pg, "id"))
+    # the page's users may own any number of conversations: not materialized,
+    # read twice through a broadcast filter on the page's user ids instead
+    convs = rows_with_keys(tables.conversations, "user_id", pg, "id")
     msgs = restrict_to_keys(tables.messages, "conversation_id", convs, "id")
     return order_bounded(with_user_rollup(pg, convs, msgs), order)
 
@@ -50,7 +52,6 @@ def user_detail(tables: ChatTables, user_id: int | None = None) -> DataFrame:
     convs = tables.conversations.filter(all_of(key_equals("user_id", user_id)))
     msgs = tables.messages
     if user_id is not None:
-        convs = materialize_bounded(convs)
         msgs = restrict_to_keys(msgs, "conversation_id", convs, "id")
     return with_user_rollup(users, convs, msgs).select(
         *USER_COLUMNS, *ROLLUP_COLUMNS)
