@@ -22,10 +22,13 @@ from chatlens.plans import (activity, conversations, kpis, messages,  # noqa: E4
                             tools, users, views)
 from chatlens.functions.timefns import ntz  # noqa: E402
 from chatlens.operators import integrity  # noqa: E402
+from chatlens.session import ensure_checkpoint_dir  # noqa: E402
+from chatlens.streaming import replay  # noqa: E402
 from chatlens.sources.fixtures import FIXTURE_AS_OF, from_testdata  # noqa: E402
 import oracle  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
+LOCAL_CHECKPOINTS = "/tmp/chatlens-checkpoints"
 AS_OF = FIXTURE_AS_OF
 
 
@@ -84,6 +87,16 @@ def _view(view: Callable[..., DataFrame], report: Callable[..., DataFrame],
     return run
 
 
+def _stream(job: Callable[..., DataFrame]):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # the session's shared checkpoint folder is used; a local one is set
+        # only when the (test) session names none
+        ensure_checkpoint_dir(spark, LOCAL_CHECKPOINTS)
+        return job(spark, from_testdata(spark, sf_dir).messages)
+    run.__name__ = job.__name__
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     cf = CASES["conversations_filtered"]
     cne = CASES["conversations_no_errors"]
@@ -153,6 +166,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dq_orphans": _q(integrity.orphan_summary),
         "dq_cascade_messages": _cascade_messages,
         "dq_counter_audit": _q(integrity.counter_audit),
+        "stream_activity_buckets": _stream(replay.replay_activity_buckets),
+        "stream_tool_buckets": _stream(replay.replay_tool_buckets),
+        "stream_conversation_rollup": _stream(replay.replay_conversation_rollup),
+        "stream_dedup_messages": _stream(replay.replay_dedup),
     }
 
 
