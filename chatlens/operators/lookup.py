@@ -1,17 +1,37 @@
 """Joins of a bounded page back to the big tables.
 
 A page has at most ``limit`` rows (checked by ``check_page``), so its keys are
-a proven-small set: they are broadcast and used as a semi-join filter on the
-big table's scan. The big table is then read once with no shuffle, and only
-the matching rows (one per key for a primary key) meet the page.
+a proven-small set. Pages are cut in two phases: a top-k over the narrow key
+and sort columns only (each task ships ``offset + limit`` small tuples to the
+final merge, not whole rows with their text), whose at most ``limit`` keys
+come back to the driver; then those keys become literal ``IN`` predicates
+that reach the parquet scans (row-group statistics, day folders) of the big
+tables to fetch the page's own rows and its parents' rows. Key sets that are
+not bounded by a page go through ``restrict_to_keys``, which proves a size
+bound at run time before broadcasting.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def collect_page_keys(df: DataFrame, order: list, limit: int, offset: int,
+                      columns: list[str]) -> list:
+    """Phase 1: the key columns of one ordered page (at most ``limit`` rows)."""
+    ordered = df.select(*columns).orderBy(*order)
+    if offset:
+        ordered = ordered.offset(offset)
+    return ordered.limit(limit).collect()
+
+
+def key_in(col: str, values) -> Column:
+    """Phase 2: ``col IN (values)`` for a page's keys (false when empty)."""
+    vals = sorted({v for v in values if v is not None})
+    return F.col(col).isin(vals) if vals else F.lit(False)
+
+
 def _checkpoint_folder_ready(spark) -> bool:
     """True when reliable checkpoints can be written (the session's folder)."""
     try:

@@ -18,11 +18,10 @@ from chatlens.functions.predicates import (all_of, count_tristate, date_range,
                                            ilike_any, in_conversation_match,
                                            key_equals, role_selector,
                                            truthy_error)
-from chatlens.operators.lookup import (materialize_bounded, rows_with_keys,
-                                       user_columns)
+from chatlens.operators.lookup import collect_page_keys, key_in, user_columns
 from chatlens.operators.paging import (CONVERSATIONS_PAGE, check_page,
                                        newest_first, oldest_first, order_bounded,
-                                       page, total)
+                                       total)
 from chatlens.operators.rollups import (DETAIL_COLUMNS, LIST_COLUMNS,
                                         conversation_rollup)
 from chatlens.schema import CONVERSATION_COLUMNS, MESSAGE_COLUMNS
@@ -31,22 +30,36 @@ from chatlens.sources.tables import ChatTables
 USER_VIEW_COLUMNS = ["display_name", "email", "ms_user_id"]
 
 
-def _candidates(tables: ChatTables, user_id: int | None, search: str | None,
-                date_from: dt.date | None, date_to: dt.date | None) -> DataFrame:
-    """c.* + user columns after the conversation-level filters."""
+def _filtered_conversations(tables: ChatTables, user_id: int | None, search: str | None,
+                            date_from: dt.date | None, date_to: dt.date | None) -> DataFrame:
+    """Conversations passing the conversation-level filters (c.* only).
+
+    Users are joined only for a search; the search predicate rejects rows
+    without a user, so that join is an inner join against the (usually
+    small) set of matching users.
+    """
     c = tables.conversations.filter(all_of(
         key_equals("user_id", user_id),
         date_range("started_at", date_from, date_to)))
-    u = user_columns(tables.users)
-    joined = c.join(u, c["user_id"] == u["_uid"], "left")
-    joined = joined.filter(all_of(ilike_any(USER_VIEW_COLUMNS, search)))
-    return joined.select(*[c[x] for x in CONVERSATION_COLUMNS], *USER_VIEW_COLUMNS)
-
-
-def _list_columns(df: DataFrame, roll: DataFrame) -> DataFrame:
-    out = df.join(roll, df["id"] == roll["conversation_id"], "left")
-    return out.select(
-        *[df[c] for c in CONVERSATION_COLUMNS + USER_VIEW_COLUMNS],
+    if not search:
+        return c
+    u = user_columns(tables.users).filter(ilike_any(USER_VIEW_COLUMNS, search))
+    return c.join(u, c["user_id"] == u["_uid"], "inner").select(
+        *[c[x] for x in CONVERSATION_COLUMNS])
+
+
+def _page_rows(tables: ChatTables, keys: list, roll: DataFrame | None = None) -> DataFrame:
+    """Phase 2: the page's conversations with user columns and rollup."""
+    ids = [k.id for k in keys]
+    c = tables.conversations.filter(key_in("id", ids))
+    u = user_columns(tables.users.filter(key_in("id", [k.user_id for k in keys])))
+    if roll is None:
+        roll = conversation_rollup(tables.messages.filter(key_in("conversation_id", ids)),
+                                   LIST_COLUMNS)
+    joined = (c.join(F.broadcast(u), c["user_id"] == u["_uid"], "left")
+              .join(F.broadcast(roll), c["id"] == roll["conversation_id"], "left"))
+    return joined.select(
+        *[c[x] for x in CONVERSATION_COLUMNS], *USER_VIEW_COLUMNS,
         zero_if_null(roll["error_count"]).cast("long").alias("error_count"),
         zero_if_null(roll["avg_assistant_response_time_ms"]).cast("long")
         .alias("avg_assistant_response_time_ms"),
@@ -59,21 +72,21 @@ def conversations_list(tables: ChatTables, user_id: int | None = None,
                        limit: int | None = None, offset: int = 0) -> DataFrame:
     """R7 page, newest ``last_message_at`` first (NULLs first).
 
-    Without an error filter the page is cut before any message is touched
-    and only the page's messages are aggregated (broadcast semi-join). With
-    one, the error count of every candidate is needed: one aggregation of
-    messages by conversation, joined 1:1.
+    Phase 1 finds the page's (id, user_id) keys: without an error filter from
+    conversations alone; with one, after joining every candidate's error
+    count (one aggregation of messages by conversation, joined 1:1). Phase 2
+    reads the page's conversations, users and messages through those keys.
     """
     n = check_page(limit, offset, CONVERSATIONS_PAGE)
     order = newest_first("last_message_at")
-    cand = _candidates(tables, user_id, search, date_from, date_to)
-    if has_error is None:
-        pg = materialize_bounded(page(cand, order, n, offset))
-        msgs = rows_with_keys(tables.messages, "conversation_id", pg, "id")
-        return order_bounded(_list_columns(pg, conversation_rollup(msgs, LIST_COLUMNS)), order)
-    rows = _list_columns(cand, conversation_rollup(tables.messages, LIST_COLUMNS))
-    rows = rows.filter(count_tristate("error_count", has_error))
-    return page(rows, order, n, offset)
+    cand = _filtered_conversations(tables, user_id, search, date_from, date_to)
+    if has_error is not None:
+        errors = conversation_rollup(tables.messages, ("error_count",))
+        cand = (cand.join(errors, cand["id"] == errors["conversation_id"], "left")
+                .filter(count_tristate(errors["error_count"], has_error))
+                .select(*[cand[x] for x in CONVERSATION_COLUMNS]))
+    keys = collect_page_keys(cand, order, n, offset, ["id", "user_id", "last_message_at"])
+    return order_bounded(_page_rows(tables, keys), order)
 
 
 def conversations_total(tables: ChatTables, user_id: int | None = None,
@@ -82,13 +95,7 @@ def conversations_total(tables: ChatTables, user_id: int | None = None,
                         has_error: bool | None = None) -> DataFrame:
     """R7 total under the same filters (users joined only for a search,
     messages aggregated only for an error filter)."""
-    c = tables.conversations.filter(all_of(
-        key_equals("user_id", user_id),
-        date_range("started_at", date_from, date_to)))
-    if search:
-        u = user_columns(tables.users)
-        c = (c.join(u, c["user_id"] == u["_uid"], "left")
-             .filter(ilike_any(USER_VIEW_COLUMNS, search)).select(*CONVERSATION_COLUMNS))
+    c = _filtered_conversations(tables, user_id, search, date_from, date_to)
     if has_error is not None:
         roll = conversation_rollup(tables.messages, ("error_count",))
         c = (c.join(roll, c["id"] == roll["conversation_id"], "left")

@@ -1,9 +1,11 @@
 """The message search and the error list.
 
-The page is cut from messages alone (all filters are on message columns),
-then joined to its conversations and users: those lookups touch at most
-``limit`` keys, broadcast as semi-join filters, instead of joining every
-message to its parents before sorting.
+All filters are on message columns, so the page is cut from messages alone:
+phase 1 is a top-k over (timestamp, id, conversation_id) only; phase 2 reads
+the page's rows, conversations and users through literal ``IN`` predicates on
+their keys (at most ``limit`` values each), which reach the parquet scans.
+No message is joined to its parents before sorting, and no big table is
+shuffled.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from pyspark.sql import functions as F
 from chatlens.functions.predicates import (all_of, date_range, ilike_any,
                                            key_equals, null_tristate,
                                            role_equals)
-from chatlens.operators.lookup import (materialize_bounded, rows_with_keys,
-                                       user_columns)
+from chatlens.operators.lookup import (collect_page_keys, key_in,
+                                       rows_with_keys, user_columns)
 from chatlens.operators.paging import (ERRORS_PAGE, MESSAGES_PAGE, PageBounds,
                                        check_page, newest_first, order_bounded,
-                                       page, total)
-from chatlens.schema import MESSAGE_COLUMNS
+                                       total)
+from chatlens.schema import MESSAGE_COLUMNS, MESSAGE_DATE_PARTITION
 from chatlens.sources.tables import ChatTables
 
 USER_VIEW_COLUMNS = ["display_name", "email", "ms_user_id"]
@@ -38,11 +40,21 @@ def _filtered(tables: ChatTables, conversation_id, role, has_error, search,
         null_tristate("error", has_error)))
 
 
-def _with_users(tables: ChatTables, pg: DataFrame) -> DataFrame:
-    """Attach user columns to a page (``pg`` already materialized)."""
-    convs = materialize_bounded(
-        rows_with_keys(tables.conversations, "id", pg, "conversation_id")
-        .select(F.col("id").alias("_cid"), F.col("user_id").alias("_cuid")))
+def _page_rows(tables: ChatTables, keys: list) -> DataFrame:
+    pred = key_in("id", [k.id for k in keys])
+    if tables.messages_date_partitioned:
+        days = {k.timestamp.date() for k in keys if k.timestamp is not None}
+        part = key_in(MESSAGE_DATE_PARTITION, days)
+        if any(k.timestamp is None for k in keys):
+            part = part | F.col(MESSAGE_DATE_PARTITION).isNull()
+        pred = pred & part
+    return tables.messages.filter(pred).select(*MESSAGE_COLUMNS)
+
+
+def _with_users(tables: ChatTables, pg: DataFrame, keys: list) -> DataFrame:
+    """Attach user columns to a page through its conversation keys."""
+    convs = (tables.conversations.filter(key_in("id", [k.conversation_id for k in keys]))
+             .select(F.col("id").alias("_cid"), F.col("user_id").alias("_cuid")))
     users = user_columns(rows_with_keys(tables.users, "id", convs, "_cuid"))
     out = (pg.join(F.broadcast(convs), pg["conversation_id"] == convs["_cid"], "left")
            .join(F.broadcast(users), F.col("_cuid") == users["_uid"], "left"))
@@ -54,13 +66,16 @@ def messages_list(tables: ChatTables, conversation_id: int | None = None,
                   search: str | None = None, date_from: dt.date | None = None,
                   date_to: dt.date | None = None, limit: int | None = None,
                   offset: int = 0, bounds: PageBounds = MESSAGES_PAGE) -> DataFrame:
-    """R9 page, newest first (NULL timestamps first), with user columns."""
+    """R9 page, newest first (NULL timestamps first), with user columns.
+
+    Runs phase 1 (one small job) when called; the returned DataFrame reads
+    only the page's rows.
+    """
     n = check_page(limit, offset, bounds)
     order = newest_first("timestamp")
-    pg = materialize_bounded(page(
-        _filtered(tables, conversation_id, role, has_error, search, date_from, date_to)
-        .select(*MESSAGE_COLUMNS), order, n, offset))
-    return order_bounded(_with_users(tables, pg), order)
+    filtered = _filtered(tables, conversation_id, role, has_error, search, date_from, date_to)
+    keys = collect_page_keys(filtered, order, n, offset, ["id", "timestamp", "conversation_id"])
+    return order_bounded(_with_users(tables, _page_rows(tables, keys), keys), order)
 
 
 def messages_total(tables: ChatTables, conversation_id: int | None = None,

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from chatlens.functions.coercion import zero_if_null
 from chatlens.functions.predicates import all_of, ilike_any, key_equals
-from chatlens.operators.lookup import (materialize_bounded, restrict_to_keys,
-                                       rows_with_keys)
+from chatlens.operators.lookup import (collect_page_keys, key_in,
+                                       restrict_to_keys)
 from chatlens.operators.paging import (USER_CONVERSATIONS_PAGE, USERS_PAGE,
                                        check_page, newest_first, order_bounded,
-                                       page, total)
+                                       total)
 from chatlens.operators.rollups import conversation_rollup, with_user_rollup
 from chatlens.schema import CONVERSATION_COLUMNS, USER_COLUMNS
 from chatlens.sources.tables import ChatTables
@@ -28,15 +27,19 @@ def users_list(tables: ChatTables, search: str | None = None,
                limit: int | None = None, offset: int = 0) -> DataFrame:
     """R5 page: users.* + conversation/message/error counts, newest active first.
 
-    The page is cut from the users table first (the order only needs
-    ``last_active``); the rollup is then computed for the page's users only.
+    The page's user ids are found first (the order only needs
+    ``last_active``); users, their conversations and messages are then read
+    through those ids, and the rollup is computed for the page's users only.
     """
     n = check_page(limit, offset, USERS_PAGE)
     order = newest_first("last_active")
-    pg = materialize_bounded(page(_searched_users(tables, search), order, n, offset))
-    # the page's users may own any number of conversations: not materialized,
-    # read twice through a broadcast filter on the page's user ids instead
-    convs = rows_with_keys(tables.conversations, "user_id", pg, "id")
+    keys = collect_page_keys(_searched_users(tables, search), order, n, offset,
+                             ["id", "last_active"])
+    ids = [k.id for k in keys]
+    pg = tables.users.filter(key_in("id", ids))
+    # the page's users may own any number of conversations: the message
+    # filter on their ids is broadcast only under a runtime-proven bound
+    convs = tables.conversations.filter(key_in("user_id", ids))
     msgs = restrict_to_keys(tables.messages, "conversation_id", convs, "id")
     return order_bounded(with_user_rollup(pg, convs, msgs), order)
 
@@ -63,8 +66,8 @@ def user_conversations(tables: ChatTables, user_id: int | None = None,
     """A user's conversations (all users when ``user_id`` is None) with
     error count and mean assistant latency, newest first.
 
-    Paged (the default), the page is cut from conversations first and the
-    messages are read for the page's conversations only (broadcast semi-join).
+    Paged (the default), the page's conversation ids are found first and
+    conversations and messages are read through them (literal ``IN``).
     ``paged=False`` returns every row, unordered.
     """
     convs = tables.conversations.filter(all_of(key_equals("user_id", user_id)))
@@ -72,8 +75,10 @@ def user_conversations(tables: ChatTables, user_id: int | None = None,
     if paged:
         n = check_page(limit, offset, USER_CONVERSATIONS_PAGE)
         order = newest_first("last_message_at")
-        convs = materialize_bounded(page(convs, order, n, offset))
-        msgs = rows_with_keys(tables.messages, "conversation_id", convs, "id")
+        ids = [k.id for k in collect_page_keys(convs, order, n, offset,
+                                               ["id", "last_message_at"])]
+        convs = tables.conversations.filter(key_in("id", ids))
+        msgs = tables.messages.filter(key_in("conversation_id", ids))
     else:
         order = None
         msgs = tables.messages

@@ -22,6 +22,15 @@ def tables(spark):
     return from_testdata(spark, SF_SMALL)
 
 
+@pytest.fixture(scope="module")
+def stored(spark, tables, scratch):
+    """The same tables in the stored layout (real key columns in parquet)."""
+    from chatlens.sources.tables import load_tables, write_tables
+    root = f"{scratch}/stored_plans"
+    write_tables(tables, root)
+    return load_tables(spark, root)
+
+
 def _no_python(text):
     for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas",
                  "MapInPandas"):
@@ -44,22 +53,33 @@ def test_kpis_scan_each_table_once_without_joins(tables):
     _no_python(p)
 
 
-def test_pages_are_top_k_not_full_sorts(tables):
-    for df in (messages.messages_list(tables), users.users_list(tables),
-               conversations.conversations_list(tables)):
+def test_page_keys_come_from_a_top_k(tables):
+    from chatlens.operators.paging import newest_first, page
+    p = plan(page(tables.messages.select("id", "timestamp", "conversation_id"),
+                  newest_first("timestamp"), 100, 20))
+    assert "TakeOrderedAndProject" in p
+    assert "Exchange rangepartitioning" not in p
+
+
+def test_page_rows_are_read_through_key_literals(stored):
+    cases = {
+        "messages": (messages.messages_list(stored), ["In(id,", "PartitionFilters: [msg_date"]),
+        "users": (users.users_list(stored), ["In(id,", "In(user_id,"]),
+        "conversations": (conversations.conversations_list(stored),
+                          ["In(id,", "In(conversation_id,"]),
+        "conversations_err": (conversations.conversations_list(stored, has_error=True),
+                              ["In(id,", "In(conversation_id,"]),
+        "user_conversations": (users.user_conversations(stored), ["In(id,", "In(conversation_id,"]),
+    }
+    for name, (df, pushed) in cases.items():
         p = plan(df)
-        assert "Exchange rangepartitioning" not in p
+        assert "Exchange rangepartitioning" not in p, name   # page sorted in one partition
+        assert "SortMergeJoin" not in p, name
+        for f in pushed:
+            assert f in p, (name, f)
         _no_python(p)
-    p = plan(conversations.conversations_list(tables, has_error=True))
-    assert "TakeOrderedAndProject" in p
-
-
-def test_page_lookups_are_broadcast_semi_joins(tables):
-    p = plan(messages.messages_list(tables))
-    assert "LeftSemi, BuildRight" in p
-    assert "SortMergeJoin" not in p
-    p = plan(conversations.conversations_list(tables))
-    assert "LeftSemi, BuildRight" in p
+    p = plan(messages.messages_list(stored))
+    assert "LeftSemi, BuildRight" in p               # users via the page's conversations
 
 
 def test_rollups_aggregate_before_joining(tables):
