@@ -63,11 +63,23 @@ def day_bucket(ts: Column | str) -> Column:
     return F.to_date(c).cast("timestamp_ntz")
 
 
+def epoch_micros(ts: Column | str) -> Column:
+    """Microseconds from 1970-01-01 00:00 to an NTZ wall clock.
+
+    Built from the calendar fields, which NTZ keeps as written, so no session
+    time zone (and no DST gap) is involved.
+    """
+    c = F.col(ts) if isinstance(ts, str) else ts
+    days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long")
+    secs = F.extract(F.lit("SECOND"), c)  # decimal(8,6), seconds with fraction
+    return (days * F.lit(86_400_000_000) + F.hour(c).cast("long") * F.lit(3_600_000_000)
+            + F.minute(c).cast("long") * F.lit(60_000_000)
+            + (secs * F.lit(1_000_000)).cast("long"))
+
+
 def micros_between(start: Column | str, end: Column | str) -> Column:
     """``end - start`` in microseconds for NTZ timestamps (zone-free)."""
-    a = F.col(start) if isinstance(start, str) else start
-    b = F.col(end) if isinstance(end, str) else end
-    return F.timestamp_diff("MICROSECOND", a, b)
+    return epoch_micros(end) - epoch_micros(start)
 
 
 def floor_minutes_between(start: Column | str, end: Column | str) -> Column:
@@ -75,3 +87,23 @@ def floor_minutes_between(start: Column | str, end: Column | str) -> Column:
     negative), as the UI computes ``Math.floor(ms / 60000)``."""
     micros = micros_between(start, end)
     return F.floor(micros / F.lit(60_000_000))
+
+
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def ntz_to_instant(ts: Column | str) -> Column:
+    """NTZ wall clock -> TIMESTAMP instant with the same UTC wall clock.
+
+    Streaming watermarks and windows need a zoned TIMESTAMP; a plain cast
+    would read the wall clock in the session time zone (shifting day windows
+    and breaking at DST changes). This mapping ignores the session zone.
+    """
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def instant_to_ntz(ts: Column | str) -> Column:
+    """Inverse of ``ntz_to_instant`` (exact to the microsecond)."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    secs = (F.unix_micros(c).cast("decimal(24,6)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return ntz(_EPOCH) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)

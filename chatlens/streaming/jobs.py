@@ -13,8 +13,9 @@ incremental aggregations:
   the latest version per conversation. Sum and count of latency are kept so
   the mean stays exact.
 
-``withWatermark`` needs a zoned TIMESTAMP, so the NTZ ``timestamp`` is cast to
-``event_time`` (run the session in UTC so both read the same wall clock).
+``withWatermark`` needs a zoned TIMESTAMP, so the NTZ ``timestamp`` is mapped
+to an ``event_time`` instant with the same UTC wall clock, and window starts
+are mapped back; neither step depends on the session time zone.
 Checkpoints go under the cluster's shared checkpoint folder.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chatlens import schema as S
 from chatlens.functions.predicates import assistant_latency_sample
+from chatlens.functions.timefns import instant_to_ntz, ntz_to_instant
 from chatlens.session import checkpoint_root
 
 EVENT_TIME = "event_time"
@@ -41,7 +43,7 @@ def message_stream(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def with_event_time(messages: DataFrame) -> DataFrame:
-    return messages.withColumn(EVENT_TIME, F.col("timestamp").cast("timestamp"))
+    return messages.withColumn(EVENT_TIME, ntz_to_instant("timestamp"))
 
 
 def dedup_messages(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -52,7 +54,7 @@ def dedup_messages(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def _bucket_start(window_col: str = "window") -> F.Column:
-    return F.col(f"{window_col}.start").cast("timestamp_ntz")
+    return instant_to_ntz(F.col(f"{window_col}.start"))
 
 
 def activity_buckets(messages: DataFrame, width: str = "1 hour",

@@ -233,3 +233,26 @@ def test_integrity(tables, spark):
     after = integrity.cascade_delete(tables, gone)
     assert sorted(r.id for r in after.messages.collect()) == [5, 6, 7, 8, 9]
     assert after.conversations.count() == 3
+
+
+def test_results_do_not_depend_on_session_time_zone(spark, tables):
+    from chatlens.functions.timefns import instant_to_ntz, ntz_to_instant
+    from chatlens.plans import views
+
+    def snapshot():
+        return (activity.activity_hourly(spark, tables, AS_OF).collect(),
+                activity.activity_daily(spark, tables, AS_OF).collect(),
+                sorted(views.conversations_view(
+                    conversations.conversation_detail(tables).withColumn(
+                        "last_message_at", F.col("first_message_at")), AS_OF).collect()))
+
+    utc = snapshot()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert snapshot() == utc
+        gap = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00.5' AS ts")
+        back = gap.select(instant_to_ntz(ntz_to_instant("ts")).alias("b")).first().b
+        assert back == T(2024, 3, 10, 2, 30, 0, 500000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
