@@ -128,3 +128,45 @@ def test_dedup_within_watermark(spark, scratch, landed):
     _run(q)
     got = spark.read.parquet(out)
     assert got.count() == got.select("id").distinct().count() == tables.messages.count()
+
+
+def test_late_rows_and_repeats(spark, scratch):
+    """Three waves, one micro-batch each. Spark drops a row as late against
+    the watermark of the previous batch, so the late rows and repeats come
+    in wave 3: rows older than 11:40 are late, and a repeat of id 2 (not
+    late) is removed by the id de-duplication that feeds the windows."""
+    from chatlens import schema as S
+    T = dt.datetime
+    inbox = os.path.join(scratch, "late_inbox")
+    waves = [
+        [(1, 7, "user", "a", T(2024, 1, 1, 10, 5), None, None, None, None, None),
+         (2, 7, "assistant", "b", T(2024, 1, 1, 12, 40), 30, ["sql"], None, None, "x")],
+        [(4, 7, "user", "on time", T(2024, 1, 1, 14, 10), None, None, None, None, None)],
+        [(3, 7, "user", "late", T(2024, 1, 1, 10, 50), None, None, None, None, None),
+         (1, 7, "user", "a", T(2024, 1, 1, 10, 5), None, None, None, None, None),
+         (2, 7, "assistant", "b", T(2024, 1, 1, 12, 40), 30, ["sql"], None, None, "x")],
+    ]
+    for i, wave in enumerate(waves):
+        (spark.createDataFrame(wave, S.MESSAGES).coalesce(1).write
+         .mode("append" if i else "errorifexists").parquet(inbox))
+
+    def hourly(dedup: bool):
+        out = os.path.join(scratch, f"late_hourly_{dedup}")
+        stream = message_stream(spark, inbox, max_files_per_trigger=1)
+        src = dedup_messages(stream, "1 hour") if dedup else stream
+        _run(start_bucket_sink(activity_buckets(src, delay="1 hour", watermarked=dedup), out,
+                               f"late_t1_{dedup}", checkpoint=_ckpt(spark, f"late_t1_{dedup}")))
+        return {r.bucket: r.messages for r in spark.read.parquet(out).collect()}
+
+    # 10:00 closes after wave 1 with one row; the 10:xx rows of wave 3 are
+    # late; 12:00 closes after wave 3; 14:00 is still open
+    assert hourly(dedup=True) == {T(2024, 1, 1, 10): 1, T(2024, 1, 1, 12): 1}
+    assert hourly(dedup=False) == {T(2024, 1, 1, 10): 1, T(2024, 1, 1, 12): 2}
+
+    out = os.path.join(scratch, "late_dedup")
+    stream = message_stream(spark, inbox, max_files_per_trigger=1)
+    q = (dedup_messages(stream, "1 hour").drop("event_time").writeStream.format("parquet")
+         .option("path", out).option("checkpointLocation", _ckpt(spark, "late_t4"))
+         .trigger(availableNow=True).start())
+    _run(q)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 4]
