@@ -1,8 +1,10 @@
 """The filtered conversation list and one conversation's detail.
 
-Joins towards parents are left joins (both foreign keys may be NULL). A hot
-user (or the NULL user) makes the conversations ⟕ users join skewed; AQE's
-skew-join handling splits such a partition of the left side.
+Joins towards parents are left joins (both foreign keys may be NULL). Lists
+join users only for the page's keys, or, for a user search, the matching
+users; the detail over all conversations joins the whole users table, where a
+hot user (or the NULL user) is a skewed partition that AQE's skew-join
+handling splits.
 """
 
 from __future__ import annotations
@@ -48,14 +50,13 @@ def _filtered_conversations(tables: ChatTables, user_id: int | None, search: str
         *[c[x] for x in CONVERSATION_COLUMNS])
 
 
-def _page_rows(tables: ChatTables, keys: list, roll: DataFrame | None = None) -> DataFrame:
+def _page_rows(tables: ChatTables, keys: list) -> DataFrame:
     """Phase 2: the page's conversations with user columns and rollup."""
     ids = [k.id for k in keys]
     c = tables.conversations.filter(key_in("id", ids))
     u = user_columns(tables.users.filter(key_in("id", [k.user_id for k in keys])))
-    if roll is None:
-        roll = conversation_rollup(tables.messages.filter(key_in("conversation_id", ids)),
-                                   LIST_COLUMNS)
+    roll = conversation_rollup(tables.messages.filter(key_in("conversation_id", ids)),
+                               LIST_COLUMNS)
     joined = (c.join(F.broadcast(u), c["user_id"] == u["_uid"], "left")
               .join(F.broadcast(roll), c["id"] == roll["conversation_id"], "left"))
     return joined.select(
