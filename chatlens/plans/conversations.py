@@ -20,7 +20,8 @@ from chatlens.functions.predicates import (all_of, count_tristate, date_range,
                                            ilike_any, in_conversation_match,
                                            key_equals, role_selector,
                                            truthy_error)
-from chatlens.operators.lookup import collect_page_keys, key_in, user_columns
+from chatlens.operators.lookup import (collect_page_keys, key_in, restrict_to_keys,
+                                       user_columns)
 from chatlens.operators.paging import (CONVERSATIONS_PAGE, check_page,
                                        newest_first, oldest_first, order_bounded,
                                        total)
@@ -36,18 +37,28 @@ def _filtered_conversations(tables: ChatTables, user_id: int | None, search: str
                             date_from: dt.date | None, date_to: dt.date | None) -> DataFrame:
     """Conversations passing the conversation-level filters (c.* only).
 
-    Users are joined only for a search; the search predicate rejects rows
-    without a user, so that join is an inner join against the (usually
-    small) set of matching users.
+    Users are consulted only for a search, as a semi-join against the ids of
+    the matching users (the search rejects rows without a user, and no user
+    column is needed before the page is cut).
     """
     c = tables.conversations.filter(all_of(
         key_equals("user_id", user_id),
         date_range("started_at", date_from, date_to)))
     if not search:
         return c
-    u = user_columns(tables.users).filter(ilike_any(USER_VIEW_COLUMNS, search))
-    return c.join(u, c["user_id"] == u["_uid"], "inner").select(
-        *[c[x] for x in CONVERSATION_COLUMNS])
+    u = (tables.users.filter(ilike_any(USER_VIEW_COLUMNS, search))
+         .select(F.col("id").alias("_uid")))
+    return c.join(u, c["user_id"] == u["_uid"], "left_semi")
+
+
+def _error_counts(tables: ChatTables, cand: DataFrame, narrowed: bool) -> DataFrame:
+    """Per-conversation error counts for the error filter. When other filters
+    narrowed the candidates, only their messages are aggregated (broadcast
+    under a runtime-proven bound)."""
+    msgs = tables.messages
+    if narrowed:
+        msgs = restrict_to_keys(msgs, "conversation_id", cand, "id")
+    return conversation_rollup(msgs, ("error_count",))
 
 
 def _page_rows(tables: ChatTables, keys: list) -> DataFrame:
@@ -81,8 +92,9 @@ def conversations_list(tables: ChatTables, user_id: int | None = None,
     n = check_page(limit, offset, CONVERSATIONS_PAGE)
     order = newest_first("last_message_at")
     cand = _filtered_conversations(tables, user_id, search, date_from, date_to)
+    narrowed = any(x is not None for x in (user_id, date_from, date_to)) or bool(search)
     if has_error is not None:
-        errors = conversation_rollup(tables.messages, ("error_count",))
+        errors = _error_counts(tables, cand, narrowed)
         cand = (cand.join(errors, cand["id"] == errors["conversation_id"], "left")
                 .filter(count_tristate(errors["error_count"], has_error))
                 .select(*[cand[x] for x in CONVERSATION_COLUMNS]))
@@ -97,8 +109,9 @@ def conversations_total(tables: ChatTables, user_id: int | None = None,
     """R7 total under the same filters (users joined only for a search,
     messages aggregated only for an error filter)."""
     c = _filtered_conversations(tables, user_id, search, date_from, date_to)
+    narrowed = any(x is not None for x in (user_id, date_from, date_to)) or bool(search)
     if has_error is not None:
-        roll = conversation_rollup(tables.messages, ("error_count",))
+        roll = _error_counts(tables, c, narrowed)
         c = (c.join(roll, c["id"] == roll["conversation_id"], "left")
              .filter(count_tristate(roll["error_count"], has_error)))
     return total(c)
