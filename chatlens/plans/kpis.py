@@ -6,9 +6,11 @@ conditional counts computes every figure: each table is scanned once, every
 task reduces its rows to one partial row before the single-row final merge,
 and no join (let alone a cross join of one-row results) is needed.
 
-The exact percentiles keep a value->count map per task; latency is an
-integer in milliseconds, so the map is bounded by the number of distinct
-latencies, not by the number of rows.
+The exact percentiles read a latency histogram: the 7-day assistant sample
+is first grouped by latency value (a distributed aggregation), and the
+weighted ``percentile(value, p, frequency)`` then runs over one row per
+distinct latency. The single final merge therefore holds at most the number
+of distinct integer latencies, however many tasks scanned the messages.
 """
 
 from __future__ import annotations
@@ -34,6 +36,14 @@ def _tagged(tables: ChatTables, messages_cols: list, conversation_cols: list) ->
             .unionByName(users, allowMissingColumns=True))
 
 
+def latency_histogram(tables: ChatTables, since_ts: dt.datetime) -> DataFrame:
+    """``response_time_ms, weight`` over the assistant latency sample."""
+    sample = tables.messages.filter(
+        assistant_latency_sample()
+        & since("timestamp", since_ts, date_partition=tables.messages_date_partitioned))
+    return sample.groupBy("response_time_ms").agg(F.count(F.lit(1)).alias("weight"))
+
+
 def kpi_stats(tables: ChatTables, as_of: dt.datetime | None = None) -> DataFrame:
     """One row of twelve KPIs plus ``generated_at`` (= as_of)."""
     now = resolve_as_of(as_of)
@@ -45,6 +55,10 @@ def kpi_stats(tables: ChatTables, as_of: dt.datetime | None = None) -> DataFrame
         [F.col("timestamp"), F.col("role"), F.col("error"),
          F.col("response_time_ms")],
         [F.col("user_id"), F.col("last_message_at")])
+    hist = latency_histogram(tables, week_ago).select(
+        F.lit("h").alias(_T), F.col("response_time_ms").alias("_lat"), "weight")
+    rows = rows.unionByName(hist, allowMissingColumns=True)
+    is_h = F.col(_T) == "h"
     is_m = F.col(_T) == "m"
     is_c = F.col(_T) == "c"
     ts = F.col("timestamp")
@@ -65,7 +79,8 @@ def kpi_stats(tables: ChatTables, as_of: dt.datetime | None = None) -> DataFrame
         F.count_distinct(active).alias("active_users_today"),
         F.max(F.when(is_m, ts)).alias("last_message_at"),
         rounded_mean(latency).alias("avg_response_time_ms_7d"),
-        F.percentile(latency, F.array(F.lit(0.5), F.lit(0.95))).alias("_p"),
+        F.percentile(F.when(is_h, F.col("_lat")), F.array(F.lit(0.5), F.lit(0.95)),
+                     F.when(is_h, F.col("weight"))).alias("_p"),
     )
     return agg.select(
         ntz(now).alias("generated_at"),

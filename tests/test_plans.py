@@ -47,7 +47,9 @@ def test_time_windows_reach_the_scan(spark, tables):
 
 def test_kpis_scan_each_table_once_without_joins(tables):
     p = plan(kpis.kpi_stats(tables, FIXTURE_AS_OF))
-    assert p.count("events.parquet") == 2   # messages and (derived) conversations
+    # messages, (derived) conversations, and the 7-day latency histogram slice
+    assert p.count("events.parquet") == 3
+    assert "GreaterThanOrEqual(ts,2024-01-23T18:30)" in p
     assert p.count("customer.parquet") == 1
     assert "Join" not in p and "CartesianProduct" not in p
     _no_python(p)
