@@ -58,9 +58,14 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
 
 
 def order_bounded(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Order a result already cut to one page (at most a few hundred rows):
-    one partition sorted locally, no range-partitioning sample job."""
-    return df.coalesce(1).sortWithinPartitions(*order)
+    """Order a result already cut to one page (at most a few hundred rows).
+
+    The page's rows are moved into one partition (a single-partition
+    exchange of at most ``limit`` rows) and sorted there: no range-
+    partitioning sample job, and, unlike ``coalesce(1)``, the scans that
+    fetch the page keep their parallelism.
+    """
+    return df.repartition(1).sortWithinPartitions(*order)
 
 
 def total(df: DataFrame, name: str = "total") -> DataFrame:
