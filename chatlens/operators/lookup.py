@@ -72,13 +72,13 @@ def restrict_to_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str,
     small, else ``big`` unchanged (callers only use this to prune rows that a
     later join would drop anyway).
 
-    The proof is a runtime count: at most ``limit + 1`` key rows are counted
-    (so an unexpectedly large set costs no more than that), and only a set
-    within ``limit`` is materialized and broadcast. Above it the caller's
-    plan (aggregate first, then join) is kept as it is.
+    The proof is a runtime count of the key rows (a partial/final count: one
+    row per task crosses the network), and only a set within ``limit`` is
+    materialized and broadcast. Above it the caller's plan (aggregate first,
+    then join) is kept as it is.
     """
     raw = keys.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull())
-    if raw.limit(limit + 1).count() > limit:
+    if raw.count() > limit:
         return big
     k = materialize_bounded(raw.distinct())
     return big.join(F.broadcast(k), big[big_key] == F.col("_k"), "left_semi")
