@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from chatlens.functions.predicates import (all_of, date_range, ilike_any,
                                            key_equals, null_tristate,
                                            role_equals)
+from chatlens.functions.timefns import ntz
 from chatlens.operators.lookup import (collect_page_keys, key_in,
                                        rows_with_keys, user_columns)
 from chatlens.operators.paging import (ERRORS_PAGE, MESSAGES_PAGE, PageBounds,
@@ -41,7 +42,12 @@ def _filtered(tables: ChatTables, conversation_id, role, has_error, search,
 
 
 def _page_rows(tables: ChatTables, keys: list) -> DataFrame:
+    """The page's rows by id, with the page's time span (and days) added as
+    redundant bounds so row-group statistics and folders prune the scan."""
     pred = key_in("id", [k.id for k in keys])
+    times = [k.timestamp for k in keys if k.timestamp is not None]
+    if times and len(times) == len(keys):
+        pred = pred & F.col("timestamp").between(ntz(min(times)), ntz(max(times)))
     if tables.messages_date_partitioned:
         days = {k.timestamp.date() for k in keys if k.timestamp is not None}
         part = key_in(MESSAGE_DATE_PARTITION, days)
