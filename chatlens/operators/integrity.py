@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.functions.predicates import all_of
+from chatlens.operators.joins import anti_join_nullable
 from chatlens.operators.rollups import conversation_rollup
 from chatlens.sources.tables import ChatTables
 
@@ -114,8 +115,7 @@ def cascade_delete(tables: ChatTables, deleted_conversations: DataFrame) -> Chat
     gone = deleted_conversations.select(F.col("id").alias("_gone")).distinct()
     convs = tables.conversations.join(gone, tables.conversations["id"] == gone["_gone"],
                                       "left_anti")
-    msgs = tables.messages.join(gone, tables.messages["conversation_id"] == gone["_gone"],
-                                "left_anti")
+    msgs = anti_join_nullable(tables.messages, gone, "conversation_id", "id", "_gone")
     return ChatTables(users=tables.users, conversations=convs, messages=msgs,
                       messages_date_partitioned=tables.messages_date_partitioned)
 

@@ -2,9 +2,9 @@
 
 Joins towards parents are left joins (both foreign keys may be NULL). Lists
 join users only for the page's keys, or, for a user search, the matching
-users; the detail over all conversations joins the whole users table, where a
-hot user (or the NULL user) is a skewed partition that AQE's skew-join
-handling splits.
+users; the detail over all conversations joins the whole users table with
+NULL user ids spread out (``operators.joins``) and a hot user left to AQE's
+skew-join split.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from chatlens.functions.predicates import (all_of, count_tristate, date_range,
                                            ilike_any, in_conversation_match,
                                            key_equals, role_selector,
                                            truthy_error)
+from chatlens.operators.joins import left_join_nullable
 from chatlens.operators.lookup import (collect_page_keys, key_in, restrict_to_keys,
                                        user_columns)
 from chatlens.operators.paging import (CONVERSATIONS_PAGE, check_page,
@@ -127,7 +128,7 @@ def conversation_detail(tables: ChatTables, conversation_id: int | None = None)
     m = tables.messages.filter(all_of(key_equals("conversation_id", conversation_id)))
     u = user_columns(tables.users)
     roll = conversation_rollup(m, DETAIL_COLUMNS)
-    out = (c.join(u, c["user_id"] == u["_uid"], "left")
+    out = (left_join_nullable(c, u, "user_id", "id", "_uid")
            .join(roll, c["id"] == roll["conversation_id"], "left"))
     counts = ["total_messages", "user_messages", "assistant_messages",
               "error_count", "avg_assistant_response_time_ms"]

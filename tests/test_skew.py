@@ -79,3 +79,18 @@ def test_partial_aggregation_below_shuffle(skewed):
     p = conversations.conversations_total(skewed, has_error=True)._jdf.queryExecution() \
         .executedPlan().toString()
     assert "partial_count" in p
+
+
+def test_nullable_key_joins_never_match_null(spark):
+    from chatlens.operators.joins import anti_join_nullable, left_join_nullable
+    left = spark.createDataFrame([(1, None), (2, 5), (5, None), (6, 7)], "id long, fk long")
+    right = spark.createDataFrame([(5, "five"), (1, "one")], "pk long, name string")
+    got = sorted(tuple(r) for r in left_join_nullable(left, right, "fk", "id", "pk")
+                 .select("id", "name").collect())
+    # id 5 / id 1 have NULL fk: their own ids equal right keys but must not match
+    assert got == [(1, None), (2, "five"), (5, None), (6, None)]
+    kept = sorted(r.id for r in anti_join_nullable(left, right, "fk", "id", "pk").collect())
+    assert kept == [1, 5, 6]
+    p = left_join_nullable(left, right, "fk", "id", "pk")._jdf.queryExecution() \
+        .optimizedPlan().toString()
+    assert "coalesce(fk" in p
