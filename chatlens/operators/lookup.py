@@ -27,9 +27,15 @@ def collect_page_keys(df: DataFrame, order: list, limit: int, offset: int,
 
 
 def key_in(col: str, values) -> Column:
-    """Phase 2: ``col IN (values)`` for a page's keys (false when empty)."""
+    """``col IN (values)`` for a page's (or a small set's) keys; false when
+    empty. Integer keys are written into one SQL expression, which builds the
+    predicate in one call instead of one driver-JVM call per literal."""
     vals = sorted({v for v in values if v is not None})
-    return F.col(col).isin(vals) if vals else F.lit(False)
+    if not vals:
+        return F.lit(False)
+    if all(isinstance(v, int) and not isinstance(v, bool) for v in vals):
+        return F.expr(f"`{col}` IN ({', '.join(str(v) for v in vals)})")
+    return F.col(col).isin(vals)
 
 
 def _checkpoint_folder_ready(spark) -> bool:
@@ -62,25 +68,37 @@ def materialize_bounded(df: DataFrame) -> DataFrame:
     return df.cache()
 
 
-# Largest key set broadcast as a semi-join filter after a runtime count.
+# Key sets up to this size become a literal IN filter (pushed to the scan).
+LITERAL_KEY_LIMIT = 10_000
+# Larger key sets up to this size are broadcast after a runtime count.
 BROADCAST_KEY_LIMIT = 1_000_000
 
 
 def restrict_to_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str,
+                     literal_limit: int = LITERAL_KEY_LIMIT,
                      limit: int = BROADCAST_KEY_LIMIT) -> DataFrame:
     """``big`` cut to rows whose key is in ``keys`` when that set is provably
     small, else ``big`` unchanged (callers only use this to prune rows that a
     later join would drop anyway).
 
-    The proof is a runtime count of the key rows (a partial/final count: one
-    row per task crosses the network), and only a set within ``limit`` is
-    materialized and broadcast. Above it the caller's plan (aggregate first,
-    then join) is kept as it is.
+    One job fetches at most ``literal_limit + 1`` distinct keys (each task
+    contributes at most that many to a single-row gather). A set within
+    ``literal_limit`` becomes a literal ``IN`` predicate that reaches the
+    parquet scan. A larger set is counted (a partial count, one row per task
+    over the network), and up to ``limit`` keys are materialized and broadcast
+    as a semi-join filter. Above that, the caller's aggregate-then-join plan
+    is kept.
     """
-    raw = keys.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull())
+    raw = keys.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
+    # one job: every task passes on at most literal_limit + 1 keys, gathered
+    # into one row (not an incremental take, which runs job after job)
+    first = (raw.limit(literal_limit + 1)
+             .agg(F.collect_list("_k").alias("ks")).first().ks)
+    if len(first) <= literal_limit:
+        return big.filter(key_in(big_key, first))
     if raw.count() > limit:
         return big
-    k = materialize_bounded(raw.distinct())
+    k = materialize_bounded(raw)
     return big.join(F.broadcast(k), big[big_key] == F.col("_k"), "left_semi")
 
 
