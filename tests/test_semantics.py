@@ -256,3 +256,15 @@ def test_results_do_not_depend_on_session_time_zone(spark, tables):
         assert back == T(2024, 3, 10, 2, 30, 0, 500000)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_pages_past_the_end_are_empty_with_schema(tables):
+    for df in (messages.messages_list(tables, offset=10_000),
+               users.users_list(tables, offset=10_000),
+               conversations.conversations_list(tables, offset=10_000),
+               conversations.conversations_list(tables, has_error=True, offset=10_000),
+               users.user_conversations(tables, offset=10_000)):
+        assert df.collect() == []
+        assert "id" in df.columns
+    assert messages.messages_list(tables, offset=10_000).columns[-3:] == \
+        ["display_name", "email", "ms_user_id"]
