@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chatlens.functions.predicates import all_of
 from chatlens.operators.joins import anti_join_nullable
-from chatlens.operators.rollups import conversation_rollup
+from chatlens.operators.rollups import rollup_of
 from chatlens.sources.tables import ChatTables
 
 # The unique keys and required columns of the original schema.
@@ -123,7 +123,7 @@ def cascade_delete(tables: ChatTables, deleted_conversations: DataFrame) -> Chat
 def counter_audit(tables: ChatTables, only_mismatches: bool = True) -> DataFrame:
     """Stored message_count / last_message_at against the messages."""
     c = tables.conversations
-    roll = conversation_rollup(tables.messages, ("total_messages", "last_message_at"))
+    roll = rollup_of(tables, ("total_messages", "last_message_at"))
     out = (c.join(roll, c["id"] == roll["conversation_id"], "left").select(
         c["id"],
         c["message_count"].alias("stored_message_count"),

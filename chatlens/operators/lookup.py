@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatlens.session import materialize
+
 
 def collect_page_keys(df: DataFrame, order: list, limit: int, offset: int,
                       columns: list[str]) -> list:
@@ -38,34 +40,10 @@ def key_in(col: str, values) -> Column:
     return F.col(col).isin(vals)
 
 
-def _checkpoint_folder_ready(spark) -> bool:
-    """True when reliable checkpoints can be written (the session's folder)."""
-    try:
-        sc = spark.sparkContext
-    except Exception:  # remote session without a SparkContext
-        return False
-    if sc.getCheckpointDir():
-        return True
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        sc.setCheckpointDir(folder)
-        return True
-    return False
-
-
 def materialize_bounded(df: DataFrame) -> DataFrame:
-    """Compute a bounded result (a page, or rows 1:1 with a page) once.
-
-    A page feeds several branches (its own rows and the key sets of each
-    lookup); without this every branch would recompute it, i.e. scan the big
-    table again. With a checkpoint folder configured (the cluster's shared
-    ``spark.checkpoint.dir``) the rows are written there and the lineage is
-    cut, so a lost executor does not re-trigger the scan; otherwise the rows
-    are cached (recomputed from lineage if lost).
-    """
-    if _checkpoint_folder_ready(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df.cache()
+    """Compute a bounded result (a key set within a proven limit) once, in
+    the shared checkpoint folder (see ``session.materialize``)."""
+    return materialize(df)
 
 
 # Key sets up to this size become a literal IN filter (pushed to the scan).

@@ -40,6 +40,7 @@ LIST_COLUMNS = ("error_count", "avg_assistant_response_time_ms", "last_error_at"
 DETAIL_COLUMNS = ("total_messages", "user_messages", "assistant_messages",
                   "error_count", "avg_assistant_response_time_ms",
                   "first_message_at", "last_message_at")
+SHARED_COLUMNS = DETAIL_COLUMNS + ("last_error_at",)
 
 
 def conversation_rollup(messages: DataFrame,
@@ -50,17 +51,56 @@ def conversation_rollup(messages: DataFrame,
             .agg(*[_agg(c) for c in columns]))
 
 
-def user_rollup(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+def rollup_of(tables, columns: tuple[str, ...], messages: DataFrame | None = None,
+              conversation_ids: list | None = None) -> DataFrame:
+    """A10 for ``columns``: read from ``tables.conversation_rollup`` when the
+    tables carry one, else aggregated from ``messages`` (default: all).
+
+    ``conversation_ids`` (a page's keys) restricts either source; a caller's
+    own pre-restricted ``messages`` only matter when aggregating.
+    """
+    shared = tables.conversation_rollup
+    if shared is not None:
+        out = shared.select("conversation_id", *columns)
+        if conversation_ids is not None:
+            from chatlens.operators.lookup import key_in
+            out = out.filter(key_in("conversation_id", conversation_ids))
+        return out
+    msgs = tables.messages if messages is None else messages
+    if conversation_ids is not None:
+        from chatlens.operators.lookup import key_in
+        msgs = msgs.filter(key_in("conversation_id", conversation_ids))
+    return conversation_rollup(msgs, columns)
+
+
+def share_rollup(tables):
+    """The tables plus their per-conversation rollup, computed once and
+    written to the shared checkpoint folder (cached when none is set), for a
+    session that runs several reports over the same data."""
+    from dataclasses import replace
+
+    from chatlens.session import materialize
+    roll = conversation_rollup(tables.messages, SHARED_COLUMNS)
+    return replace(tables, conversation_rollup=materialize(roll))
+
+
+def user_rollup(conversations: DataFrame, messages: DataFrame,
+                per_conversation: DataFrame | None = None) -> DataFrame:
     """A9 per user: conversation_count, message_count, error_count.
 
     Every conversation of the user counts once, also those without messages
     (the fan-out's COUNT(DISTINCT c.id)); messages count when their
     conversation belongs to the user.
     """
-    per_conv = (messages.filter(F.col("conversation_id").isNotNull())
-                .groupBy("conversation_id")
-                .agg(F.count(F.lit(1)).alias("n_messages"),
-                     F.count_if(_err()).alias("n_errors")))
+    if per_conversation is not None:
+        per_conv = per_conversation.select(
+            "conversation_id", F.col("total_messages").alias("n_messages"),
+            F.col("error_count").alias("n_errors"))
+    else:
+        per_conv = (messages.filter(F.col("conversation_id").isNotNull())
+                    .groupBy("conversation_id")
+                    .agg(F.count(F.lit(1)).alias("n_messages"),
+                         F.count_if(_err()).alias("n_errors")))
     convs = conversations.filter(F.col("user_id").isNotNull()).select(
         F.col("id").alias("conversation_id"), "user_id")
     return (convs.join(per_conv, "conversation_id", "left")
@@ -73,9 +113,9 @@ def user_rollup(conversations: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def with_user_rollup(users: DataFrame, conversations: DataFrame,
-                     messages: DataFrame) -> DataFrame:
+                     messages: DataFrame, per_conversation: DataFrame | None = None) -> DataFrame:
     """users.* plus A9 columns, zero for users with no conversations."""
-    roll = user_rollup(conversations, messages)
+    roll = user_rollup(conversations, messages, per_conversation)
     return (users.join(roll, users["id"] == roll["user_id"], "left")
             .select(users["*"],
                     *[F.coalesce(roll[c], F.lit(0)).cast("long").alias(c)

@@ -26,8 +26,7 @@ from chatlens.operators.lookup import (collect_page_keys, key_in, restrict_to_ke
 from chatlens.operators.paging import (CONVERSATIONS_PAGE, check_page,
                                        newest_first, oldest_first, order_bounded,
                                        total)
-from chatlens.operators.rollups import (DETAIL_COLUMNS, LIST_COLUMNS,
-                                        conversation_rollup)
+from chatlens.operators.rollups import DETAIL_COLUMNS, LIST_COLUMNS, rollup_of
 from chatlens.schema import CONVERSATION_COLUMNS, MESSAGE_COLUMNS
 from chatlens.sources.tables import ChatTables
 
@@ -57,9 +56,9 @@ def _error_counts(tables: ChatTables, cand: DataFrame, narrowed: bool) -> DataFr
     narrowed the candidates, only their messages are aggregated (broadcast
     under a runtime-proven bound)."""
     msgs = tables.messages
-    if narrowed:
+    if narrowed and tables.conversation_rollup is None:
         msgs = restrict_to_keys(msgs, "conversation_id", cand, "id")
-    return conversation_rollup(msgs, ("error_count",))
+    return rollup_of(tables, ("error_count",), messages=msgs)
 
 
 def _page_rows(tables: ChatTables, keys: list) -> DataFrame:
@@ -67,8 +66,7 @@ def _page_rows(tables: ChatTables, keys: list) -> DataFrame:
     ids = [k.id for k in keys]
     c = tables.conversations.filter(key_in("id", ids))
     u = user_columns(tables.users.filter(key_in("id", [k.user_id for k in keys])))
-    roll = conversation_rollup(tables.messages.filter(key_in("conversation_id", ids)),
-                               LIST_COLUMNS)
+    roll = rollup_of(tables, LIST_COLUMNS, conversation_ids=ids)
     joined = (c.join(F.broadcast(u), c["user_id"] == u["_uid"], "left")
               .join(F.broadcast(roll), c["id"] == roll["conversation_id"], "left"))
     return joined.select(
@@ -125,9 +123,9 @@ def conversation_detail(tables: ChatTables, conversation_id: int | None = None)
     stored column is replaced, as the reference's row keeps the later key.
     """
     c = tables.conversations.filter(all_of(key_equals("id", conversation_id)))
-    m = tables.messages.filter(all_of(key_equals("conversation_id", conversation_id)))
     u = user_columns(tables.users)
-    roll = conversation_rollup(m, DETAIL_COLUMNS)
+    roll = rollup_of(tables, DETAIL_COLUMNS, conversation_ids=(
+        None if conversation_id is None else [conversation_id]))
     out = (left_join_nullable(c, u, "user_id", "id", "_uid")
            .join(roll, c["id"] == roll["conversation_id"], "left"))
     counts = ["total_messages", "user_messages", "assistant_messages",

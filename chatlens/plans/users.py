@@ -11,7 +11,7 @@ from chatlens.operators.lookup import (collect_page_keys, key_in,
 from chatlens.operators.paging import (USER_CONVERSATIONS_PAGE, USERS_PAGE,
                                        check_page, newest_first, order_bounded,
                                        total)
-from chatlens.operators.rollups import conversation_rollup, with_user_rollup
+from chatlens.operators.rollups import rollup_of, with_user_rollup
 from chatlens.schema import CONVERSATION_COLUMNS, USER_COLUMNS
 from chatlens.sources.tables import ChatTables
 
@@ -40,8 +40,18 @@ def users_list(tables: ChatTables, search: str | None = None,
     # the page's users may own any number of conversations: the message
     # filter on their ids is broadcast only under a runtime-proven bound
     convs = tables.conversations.filter(key_in("user_id", ids))
+    return order_bounded(_with_rollup(tables, pg, convs), order)
+
+
+def _with_rollup(tables: ChatTables, users: DataFrame, convs: DataFrame) -> DataFrame:
+    """A9 for ``users`` owning ``convs``: from the shared rollup when the
+    tables carry one, else from their conversations' messages only (the
+    message filter is broadcast under a runtime-proven bound)."""
+    if tables.conversation_rollup is not None:
+        shared = rollup_of(tables, ("total_messages", "error_count"))
+        return with_user_rollup(users, convs, tables.messages, per_conversation=shared)
     msgs = restrict_to_keys(tables.messages, "conversation_id", convs, "id")
-    return order_bounded(with_user_rollup(pg, convs, msgs), order)
+    return with_user_rollup(users, convs, msgs)
 
 
 def users_total(tables: ChatTables, search: str | None = None) -> DataFrame:
@@ -53,10 +63,14 @@ def user_detail(tables: ChatTables, user_id: int | None = None) -> DataFrame:
     """Users.* + rollup for one user (empty = not found), or for all."""
     users = tables.users.filter(all_of(key_equals("id", user_id)))
     convs = tables.conversations.filter(all_of(key_equals("user_id", user_id)))
-    msgs = tables.messages
     if user_id is not None:
-        msgs = restrict_to_keys(msgs, "conversation_id", convs, "id")
-    return with_user_rollup(users, convs, msgs).select(
+        rolled = _with_rollup(tables, users, convs)
+    elif tables.conversation_rollup is not None:
+        rolled = with_user_rollup(users, convs, tables.messages, per_conversation=rollup_of(
+            tables, ("total_messages", "error_count")))
+    else:
+        rolled = with_user_rollup(users, convs, tables.messages)
+    return rolled.select(
         *USER_COLUMNS, *ROLLUP_COLUMNS)
 
 
@@ -78,11 +92,10 @@ def user_conversations(tables: ChatTables, user_id: int | None = None,
         ids = [k.id for k in collect_page_keys(convs, order, n, offset,
                                                ["id", "last_message_at"])]
         convs = tables.conversations.filter(key_in("id", ids))
-        msgs = tables.messages.filter(key_in("conversation_id", ids))
     else:
         order = None
-        msgs = tables.messages
-    roll = conversation_rollup(msgs, cols)
+        ids = None
+    roll = rollup_of(tables, cols, conversation_ids=ids)
     out = (convs.join(roll, convs["id"] == roll["conversation_id"], "left")
            .select(*[convs[c] for c in CONVERSATION_COLUMNS],
                    *[zero_if_null(roll[c]).cast("long").alias(c) for c in cols]))

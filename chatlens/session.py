@@ -62,3 +62,31 @@ def ensure_checkpoint_dir(spark: SparkSession, default: str) -> str:
         spark.conf.set("spark.checkpoint.dir", default)
         spark.sparkContext.setCheckpointDir(default)
         return checkpoint_root(spark)
+
+
+def _checkpoint_folder_ready(spark: SparkSession) -> bool:
+    """True when reliable checkpoints can be written (the session's folder)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session without a SparkContext
+        return False
+    if sc.getCheckpointDir():
+        return True
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        sc.setCheckpointDir(folder)
+        return True
+    return False
+
+
+def materialize(df):
+    """Compute ``df`` once for several later uses and cut its lineage.
+
+    With a checkpoint folder configured (the cluster's shared
+    ``spark.checkpoint.dir``) the rows are written there, so a lost executor
+    does not re-trigger the work that produced them; otherwise they are
+    cached (recomputed from lineage if lost).
+    """
+    if _checkpoint_folder_ready(df.sparkSession):
+        return df.checkpoint(eager=True)
+    return df.cache()

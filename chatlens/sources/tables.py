@@ -24,12 +24,19 @@ class ChatTables:
     ``messages_date_partitioned`` says that ``messages`` carries the
     ``msg_date`` partition column; time predicates then also filter on it so
     the scan skips whole day folders.
+
+    ``conversation_rollup`` optionally holds a precomputed per-conversation
+    rollup (``operators.rollups.SHARED_COLUMNS``; e.g. written once by
+    ``rollups.share_rollup`` or kept current by the streaming T3 job). Reports
+    that need per-conversation figures then read it instead of aggregating
+    messages again.
     """
 
     users: DataFrame
     conversations: DataFrame
     messages: DataFrame
     messages_date_partitioned: bool = False
+    conversation_rollup: DataFrame | None = None
 
     def with_messages(self, messages: DataFrame) -> "ChatTables":
         return replace(self, messages=messages)
