@@ -1,11 +1,12 @@
-"""G1/G2 + J5: a gap-free time spine and the gap-filling join.
+"""G1/G2 + J5: a gap-free time spine and gap filling.
 
 The spine is generated from two literal bounds with ``sequence`` (one row,
 exploded), so its size is fixed by the parameters (24 hours, 14 days), never
-by the data. The bucket counts it is joined with are restricted to the
-spine's own range before aggregating, so that side is at most one row per
-spine bucket: a proven bound, which makes broadcasting it safe at any data
-size.
+by the data. Gap filling unions one zero row per spine bucket with the
+bucketed rows (which callers restrict to the spine's range with literal
+bounds) and sums per bucket. That is the spine ⟕ counts of the original,
+done as one aggregation: each task pre-aggregates to at most one row per
+bucket, and there is no join or broadcast.
 """
 
 from __future__ import annotations
@@ -26,15 +27,12 @@ def time_spine(spark: SparkSession, first: dt.datetime, last: dt.datetime,
                              F.expr(f"INTERVAL {step}"))).alias(name))
 
 
-def gap_fill(spine: DataFrame, counts: DataFrame, key: str = "bucket",
-             fill: tuple[str, ...] = ()) -> DataFrame:
-    """Spine LEFT JOIN counts USING (key), missing counts -> 0, ordered.
-
-    ``counts`` must already hold at most one row per spine key (callers
-    aggregate over the spine range only), so it is broadcast.
-    """
-    joined = spine.join(F.broadcast(counts), on=key, how="left")
-    cols = [F.col(key)] + [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-                           for c in fill]
+def gap_fill(spine: DataFrame, rows: DataFrame, key: str = "bucket",
+             sums: tuple[str, ...] = ()) -> DataFrame:
+    """One row per spine bucket with ``sums`` added up over ``rows``; buckets
+    without rows get 0. ``rows`` must lie within the spine's range."""
+    zeros = spine.select(key, *[F.lit(0).cast("long").alias(c) for c in sums])
+    both = zeros.unionByName(rows.select(key, *[F.col(c).cast("long").alias(c) for c in sums]))
+    out = both.groupBy(key).agg(*[F.sum(c).cast("long").alias(c) for c in sums])
     # at most one row per spine bucket: sort it in one partition
-    return joined.select(cols).coalesce(1).sortWithinPartitions(key)
+    return out.coalesce(1).sortWithinPartitions(key)

@@ -4,8 +4,9 @@ The reference counts messages since ``as_of - 24 h`` (``- 14 d``) and then
 keeps only the buckets of a spine that starts at ``trunc(as_of - 23 h)``
 (``- 13 d``) and ends at ``trunc(as_of)``: rows of the oldest partial bucket
 and of buckets after ``as_of`` are counted and then dropped by the join.
-Here the count filter is narrowed to exactly the spine's range, which gives
-the same rows, reads less and bounds the aggregate to one row per bucket.
+Here the row filter is narrowed to exactly the spine's range (the same rows
+survive, less is read) and the spine's zero rows are summed in with them in
+one aggregation (``operators.spine.gap_fill``).
 """
 
 from __future__ import annotations
@@ -30,15 +31,14 @@ DAILY_BUCKETS = 14
 def _activity(spark: SparkSession, tables: ChatTables, first: dt.datetime,
               last: dt.datetime, step: dt.timedelta, step_sql: str,
               bucket_fn) -> DataFrame:
-    m = tables.messages
     window = between_times("timestamp", first, last + step,
                            date_partition=tables.messages_date_partitioned)
-    counts = (m.filter(window)
-              .groupBy(bucket_fn(F.col("timestamp")).alias("bucket"))
-              .agg(F.count(F.lit(1)).alias("messages"),
-                   F.count_if(F.col("error").isNotNull()).alias("errors")))
+    rows = tables.messages.filter(window).select(
+        bucket_fn(F.col("timestamp")).alias("bucket"),
+        F.lit(1).alias("messages"),
+        F.col("error").isNotNull().cast("int").alias("errors"))
     spine = time_spine(spark, first, last, step_sql)
-    return gap_fill(spine, counts, "bucket", ("messages", "errors"))
+    return gap_fill(spine, rows, "bucket", ("messages", "errors"))
 
 
 def activity_hourly(spark: SparkSession, tables: ChatTables,

@@ -59,9 +59,8 @@ def activity_from_buckets(spark: SparkSession, buckets: DataFrame,
                 .groupBy(hour_bucket(F.col("timestamp")).alias("bucket"))
                 .agg(F.count(F.lit(1)).alias("messages"),
                      F.count_if(F.col("error").isNotNull()).alias("errors")))
-    counts = parts.groupBy(bucket_fn(F.col("bucket")).alias("bucket")).agg(
-        F.sum("messages").alias("messages"), F.sum("errors").alias("errors"))
-    return gap_fill(time_spine(spark, first, last, step), counts, "bucket",
+    rows = parts.select(bucket_fn(F.col("bucket")).alias("bucket"), "messages", "errors")
+    return gap_fill(time_spine(spark, first, last, step), rows, "bucket",
                     ("messages", "errors"))
 
 
