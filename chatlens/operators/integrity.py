@@ -3,9 +3,10 @@
 A lake does not enforce keys, NOT NULL or foreign keys, so each becomes a
 job. All are aggregations or anti-joins that Spark distributes: duplicate
 keys shuffle once on the key (the partial count collapses repeats within a
-task first); anti-joins drop NULL keys up front (a NULL foreign key is legal
-and would otherwise pile into one shuffle partition), and a hot parent key is
-split by AQE's skew-join handling.
+task first). Orphan checks count children per foreign key before the
+anti-join, so only distinct keys move and a hot key is one row per task.
+NULL foreign keys are legal and are dropped, or spread by the row's own id,
+before any shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from chatlens.functions.predicates import all_of
 from chatlens.operators.joins import anti_join_nullable
+from chatlens.operators.lookup import semi_join_keys
 from chatlens.operators.rollups import rollup_of
 from chatlens.sources.tables import ChatTables
 
@@ -82,28 +84,39 @@ def required_nulls(tables: ChatTables) -> DataFrame:
     return out
 
 
+def _orphan_keys(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
+    """``fk, rows`` for every non-NULL foreign key value with no parent row.
+
+    Children are counted per key first (partial aggregation: a key holding a
+    third of all rows is one row per task), so the anti-join moves distinct
+    keys, not child rows."""
+    per_key = (child.filter(F.col(fk).isNotNull()).groupBy(fk)
+               .agg(F.count(F.lit(1)).alias("rows")))
+    parents = parent.select(F.col(pk).alias("_pk"))
+    return per_key.join(parents, per_key[fk] == parents["_pk"], "left_anti")
+
+
 def orphan_conversations(tables: ChatTables) -> DataFrame:
     """D3: conversations whose non-NULL user_id has no users row."""
-    c = tables.conversations.filter(F.col("user_id").isNotNull())
-    u = tables.users.select(F.col("id").alias("_uid"))
-    return c.join(u, c["user_id"] == u["_uid"], "left_anti")
+    keys = _orphan_keys(tables.conversations, "user_id", tables.users, "id")
+    return semi_join_keys(tables.conversations, "user_id", keys, "user_id")
 
 
 def orphan_messages(tables: ChatTables) -> DataFrame:
     """D3: messages whose non-NULL conversation_id has no conversations row."""
-    m = tables.messages.filter(F.col("conversation_id").isNotNull())
-    c = tables.conversations.select(F.col("id").alias("_cid"))
-    return m.join(c, m["conversation_id"] == c["_cid"], "left_anti")
+    keys = _orphan_keys(tables.messages, "conversation_id", tables.conversations, "id")
+    return semi_join_keys(tables.messages, "conversation_id", keys, "conversation_id")
 
 
 def orphan_summary(tables: ChatTables) -> DataFrame:
-    """D3 summary: orphan rows per foreign key."""
-    return (orphan_conversations(tables).agg(F.count(F.lit(1)).alias("orphan_rows"))
-            .select(F.lit("conversations.user_id").alias("foreign_key"), "orphan_rows")
-            .unionByName(
-                orphan_messages(tables).agg(F.count(F.lit(1)).alias("orphan_rows"))
-                .select(F.lit("messages.conversation_id").alias("foreign_key"),
-                        "orphan_rows")))
+    """D3 summary: orphan rows per foreign key (from the per-key counts)."""
+    def total(keys: DataFrame, name: str) -> DataFrame:
+        return keys.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("orphan_rows")) \
+            .select(F.lit(name).alias("foreign_key"), "orphan_rows")
+    return total(_orphan_keys(tables.conversations, "user_id", tables.users, "id"),
+                 "conversations.user_id").unionByName(
+        total(_orphan_keys(tables.messages, "conversation_id", tables.conversations, "id"),
+              "messages.conversation_id"))
 
 
 def cascade_delete(tables: ChatTables, deleted_conversations: DataFrame) -> ChatTables:

@@ -80,6 +80,24 @@ def restrict_to_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str,
     return big.join(F.broadcast(k), big[big_key] == F.col("_k"), "left_semi")
 
 
+def semi_join_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str,
+                   literal_limit: int = LITERAL_KEY_LIMIT,
+                   limit: int = BROADCAST_KEY_LIMIT) -> DataFrame:
+    """Exactly the rows of ``big`` whose key is in ``keys``, by the cheapest
+    safe plan: a literal ``IN`` (up to ``literal_limit`` keys), a broadcast
+    semi-join (up to ``limit`` keys, counted first), else a shuffled semi-join."""
+    raw = keys.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
+    first = (raw.limit(literal_limit + 1)
+             .agg(F.collect_list("_k").alias("ks")).first().ks)
+    if len(first) <= literal_limit:
+        return big.filter(key_in(big_key, first))
+    if raw.count() <= limit:
+        k = F.broadcast(materialize_bounded(raw))
+    else:
+        k = raw
+    return big.join(k, big[big_key] == F.col("_k"), "left_semi")
+
+
 def rows_with_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``big`` whose ``big_key`` is among ``keys[key]``.
 

@@ -219,6 +219,8 @@ def test_labels(spark):
 def test_integrity(tables, spark):
     summary = {r.foreign_key: r.orphan_rows for r in integrity.orphan_summary(tables).collect()}
     assert summary == {"conversations.user_id": 0, "messages.conversation_id": 1}
+    assert [r.id for r in integrity.orphan_messages(tables).collect()] == [9]
+    assert integrity.orphan_conversations(tables).count() == 0
     audit = {r.id: (r.count_mismatch, r.last_message_mismatch)
              for r in integrity.counter_audit(tables).collect()}
     assert audit[10] == (True, True) and audit[11] == (True, True) and 13 not in audit
