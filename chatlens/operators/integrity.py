@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.functions.predicates import all_of
-from chatlens.operators.joins import anti_join_nullable
-from chatlens.operators.lookup import semi_join_keys
+from chatlens.operators.lookup import anti_join_keys, semi_join_keys
 from chatlens.operators.rollups import rollup_of
 from chatlens.sources.tables import ChatTables
 
@@ -123,12 +122,13 @@ def cascade_delete(tables: ChatTables, deleted_conversations: DataFrame) -> Chat
     """Remove conversations and, with them, their messages.
 
     ``deleted_conversations`` needs an ``id`` column. Messages without a
-    conversation stay (a NULL key matches nothing).
+    conversation stay (a NULL key matches nothing). The deleted keys go in as
+    a literal list, a broadcast or, for a huge deletion, a shuffled anti-join
+    with NULL keys spread out (``lookup.anti_join_keys``).
     """
-    gone = deleted_conversations.select(F.col("id").alias("_gone")).distinct()
-    convs = tables.conversations.join(gone, tables.conversations["id"] == gone["_gone"],
-                                      "left_anti")
-    msgs = anti_join_nullable(tables.messages, gone, "conversation_id", "id", "_gone")
+    gone = deleted_conversations.select(F.col("id").alias("_gone"))
+    convs = anti_join_keys(tables.conversations, "id", "id", gone, "_gone")
+    msgs = anti_join_keys(tables.messages, "conversation_id", "id", gone, "_gone")
     return ChatTables(users=tables.users, conversations=convs, messages=msgs,
                       messages_date_partitioned=tables.messages_date_partitioned)
 

@@ -98,6 +98,27 @@ def semi_join_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str,
     return big.join(k, big[big_key] == F.col("_k"), "left_semi")
 
 
+def anti_join_keys(big: DataFrame, big_key: str, big_pk: str, keys: DataFrame, key: str,
+                   literal_limit: int = LITERAL_KEY_LIMIT,
+                   limit: int = BROADCAST_KEY_LIMIT) -> DataFrame:
+    """Exactly the rows of ``big`` whose key is NOT in ``keys`` (a NULL key
+    is kept): a literal ``NOT IN`` (up to ``literal_limit`` keys), a broadcast
+    anti-join (up to ``limit`` keys, counted first), else a shuffled anti-join
+    with NULL keys spread by ``big_pk`` (``joins.anti_join_nullable``)."""
+    from chatlens.operators.joins import anti_join_nullable
+    raw = keys.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
+    first = (raw.limit(literal_limit + 1)
+             .agg(F.collect_list("_k").alias("ks")).first().ks)
+    if len(first) <= literal_limit:
+        if not first:
+            return big
+        return big.filter(F.col(big_key).isNull() | ~key_in(big_key, first))
+    if raw.count() <= limit:
+        k = F.broadcast(materialize_bounded(raw))
+        return big.join(k, big[big_key] == F.col("_k"), "left_anti")
+    return anti_join_nullable(big, raw, big_key, big_pk, "_k")
+
+
 def rows_with_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``big`` whose ``big_key`` is among ``keys[key]``.
 
