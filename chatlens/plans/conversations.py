@@ -55,8 +55,11 @@ def _error_counts(tables: ChatTables, cand: DataFrame, narrowed: bool) -> DataFr
     """Per-conversation error counts for the error filter. When other filters
     narrowed the candidates, only their messages are aggregated (broadcast
     under a runtime-proven bound)."""
+    if tables.conversation_rollup is not None:
+        shared = rollup_of(tables, ("error_count",))
+        return restrict_to_keys(shared, "conversation_id", cand, "id") if narrowed else shared
     msgs = tables.messages
-    if narrowed and tables.conversation_rollup is None:
+    if narrowed:
         msgs = restrict_to_keys(msgs, "conversation_id", cand, "id")
     return rollup_of(tables, ("error_count",), messages=msgs)
 

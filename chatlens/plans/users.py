@@ -48,7 +48,8 @@ def _with_rollup(tables: ChatTables, users: DataFrame, convs: DataFrame) -> Data
     tables carry one, else from their conversations' messages only (the
     message filter is broadcast under a runtime-proven bound)."""
     if tables.conversation_rollup is not None:
-        shared = rollup_of(tables, ("total_messages", "error_count"))
+        shared = restrict_to_keys(rollup_of(tables, ("total_messages", "error_count")),
+                                  "conversation_id", convs, "id")
         return with_user_rollup(users, convs, tables.messages, per_conversation=shared)
     msgs = restrict_to_keys(tables.messages, "conversation_id", convs, "id")
     return with_user_rollup(users, convs, msgs)
