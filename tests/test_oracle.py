@@ -19,6 +19,12 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
 
 
+# Spark type -> the DuckDB type the oracle must produce for it
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]",
+         "date": "DATE"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
@@ -26,6 +32,10 @@ def test_query_matches_oracle(spark, duck, name):
     ok, why = same_result(df.columns, [tuple(r) for r in df.collect()],
                           rel.columns, rel.fetchall())
     assert ok, why
+    oracle_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    for f in df.schema.fields:
+        assert TYPES.get(f.dataType.simpleString()) == oracle_types[f.name], \
+            (f.name, f.dataType.simpleString(), oracle_types[f.name])
 
 
 def test_entry_runs(spark):
