@@ -52,6 +52,16 @@ LITERAL_KEY_LIMIT = 10_000
 BROADCAST_KEY_LIMIT = 1_000_000
 
 
+def _distinct_keys(keys: DataFrame, key: str, literal_limit: int):
+    """``(raw, first)``: the distinct non-NULL keys as ``_k``, and at most
+    ``literal_limit + 1`` of them fetched in one job (every task passes on at
+    most that many to a single-row gather, instead of an incremental take
+    that runs job after job)."""
+    raw = keys.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
+    first = raw.limit(literal_limit + 1).agg(F.collect_list("_k").alias("ks")).first().ks
+    return raw, first
+
+
 def restrict_to_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str,
                      literal_limit: int = LITERAL_KEY_LIMIT,
                      limit: int = BROADCAST_KEY_LIMIT) -> DataFrame:
@@ -67,11 +77,7 @@ def restrict_to_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str,
     as a semi-join filter. Above that, the caller's aggregate-then-join plan
     is kept.
     """
-    raw = keys.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
-    # one job: every task passes on at most literal_limit + 1 keys, gathered
-    # into one row (not an incremental take, which runs job after job)
-    first = (raw.limit(literal_limit + 1)
-             .agg(F.collect_list("_k").alias("ks")).first().ks)
+    raw, first = _distinct_keys(keys, key, literal_limit)
     if len(first) <= literal_limit:
         return big.filter(key_in(big_key, first))
     if raw.count() > limit:
@@ -86,9 +92,7 @@ def semi_join_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str,
     """Exactly the rows of ``big`` whose key is in ``keys``, by the cheapest
     safe plan: a literal ``IN`` (up to ``literal_limit`` keys), a broadcast
     semi-join (up to ``limit`` keys, counted first), else a shuffled semi-join."""
-    raw = keys.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
-    first = (raw.limit(literal_limit + 1)
-             .agg(F.collect_list("_k").alias("ks")).first().ks)
+    raw, first = _distinct_keys(keys, key, literal_limit)
     if len(first) <= literal_limit:
         return big.filter(key_in(big_key, first))
     if raw.count() <= limit:
@@ -106,9 +110,7 @@ def anti_join_keys(big: DataFrame, big_key: str, big_pk: str, keys: DataFrame, k
     anti-join (up to ``limit`` keys, counted first), else a shuffled anti-join
     with NULL keys spread by ``big_pk`` (``joins.anti_join_nullable``)."""
     from chatlens.operators.joins import anti_join_nullable
-    raw = keys.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
-    first = (raw.limit(literal_limit + 1)
-             .agg(F.collect_list("_k").alias("ks")).first().ks)
+    raw, first = _distinct_keys(keys, key, literal_limit)
     if len(first) <= literal_limit:
         if not first:
             return big
