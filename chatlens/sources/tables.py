@@ -1,9 +1,10 @@
 """Reading and storing users, conversations and messages.
 
 Stored layout (``write_tables``): messages are partitioned by the calendar day
-of ``timestamp`` (column ``msg_date``) and clustered by ``conversation_id``
-inside each day, so time-window reports prune whole folders and the per-
-conversation rollups read row groups whose min/max statistics are narrow.
+of ``timestamp`` (column ``msg_date``) and range-clustered by
+(``conversation_id``, ``timestamp``) inside each day, so time-window reports
+prune whole folders and per-conversation lookups read row groups whose
+min/max statistics are narrow.
 """
 
 from __future__ import annotations
@@ -82,23 +83,27 @@ def load_tables(spark: SparkSession, root: str) -> ChatTables:
 
 
 def write_tables(tables: ChatTables, root: str, mode: str = "overwrite",
-                 files_per_day: int = 1) -> None:
+                 rows_per_file: int = 5_000_000, num_files: int | None = None) -> None:
     """Store the three tables as parquet under ``root``.
 
-    ``files_per_day`` sets how many files each day folder of messages gets;
-    rows are hash-spread over those files by conversation and sorted by
-    (conversation_id, timestamp) inside each file.
+    Messages are range-partitioned on (day, conversation_id, timestamp) into
+    ``num_files`` tasks (default: one per ``rows_per_file`` rows, from a
+    count) and sorted the same way within each file. Range boundaries come
+    from a sample, so a hot day or a conversation holding a third of all rows
+    is split across many files by time instead of landing in one task; each
+    file still holds contiguous conversations, so row-group statistics on
+    ``conversation_id`` and ``timestamp`` prune lookups.
     """
-    tables.users.select(S.USER_COLUMNS).write.mode(mode).parquet(
-        f"{root}/users")
+    tables.users.select(S.USER_COLUMNS).write.mode(mode).parquet(f"{root}/users")
     (tables.conversations.select(S.CONVERSATION_COLUMNS)
         .repartitionByRange("id").write.mode(mode)
         .parquet(f"{root}/conversations"))
-    day = F.to_date("timestamp")
-    (tables.messages.select(S.MESSAGE_COLUMNS)
-        .withColumn(S.MESSAGE_DATE_PARTITION, day)
-        .repartition(S.MESSAGE_DATE_PARTITION,
-                     (F.abs(F.xxhash64("conversation_id")) % files_per_day))
-        .sortWithinPartitions("conversation_id", "timestamp")
+    msgs = (tables.messages.select(S.MESSAGE_COLUMNS)
+            .withColumn(S.MESSAGE_DATE_PARTITION, F.to_date("timestamp")))
+    if num_files is None:
+        num_files = max(1, -(-msgs.count() // rows_per_file))
+    order = [S.MESSAGE_DATE_PARTITION, "conversation_id", "timestamp"]
+    (msgs.repartitionByRange(num_files, *order)
+        .sortWithinPartitions(*order)
         .write.mode(mode).partitionBy(S.MESSAGE_DATE_PARTITION)
         .parquet(f"{root}/messages"))

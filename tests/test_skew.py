@@ -109,3 +109,14 @@ def test_key_set_joins_are_exact_on_every_path(spark, literal_limit, limit):
                   .collect())
     assert semi == [1, 4, 5]
     assert anti == [2, 3]      # the NULL key is kept by the anti-join
+
+
+def test_stored_layout_splits_a_hot_conversation(spark, skewed, scratch):
+    from chatlens.sources.tables import load_tables, write_tables
+    root = f"{scratch}/stored_skew"
+    write_tables(skewed, root, num_files=8)
+    stored = load_tables(spark, root)
+    files = (stored.messages.filter(F.col("conversation_id") == HOT_CONVERSATION)
+             .select(F.input_file_name().alias("f")).distinct().count())
+    assert files > 1
+    assert stored.messages.count() == skewed.messages.count()
