@@ -1,6 +1,7 @@
 """Structured Streaming versions of the refreshed dashboard results."""
 
-from chatlens.streaming.jobs import (activity_buckets, dedup_messages,
+from chatlens.streaming.jobs import (activity_buckets, compact_conversation_rollup,
+                                     dedup_messages,
                                      latest_conversation_rollup, message_stream,
                                      rollup_upserts, start_bucket_sink,
                                      start_rollup_sink, tool_buckets)
@@ -9,5 +10,5 @@ from chatlens.streaming.readback import (activity_from_buckets,
 
 __all__ = ["message_stream", "dedup_messages", "activity_buckets", "tool_buckets",
            "rollup_upserts", "start_bucket_sink", "start_rollup_sink",
-           "latest_conversation_rollup", "activity_from_buckets",
+           "latest_conversation_rollup", "compact_conversation_rollup", "activity_from_buckets",
            "top_tools_from_buckets"]

@@ -129,14 +129,43 @@ def start_rollup_sink(upserts: DataFrame, path: str, name: str = "conversation_r
     return writer.queryName(name).start()
 
 
-def latest_conversation_rollup(spark: SparkSession, path: str) -> DataFrame:
+def _latest(versions: DataFrame) -> DataFrame:
+    cols = [c for c in versions.columns if c != "conversation_id"]
+    return (versions.groupBy("conversation_id")
+            .agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("r"))
+            .select("conversation_id", "r.*"))
+
+
+def compact_conversation_rollup(spark: SparkSession, path: str, snapshot_path: str) -> int:
+    """Write the latest version of every conversation (a snapshot carrying
+    ``batch_id``) to ``snapshot_path``; returns the newest batch it covers.
+
+    Readers given the snapshot then read only batch folders newer than it
+    (partition pruning), so reads stop growing with the stream's age; older
+    batch folders may be dropped by the operator.
+    """
+    versions = spark.read.parquet(path)
+    snapshot = _latest(versions)
+    snapshot.write.mode("overwrite").parquet(snapshot_path)
+    return spark.read.parquet(snapshot_path).agg(F.max("batch_id")).first()[0]
+
+
+def latest_conversation_rollup(spark: SparkSession, path: str,
+                               snapshot_path: str | None = None) -> DataFrame:
     """The newest version of every conversation's rollup, with the rounded
-    mean latency computed from the kept sum and count."""
+    mean latency computed from the kept sum and count.
+
+    With ``snapshot_path`` (from ``compact_conversation_rollup``) only batch
+    folders newer than the snapshot are read.
+    """
     versions = spark.read.parquet(path)
-    cols = [c for c in versions.columns if c not in ("conversation_id", "batch_id")]
-    latest = (versions.groupBy("conversation_id")
-              .agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("r"))
-              .select("conversation_id", "r.*"))
+    if snapshot_path:
+        snap = spark.read.parquet(snapshot_path)
+        covered = snap.agg(F.max("batch_id")).first()[0]
+        newer = versions.filter(F.col("batch_id") > F.lit(covered)) if covered is not None \
+            else versions
+        versions = snap.unionByName(newer.select(*snap.columns))
+    latest = _latest(versions).drop("batch_id")
     mean = F.round(F.col("latency_sum") / F.col("latency_count"), 0).cast("long")
     return latest.withColumn("avg_assistant_response_time_ms",
                              F.when(F.col("latency_count") > 0, mean))
