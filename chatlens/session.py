@@ -20,14 +20,39 @@ RECOMMENDED_CONF = {
 }
 
 
+# Sizing for a large cluster (on the order of 100 TB of messages, ~1000
+# executors). Scan splits of 512 MB keep the task count, and the number of
+# partial top-k results a page merges, in the low hundreds of thousands. AQE
+# starts from many shuffle partitions and coalesces them towards 256 MB, so
+# a partition fits in executor memory without hand-tuning per report, and a
+# partition over 1 GB and 5x the median is split as skewed.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.shuffle.partitions": "8192",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def build_session(master: str | None = None, app_name: str = "chatlens",
                   shuffle_partitions: int | None = None,
-                  extra: dict[str, str] | None = None) -> SparkSession:
-    """Create (or fetch) a session with the library's recommended settings."""
+                  extra: dict[str, str] | None = None,
+                  profile: str = "local") -> SparkSession:
+    """Create (or fetch) a session with the library's recommended settings.
+
+    ``profile="cluster"`` adds ``CLUSTER_CONF`` (large-data sizing).
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(RECOMMENDED_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
+    elif profile != "local":
+        raise ValueError(f"profile must be local or cluster, not {profile!r}")
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
