@@ -65,6 +65,10 @@ CASES = {
     "conversation_search": {"query": "ch", "role": "assistant"},
     "users_page_facts": {"search": "MACHINERY 1", "limit": 50, "offset": 100},
     "cascade": {"started_before": dt.date(2024, 1, 10)},
+    "conversations_search": {
+        "filters": {"search": "machinery", "date_from": dt.date(2024, 1, 12)},
+        "limit": 100, "offset": 7},
+    "users_deep": {"limit": 200, "offset": 1400},
 }
 
 
@@ -159,6 +163,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                   {"search": CASES["users_page_facts"]["search"]},
                                   limit=CASES["users_page_facts"]["limit"],
                                   offset=CASES["users_page_facts"]["offset"]),
+        "conversations_page_search": _q(
+            conversations.conversations_list, limit=CASES["conversations_search"]["limit"],
+            offset=CASES["conversations_search"]["offset"],
+            **CASES["conversations_search"]["filters"]),
+        "conversations_total_search": _q(conversations.conversations_total,
+                                         **CASES["conversations_search"]["filters"]),
+        "users_page_deep": _q(users.users_list, limit=CASES["users_deep"]["limit"],
+                              offset=CASES["users_deep"]["offset"]),
         "dq_duplicate_keys": _q(integrity.duplicate_keys),
         "dq_duplicate_key_summary": _q(integrity.duplicate_key_summary),
         "dq_required_nulls": _q(integrity.required_nulls),

@@ -320,6 +320,14 @@ def oracle_sql(cases: dict) -> dict[str, str]:
         "errors_page_filtered": _messages(
             limit=err_f["limit"], offset=err_f["offset"], has_error=True, **err_f["filters"]),
         "errors_total_filtered": _messages_total(has_error=True, **err_f["filters"]),
+        "conversations_page_search": _conversations(
+            limit=cases["conversations_search"]["limit"],
+            offset=cases["conversations_search"]["offset"],
+            **cases["conversations_search"]["filters"]),
+        "conversations_total_search": _conversations_total(
+            **cases["conversations_search"]["filters"]),
+        "users_page_deep": _users(None, True, limit=cases["users_deep"]["limit"],
+                                  offset=cases["users_deep"]["offset"]),
         **label_views(cases),
         **quality_checks(cases),
         **streaming(cases),
