@@ -22,11 +22,13 @@ def _workdir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/chatlens-replay/{name}-{uuid.uuid4().hex}"
 
 
-def land(messages: DataFrame, folder: str, files: int = 4, copies: int = 1) -> None:
-    """Write ``messages`` into ``folder`` as ``files`` files, ``copies`` times."""
+def land(messages: DataFrame, folder: str, copies: int = 1) -> int:
+    """Write ``messages`` into ``folder`` ``copies`` times, one file per input
+    partition (no shuffle); returns the number of partitions written."""
     data = messages.select(*MESSAGE_COLUMNS)
     for i in range(copies):
-        data.repartition(files).write.mode("append" if i else "errorifexists").parquet(folder)
+        data.write.mode("append" if i else "errorifexists").parquet(folder)
+    return data.rdd.getNumPartitions()
 
 
 def _run(query) -> None:
@@ -58,11 +60,13 @@ def replay_tool_buckets(spark: SparkSession, messages: DataFrame,
 
 
 def replay_conversation_rollup(spark: SparkSession, messages: DataFrame,
-                               files: int = 4) -> DataFrame:
-    """T3 over ``messages``, one file per micro-batch: the latest rollups."""
+                               batches: int = 4) -> DataFrame:
+    """T3 over ``messages`` in about ``batches`` micro-batches (the landed
+    files split evenly): the latest rollups."""
     work = _workdir(spark, "t3")
-    land(messages, f"{work}/in", files=files)
-    stream = jobs.message_stream(spark, f"{work}/in", max_files_per_trigger=1)
+    parts = land(messages, f"{work}/in")
+    per_batch = max(1, -(-parts // batches))
+    stream = jobs.message_stream(spark, f"{work}/in", max_files_per_trigger=per_batch)
     _run(jobs.start_rollup_sink(jobs.rollup_upserts(stream), f"{work}/out",
                                 f"t3-{work[-8:]}", checkpoint=f"{work}/ckpt"))
     return jobs.latest_conversation_rollup(spark, f"{work}/out")
