@@ -30,6 +30,12 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 LOCAL_CHECKPOINTS = "/tmp/chatlens-checkpoints"
 AS_OF = FIXTURE_AS_OF
 
+try:
+    import corpus_pipeline
+    from chatlens.llm import queries as llm_queries
+except ImportError:  # the subpackage is optional
+    corpus_pipeline = llm_queries = None
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the gap-filled hourly activity chart on sf0.001."""
@@ -107,7 +113,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ef = CASES["errors_filtered"]
     cs = CASES["conversation_search"]
     us = CASES["users_search"]["search"]
-    return {
+    llm = {} if llm_queries is None else {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run}
+    return llm | {
         "activity_hourly": _q(activity.activity_hourly, True, as_of=AS_OF),
         "activity_daily": _q(activity.activity_daily, True, as_of=AS_OF),
         "kpi_stats": _q(kpis.kpi_stats, as_of=AS_OF),
@@ -185,4 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql(CASES)
+    llm = {} if llm_queries is None else dict(llm_queries.ORACLE)
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL:
+        llm["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return llm | oracle.oracle_sql(CASES)
