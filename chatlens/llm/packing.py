@@ -23,17 +23,29 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Words whose ids a task remembers, and texts encoded at a time.
-REMEMBERED, TEXTS = 400_000, 256
+#: Words whose ids a Python worker remembers (about 150 bytes each), and bytes of text encoded at a time.
+REMEMBERED, BYTES = 1_000_000, 1 << 23
 #: Partitions whose open windows are merged together.
 MERGED = 64
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = True
+_MARK[list(b".,;:!?|%$#*&")] = True
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC3, 0xC4, 0xC5]] = True  # first byte of U+00C0 to U+017F: letters but for two signs, C3 97 and C3 B7
+
+
 class WordEncoder:
-    """Ids of texts by way of their words.
+    """Ids of texts by way of their words, for tokenizers that join nothing across white
+    space, put letters in lower case, and cut between letters and marks.
 
-    No rule of the tokenizer joins what white space parts, so a text's ids are those
-    of its words one after another, and each distinct word is encoded once.
+    A text's ids are then those of its words one after another. A-Z are lowered and
+    marks parted from letters first, so that there are fewer distinct words, and
+    each distinct word is encoded once. Words of letters only are encoded many at a time: if as many
+    tokens have the end-of-word suffix as there are words, each ends one of them.
     """
 
     def __init__(self, path: str):
@@ -41,35 +53,98 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def _words(self, words: list[str]) -> list[list[int]]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = words
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-        return [known[w] for w in words]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self):
+        self.number: dict[str, int] = {}
+        self.flat, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has."""
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
+        length = np.zeros(len(words), np.int64)
+        ids: list = [None, None]
+        for k, of in enumerate((np.flatnonzero(plain), np.flatnonzero(~plain))):
+            found = []
+            for i in range(0, len(of), 5000):
+                part = of[i:i + 5000]
+                own = [words[j] for j in part]
+                if k == 0:
+                    got = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, np.uint32)
+                    stop = np.flatnonzero(self.ends[got]) + 1
+                    if len(stop) == len(own):
+                        length[part] = np.diff(stop, prepend=0)
+                        found.append(got)
+                        continue
+                each = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+                length[part] = [len(e) for e in each]
+                found.append(np.fromiter(itertools.chain.from_iterable(each), np.uint32))
+            ids[k] = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        of_plain = np.repeat(plain, length)
+        out = np.empty(len(of_plain), np.uint32)
+        out[of_plain], out[~of_plain] = ids
+        return out, length
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        at = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(self.number) + len(new) > REMEMBERED:
+            self._forget()
+            new = np.arange(len(words))
+        if len(new):
+            own = [words[i] for i in new]
+            ids, length = self._ids(own)
+            at[new] = np.arange(len(self.length), len(self.length) + len(new))
+            self.number.update(zip(own, at[new].tolist()))
+            self.flat, self.length = np.r_[self.flat, ids], np.r_[self.length, length]
+        return at
+
+    @staticmethod
+    def _parted(texts: pa.Array) -> pa.Array:
+        """Texts with A-Z lowered and spaces between letters and marks after them. Texts
+        that might hold a special token's name are left as they are."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+        if ((data[:-1] == 60) & (data[1:] == 124)).any():
+            return texts
+        offsets = offsets - offsets[0]
+        data = _LOWER[data]
+        letter = _LETTER[data]
+        letter[1:] |= _LEAD[data[:-1]] & (data[1:] & 0xC0 == 0x80) & ~((data[:-1] == 0xC3) & (data[1:] & 0x9F == 0x97))
+        at = np.flatnonzero(letter[:-1] & _MARK[data[1:]]) + 1
+        return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets + np.searchsorted(at, offsets)), pa.py_buffer(np.insert(data, at, 32)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32), and where each text's begin, with the end as the last."""
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        split = pc.ascii_split_whitespace(self._parted(texts))
         coded = split.flatten().dictionary_encode()
-        ids = self._words(coded.dictionary.to_pylist())
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(length.sum()))
-        at = np.asarray(coded.indices, np.int64)
-        of = length[at]
+        at = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices, np.int64)]
+        of = self.length[at]
         ends = np.r_[0, np.cumsum(of)]
-        begin = (np.cumsum(length) - length)[at]
-        out = flat[np.repeat(begin - ends[:-1], of) + np.arange(ends[-1])]
+        begin = (np.cumsum(self.length) - self.length)[at]
+        place = np.repeat((begin - ends[:-1]).astype(np.int32), of)  # what is held is far below 2^31
+        place += np.arange(ends[-1], dtype=np.int32)
+        out = self.flat[place]
         offsets = np.asarray(split.offsets, np.int64)
         return out, ends[offsets - offsets[0]]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """This process's encoder, so that a worker that is used again still knows the words."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 class Windows:
     """The open windows of one partition."""
 
@@ -132,7 +207,7 @@ _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_
 
 def _pack(path: str, end_id: int, size: int, n_open: int, max_pad: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows = WordEncoder(path), Windows(size, n_open, max_pad)
+        encoder, windows = encoder_of(path), Windows(size, n_open, max_pad)
         part = TaskContext.get().partitionId()
 
         def rows(out: list) -> pa.RecordBatch:
@@ -140,8 +215,10 @@ def _pack(path: str, end_id: int, size: int, n_open: int, max_pad: int):
             return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols, _ARROW)), pa.array([part] * len(out), pa.int64())], schema=_ARROW)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, TEXTS):
-                piece = batch.slice(i, TEXTS)
+            end = np.cumsum(np.asarray(pc.binary_length(batch.column(1)).fill_null(0), np.int64)) // BYTES
+            edges = np.r_[0, np.flatnonzero(np.diff(end)) + 1, batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                piece = batch.slice(a, b - a)
                 ids, bounds = encoder.encode(piece.column(1))
                 out: list = []
                 for doc, a, b in zip(piece.column(0).to_pylist(), bounds, bounds[1:]):
