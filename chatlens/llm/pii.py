@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 GENERATORS = (
     ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
     ("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]"),
-    ("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]"),
+    ("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", r"[0-9](?:[\x20-]?[0-9]){12}"),  # shorter runs fail the rule, and so do their ends
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
     ("contact", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|[(\[](?:at|AT)[)\]])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[](?:dot|DOT)[)\]])\x20?[A-Za-z0-9-]++)++", r"@|[(\[](?:at|AT)[)\]]"),
     ("number", r"(?<![0-9])(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-][0-9]{2,5}){1,4}(?![0-9])", r"[0-9]{2}"),
 )
 BASE = 4
+#: Matches whose places are summed at a time.
+RUN = 128
 #: Feature: number of values.
 FEATURES = {"gen": len(GENERATORS), "digits": 6, "groups": 4, "separators": 4, "before": 4, "after": 3, "cue": 6}
 CUES = ((1, "mail|contact|write"), (2, "call|tel|phone|mobile|fax"), (3, "card|visa|account|pay"),
@@ -36,22 +38,40 @@ CUES = ((1, "mail|contact|write"), (2, "call|tel|phone|mobile|fax"), (3, "card|v
 ROUNDS, DEPTH, RATE, PRECISION = 20, 3, 0.4, 0.95
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once even where ``body`` uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _matches(text: Column, gen: int) -> Column:
-    """Array of (gen, start, stop, match): leftmost matches that don't overlap. What
-    lies between matches is what ``split`` leaves, and gives their places."""
+    """Array of (gen, start, stop, match): leftmost matches that don't overlap.
+
+    What lies between matches is what ``split`` leaves, and gives their places: those
+    within a run of matches first, then those of the runs, since one running sum over all
+    would copy what it has for each match.
+    """
     _, pattern, must = GENERATORS[gen]
     none = F.array().cast("array<struct<gen:int,start:int,stop:int,match:string>>")
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern).alias("gap"), found.alias("match"))
-    placed = F.aggregate(
-        F.filter(pairs, lambda p: p["match"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(F.lit(gen).alias("gen"), (acc["at"] + F.length(p["gap"])).alias("start"),
-                                                  (acc["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("stop"),
-                                                  p["match"].alias("match")))).alias("out")),
-        lambda acc: acc["out"])
-    return F.when(text.rlike(must), placed).otherwise(none)
+    pairs = F.filter(F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match")),
+                     lambda p: p["match"].isNotNull())
+
+    def run_of(own: Column):
+        return lambda i: F.aggregate(
+            F.slice(own, i, RUN), F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda acc, p: F.struct(
+                (acc["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("at"),
+                F.concat(acc["out"], F.array(F.struct(
+                    F.lit(gen).alias("gen"), (acc["at"] + F.length(p["gap"])).alias("start"),
+                    (acc["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("stop"), p["match"].alias("match")))).alias("out")))
+
+    def placed(own: Column) -> Column:
+        starts = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(starts, run_of(own)), lambda local: let(
+            F.aggregate(local, F.array(F.lit(0)), lambda acc, run: F.concat(acc, F.array(F.element_at(acc, -1) + run["at"]))),
+            lambda ends: F.flatten(F.transform(local, lambda run, i: F.transform(run["out"], lambda c: F.struct(
+                c["gen"].alias("gen"), (c["start"] + F.get(ends, i)).alias("start"), (c["stop"] + F.get(ends, i)).alias("stop"), c["match"].alias("match")))))))
+
+    return F.when(text.rlike(must), let(pairs, placed)).otherwise(none)
 
 
 def _luhn(digits: Column) -> Column:
@@ -96,13 +116,17 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, spans``: arrays of candidates with features; ``good`` is the weak label, ``base`` the rule's verdict."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_as(docs, text_col))
-    found = rows.withColumn("found", F.concat(*(_matches(F.col("text"), g) for g in range(len(GENERATORS)))))
-    ruled = found.withColumn("found", F.transform("found", lambda c: F.struct(c["gen"].alias("gen"), c["start"].alias("start"), c["stop"].alias("stop"),
-                                                                             c["match"].alias("match"), _passes(c).alias("passes"))))
-    ruled = ruled.withColumn("base", F.filter("found", lambda c: c["passes"]))
-    meets = lambda c: F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    spans = F.transform("found", lambda c: _features(text, c, F.when(c["gen"] < BASE, c["passes"]).otherwise(meets(c))))
-    return ruled.select("doc_id", "base", spans.alias("spans"))
+    found = F.concat(*(_matches(F.col("text"), g) for g in range(len(GENERATORS))))
+    ruled = F.transform(found, lambda c: F.struct(c["gen"].alias("gen"), c["start"].alias("start"), c["stop"].alias("stop"),
+                                                  c["match"].alias("match"), _passes(c).alias("passes")))
+
+    def judged(all_: Column, base: Column) -> Column:
+        meets = lambda c: F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+        spans = F.transform(all_, lambda c: _features(text, c, F.when(c["gen"] < BASE, c["passes"]).otherwise(meets(c))))
+        return F.struct(base.alias("base"), spans.alias("spans"))
+
+    both = let(ruled, lambda all_: let(F.filter(all_, lambda c: c["passes"]), lambda base: judged(all_, base)))
+    return rows.select("doc_id", both.alias("both")).select("doc_id", "both.base", "both.spans")
 
 
 def text_as(docs: DataFrame, text_col: str) -> Column:
