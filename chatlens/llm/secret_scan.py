@@ -67,21 +67,19 @@ def guess_cost(value: str) -> float:
     if len(low) != n:
         low = value
     plain = low.translate(LEET)
-    best = [0.0] + [math.inf] * n
-    brute = [False] * (n + 1)  # whether the best way to here ends in a brute-force span
+    best = [0.0] + [math.inf] * n  # of all cuts of the first characters
+    brute = [math.inf] * (n + 1)  # of those that end in a brute-force span
     walk = [0] * (n + 1)  # characters of the walk that ends here
     for i in range(1, n):
         a, b = low[i - 1], low[i]
         walk[i] = walk[i - 1] + 1 if b in NEXT_KEYS.get(a, ()) or abs(ord(b) - ord(a)) == 1 and b.isalnum() and a.isalnum() else 0
 
     def reach(i, j, cost):
-        if best[i] + cost + SPAN < best[j]:
-            best[j], brute[j] = best[i] + cost + SPAN, False
+        best[j] = min(best[j], best[i] + cost + SPAN)
 
     for i in range(n):
-        step = best[i] + _brute(value[i]) + (0 if brute[i] else SPAN)
-        if step < best[i + 1]:
-            best[i + 1], brute[i + 1] = step, True
+        brute[i + 1] = min(best[i] + SPAN, brute[i]) + _brute(value[i])
+        best[i + 1] = min(best[i + 1], brute[i + 1])
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             for form, more in ((low[i:j], 0.0), (plain[i:j], 0.5)):
                 if rank := RANK.get(form):

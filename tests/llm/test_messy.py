@@ -115,8 +115,8 @@ def test_topk(spark):
             (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, id string, score int")
     got = topk.topk_inner_product(df, F.col("id") % 50 == 0, k=3).orderBy("query_id", "rank").collect()
-    # two rows of id 0 are one query; id 50 meets both of them
-    assert [tuple(r) for r in got] == [(0, 1, 50, 49152), (0, 2, 1, 49152), (0, 3, 2, 49152), (50, 1, 0, 49152), (50, 2, 0, 49152), (50, 3, 1, 40960)]
+    # two rows of id 0 are one query, which ties with ids 1, 2 (twice) and 50; id 50 meets both rows
+    assert [tuple(r) for r in got] == [(0, 1, 1, 49152), (0, 2, 2, 49152), (0, 3, 2, 49152), (50, 1, 0, 49152), (50, 2, 0, 49152), (50, 3, 1, 40960)]
     assert topk.topk_inner_product(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
