@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import sys
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,6 @@ from chatlens.sources.fixtures import FIXTURE_AS_OF, from_testdata  # noqa: E402
 import oracle  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
-LOCAL_CHECKPOINTS = "/tmp/chatlens-checkpoints"
 AS_OF = FIXTURE_AS_OF
 
 try:
@@ -75,6 +75,7 @@ CASES = {
         "filters": {"search": "machinery", "date_from": dt.date(2024, 1, 12)},
         "limit": 100, "offset": 7},
     "users_deep": {"limit": 200, "offset": 1400},
+    "drill": {"user_id": 7, "conversation_id": 1},
 }
 
 
@@ -100,7 +101,7 @@ def _stream(job: Callable[..., DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         # the session's shared checkpoint folder is used; a local one is set
         # only when the (test) session names none
-        ensure_checkpoint_dir(spark, LOCAL_CHECKPOINTS)
+        ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="chatlens-"))
         return job(spark, from_testdata(spark, sf_dir).messages)
     run.__name__ = job.__name__
     return run
@@ -143,6 +144,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "conversation_detail": _q(conversations.conversation_detail),
         "conversation_messages": _q(conversations.conversation_messages,
                                     query=cs["query"]),
+        "user_by_id": _q(users.user_detail, user_id=CASES["drill"]["user_id"]),
+        "user_by_id_missing": _q(users.user_detail, user_id=-1),
+        "conversation_by_id": _q(conversations.conversation_detail,
+                                 conversation_id=CASES["drill"]["conversation_id"]),
+        "conversation_by_id_missing": _q(conversations.conversation_detail, conversation_id=-1),
+        "conversation_messages_by_id": _q(conversations.conversation_messages,
+                                          conversation_id=CASES["drill"]["conversation_id"],
+                                          query=cs["query"]),
         "conversation_match_counts": _q(conversations.conversation_match_counts,
                                         query=cs["query"], role=cs["role"]),
         "messages_page": _q(messages.messages_list),

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def to_int(col: Column | str, default: int = 0) -> Column:
     """NULL -> ``default``; numbers -> round half to even -> bigint.
 
-    Strings that are not numbers also give ``default`` (``try_cast``), as a
+    NaN and strings that are not numbers also give ``default`` (``try_cast``), as a
     failed conversion does in the reference's helper.
     """
     c = F.col(col) if isinstance(col, str) else col
-    as_double = c.try_cast("double")
-    return F.coalesce(F.bround(as_double, 0), F.lit(float(default))).cast("long")
+    rounded = F.bround(c.try_cast("double"), 0).try_cast("long")
+    return F.coalesce(rounded, F.lit(default).cast("long"))
 
 
 def zero_if_null(col: Column | str) -> Column:

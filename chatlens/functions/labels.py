@@ -70,9 +70,20 @@ def relative_time_label(ts: Column | str, as_of: dt.datetime, lang: str = "en",
 
 
 def latency_label(ms: Column | str) -> Column:
-    """``< 1000`` -> ``Nms``; else seconds with one decimal and ``s``."""
+    """``< 1000`` -> ``Nms``; else seconds with one decimal and ``s``.
+
+    The seconds are a double, and its binary value is rounded: 1450 ms are a
+    little under 1.45 s and give ``1.4s``, 1250 ms are exactly 1.25 s and give
+    ``1.3s``. At a tie in milliseconds the double, times a power of two that
+    makes it an integer, is compared with the exact value.
+    """
     v = _c(ms).cast("long")
-    tenths = F.floor((v + 50) / 100).cast("long")
+    seconds = v.cast("double") / F.lit(1000.0)
+    power = F.pow(F.lit(2.0), F.lit(53.0) - F.floor(F.log2(F.greatest(seconds, F.lit(1.0)))))
+    exact = lambda x: x.cast("long").cast("decimal(20,0)")
+    below = (v % 100 == 50) & (exact(seconds * power) * F.lit(1000).cast("decimal(5,0)")
+                               < exact(v) * exact(power))
+    tenths = (F.floor((v + 50) / 100) - F.when(below, 1).otherwise(0)).cast("long")
     secs = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."),
                     (tenths % 10).cast("string"), F.lit("s"))
     return F.when(v < 1000, F.concat(v.cast("string"), F.lit("ms"))).otherwise(secs)

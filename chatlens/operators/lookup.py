@@ -7,8 +7,7 @@ final merge, not whole rows with their text), whose at most ``limit`` keys
 come back to the driver; then those keys become literal ``IN`` predicates
 that reach the parquet scans (row-group statistics, day folders) of the big
 tables to fetch the page's own rows and its parents' rows. Key sets that are
-not bounded by a page go through ``restrict_to_keys``, which proves a size
-bound at run time before broadcasting.
+not bounded by a page are joined as distinct keys (``semi_join_keys``).
 """
 
 from __future__ import annotations
@@ -16,9 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.session import materialize
-
-
 def collect_page_keys(df: DataFrame, order: list, limit: int, offset: int,
                       columns: list[str]) -> list:
     """Phase 1: the key columns of one ordered page (at most ``limit`` rows)."""
@@ -40,85 +36,22 @@ def key_in(col: str, values) -> Column:
     return F.col(col).isin(vals)
 
 
-def materialize_bounded(df: DataFrame) -> DataFrame:
-    """Compute a bounded result (a key set within a proven limit) once, in
-    the shared checkpoint folder (see ``session.materialize``)."""
-    return materialize(df)
-
-
-# Key sets up to this size become a literal IN filter (pushed to the scan).
-LITERAL_KEY_LIMIT = 10_000
-# Larger key sets up to this size are broadcast after a runtime count.
-BROADCAST_KEY_LIMIT = 1_000_000
-
+def _distinct_keys(keys: DataFrame, key: str) -> DataFrame:
+    return keys.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
 
-def _distinct_keys(keys: DataFrame, key: str, literal_limit: int):
-    """``(raw, first)``: the distinct non-NULL keys as ``_k``, and at most
-    ``literal_limit + 1`` of them fetched in one job (every task passes on at
-    most that many to a single-row gather, instead of an incremental take
-    that runs job after job)."""
-    raw = keys.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
-    first = raw.limit(literal_limit + 1).agg(F.collect_list("_k").alias("ks")).first().ks
-    return raw, first
 
-
-def restrict_to_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str,
-                     literal_limit: int = LITERAL_KEY_LIMIT,
-                     limit: int = BROADCAST_KEY_LIMIT) -> DataFrame:
-    """``big`` cut to rows whose key is in ``keys`` when that set is provably
-    small, else ``big`` unchanged (callers only use this to prune rows that a
-    later join would drop anyway).
-
-    One job fetches at most ``literal_limit + 1`` distinct keys (each task
-    contributes at most that many to a single-row gather). A set within
-    ``literal_limit`` becomes a literal ``IN`` predicate that reaches the
-    parquet scan. A larger set is counted (a partial count, one row per task
-    over the network), and up to ``limit`` keys are materialized and broadcast
-    as a semi-join filter. Above that, the caller's aggregate-then-join plan
-    is kept.
-    """
-    raw, first = _distinct_keys(keys, key, literal_limit)
-    if len(first) <= literal_limit:
-        return big.filter(key_in(big_key, first))
-    if raw.count() > limit:
-        return big
-    k = materialize_bounded(raw)
-    return big.join(F.broadcast(k), big[big_key] == F.col("_k"), "left_semi")
+def semi_join_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str) -> DataFrame:
+    """Exactly the rows of ``big`` whose key is in ``keys``: one semi-join on
+    the distinct keys at every size. No key passes through the driver; Spark
+    broadcasts the keys when it knows them to be few."""
+    return big.join(_distinct_keys(keys, key), F.col(big_key) == F.col("_k"), "left_semi")
 
 
-def semi_join_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str,
-                   literal_limit: int = LITERAL_KEY_LIMIT,
-                   limit: int = BROADCAST_KEY_LIMIT) -> DataFrame:
-    """Exactly the rows of ``big`` whose key is in ``keys``, by the cheapest
-    safe plan: a literal ``IN`` (up to ``literal_limit`` keys), a broadcast
-    semi-join (up to ``limit`` keys, counted first), else a shuffled semi-join."""
-    raw, first = _distinct_keys(keys, key, literal_limit)
-    if len(first) <= literal_limit:
-        return big.filter(key_in(big_key, first))
-    if raw.count() <= limit:
-        k = F.broadcast(materialize_bounded(raw))
-    else:
-        k = raw
-    return big.join(k, big[big_key] == F.col("_k"), "left_semi")
-
-
-def anti_join_keys(big: DataFrame, big_key: str, big_pk: str, keys: DataFrame, key: str,
-                   literal_limit: int = LITERAL_KEY_LIMIT,
-                   limit: int = BROADCAST_KEY_LIMIT) -> DataFrame:
+def anti_join_keys(big: DataFrame, big_key: str, big_pk: str, keys: DataFrame, key: str) -> DataFrame:
     """Exactly the rows of ``big`` whose key is NOT in ``keys`` (a NULL key
-    is kept): a literal ``NOT IN`` (up to ``literal_limit`` keys), a broadcast
-    anti-join (up to ``limit`` keys, counted first), else a shuffled anti-join
-    with NULL keys spread by ``big_pk`` (``joins.anti_join_nullable``)."""
+    is kept), with NULL keys spread by ``big_pk`` (``joins.anti_join_nullable``)."""
     from chatlens.operators.joins import anti_join_nullable
-    raw, first = _distinct_keys(keys, key, literal_limit)
-    if len(first) <= literal_limit:
-        if not first:
-            return big
-        return big.filter(F.col(big_key).isNull() | ~key_in(big_key, first))
-    if raw.count() <= limit:
-        k = F.broadcast(materialize_bounded(raw))
-        return big.join(k, big[big_key] == F.col("_k"), "left_anti")
-    return anti_join_nullable(big, raw, big_key, big_pk, "_k")
+    return anti_join_nullable(big, _distinct_keys(keys, key), big_key, big_pk, "_k")
 
 
 def rows_with_keys(big: DataFrame, big_key: str, keys: DataFrame, key: str) -> DataFrame:

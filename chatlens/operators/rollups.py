@@ -81,7 +81,7 @@ def share_rollup(tables):
 
     from chatlens.session import materialize
     roll = conversation_rollup(tables.messages, SHARED_COLUMNS)
-    return replace(tables, conversation_rollup=materialize(roll))
+    return replace(tables, conversation_rollup=materialize(roll, "conversation_id"))
 
 
 def user_rollup(conversations: DataFrame, messages: DataFrame,

@@ -21,7 +21,7 @@ from chatlens.functions.predicates import (all_of, count_tristate, date_range,
                                            key_equals, role_selector,
                                            truthy_error)
 from chatlens.operators.joins import left_join_nullable
-from chatlens.operators.lookup import (collect_page_keys, key_in, restrict_to_keys,
+from chatlens.operators.lookup import (collect_page_keys, key_in, semi_join_keys,
                                        user_columns)
 from chatlens.operators.paging import (CONVERSATIONS_PAGE, check_page,
                                        newest_first, oldest_first, order_bounded,
@@ -53,14 +53,14 @@ def _filtered_conversations(tables: ChatTables, user_id: int | None, search: str
 
 def _error_counts(tables: ChatTables, cand: DataFrame, narrowed: bool) -> DataFrame:
     """Per-conversation error counts for the error filter. When other filters
-    narrowed the candidates, only their messages are aggregated (broadcast
-    under a runtime-proven bound)."""
+    narrowed the candidates, only their messages are aggregated (a semi-join
+    on the candidates' keys)."""
     if tables.conversation_rollup is not None:
         shared = rollup_of(tables, ("error_count",))
-        return restrict_to_keys(shared, "conversation_id", cand, "id") if narrowed else shared
+        return semi_join_keys(shared, "conversation_id", cand, "id") if narrowed else shared
     msgs = tables.messages
     if narrowed:
-        msgs = restrict_to_keys(msgs, "conversation_id", cand, "id")
+        msgs = semi_join_keys(msgs, "conversation_id", cand, "id")
     return rollup_of(tables, ("error_count",), messages=msgs)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from chatlens.functions.coercion import zero_if_null
 from chatlens.functions.predicates import all_of, ilike_any, key_equals
 from chatlens.operators.lookup import (collect_page_keys, key_in,
-                                       restrict_to_keys)
+                                       semi_join_keys)
 from chatlens.operators.paging import (USER_CONVERSATIONS_PAGE, USERS_PAGE,
                                        check_page, newest_first, order_bounded,
                                        total)
@@ -37,8 +37,6 @@ def users_list(tables: ChatTables, search: str | None = None,
                              ["id", "last_active"])
     ids = [k.id for k in keys]
     pg = tables.users.filter(key_in("id", ids))
-    # the page's users may own any number of conversations: the message
-    # filter on their ids is broadcast only under a runtime-proven bound
     convs = tables.conversations.filter(key_in("user_id", ids))
     return order_bounded(_with_rollup(tables, pg, convs), order)
 
@@ -46,12 +44,12 @@ def users_list(tables: ChatTables, search: str | None = None,
 def _with_rollup(tables: ChatTables, users: DataFrame, convs: DataFrame) -> DataFrame:
     """A9 for ``users`` owning ``convs``: from the shared rollup when the
     tables carry one, else from their conversations' messages only (the
-    message filter is broadcast under a runtime-proven bound)."""
+    messages are cut by a semi-join on their keys)."""
     if tables.conversation_rollup is not None:
-        shared = restrict_to_keys(rollup_of(tables, ("total_messages", "error_count")),
+        shared = semi_join_keys(rollup_of(tables, ("total_messages", "error_count")),
                                   "conversation_id", convs, "id")
         return with_user_rollup(users, convs, tables.messages, per_conversation=shared)
-    msgs = restrict_to_keys(tables.messages, "conversation_id", convs, "id")
+    msgs = semi_join_keys(tables.messages, "conversation_id", convs, "id")
     return with_user_rollup(users, convs, msgs)
 
 

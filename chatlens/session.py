@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Settings every report assumes. Time zone pins the LTZ<->NTZ casts that
@@ -89,29 +91,16 @@ def ensure_checkpoint_dir(spark: SparkSession, default: str) -> str:
         return checkpoint_root(spark)
 
 
-def _checkpoint_folder_ready(spark: SparkSession) -> bool:
-    """True when reliable checkpoints can be written (the session's folder)."""
-    try:
-        sc = spark.sparkContext
-    except Exception:  # remote session without a SparkContext
-        return False
-    if sc.getCheckpointDir():
-        return True
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        sc.setCheckpointDir(folder)
-        return True
-    return False
-
-
-def materialize(df):
+def materialize(df, cluster_by: str | None = None):
     """Compute ``df`` once for several later uses and cut its lineage.
 
-    With a checkpoint folder configured (the cluster's shared
-    ``spark.checkpoint.dir``) the rows are written there, so a lost executor
-    does not re-trigger the work that produced them; otherwise they are
-    cached (recomputed from lineage if lost).
+    Always written as parquet to the shared checkpoint folder (sorted by
+    ``cluster_by`` within range partitions when given), so that later reads
+    prune columns and row groups and a lost executor does not re-trigger the
+    work. Raises when the session names no such folder.
     """
-    if _checkpoint_folder_ready(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df.cache()
+    path = f"{checkpoint_root(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    if cluster_by:
+        df = df.repartitionByRange(cluster_by).sortWithinPartitions(cluster_by)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -136,18 +136,40 @@ def _latest(versions: DataFrame) -> DataFrame:
             .select("conversation_id", "r.*"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _snapshot(spark: SparkSession, snapshot_path: str) -> DataFrame | None:
+    """The newest version below ``snapshot_path`` (folders ``upto=<batch>``)."""
+    if not _exists(spark, snapshot_path):
+        return None
+    versions = spark.read.parquet(snapshot_path)
+    newest = versions.agg(F.max("upto")).first()[0]
+    return versions.filter(F.col("upto") == F.lit(newest)).drop("upto")
+
+
 def compact_conversation_rollup(spark: SparkSession, path: str, snapshot_path: str) -> int:
     """Write the latest version of every conversation (a snapshot carrying
-    ``batch_id``) to ``snapshot_path``; returns the newest batch it covers.
+    ``batch_id``) to a new folder ``upto=<batch>`` below ``snapshot_path``;
+    returns the newest batch it covers.
 
-    Readers given the snapshot then read only batch folders newer than it
-    (partition pruning), so reads stop growing with the stream's age; older
-    batch folders may be dropped by the operator.
+    A snapshot is made from the one before and the newer batch folders, so
+    batch folders that a snapshot covers may be dropped by the operator, and
+    so may older snapshots. Readers take the newest.
     """
     versions = spark.read.parquet(path)
-    snapshot = _latest(versions)
-    snapshot.write.mode("overwrite").parquet(snapshot_path)
-    return spark.read.parquet(snapshot_path).agg(F.max("batch_id")).first()[0]
+    before = _snapshot(spark, snapshot_path)
+    if before is not None:
+        covered = before.agg(F.max("batch_id")).first()[0]
+        newer = versions.filter(F.col("batch_id") > F.lit(covered))
+        if newer.isEmpty():
+            return covered
+        versions = before.unionByName(newer)
+    upto = versions.agg(F.max("batch_id")).first()[0]
+    _latest(versions).write.mode("overwrite").parquet(f"{snapshot_path}/upto={upto}")
+    return upto
 
 
 def latest_conversation_rollup(spark: SparkSession, path: str,
@@ -160,7 +182,7 @@ def latest_conversation_rollup(spark: SparkSession, path: str,
     """
     versions = spark.read.parquet(path)
     if snapshot_path:
-        snap = spark.read.parquet(snapshot_path)
+        snap = _snapshot(spark, snapshot_path)
         covered = snap.agg(F.max("batch_id")).first()[0]
         newer = versions.filter(F.col("batch_id") > F.lit(covered)) if covered is not None \
             else versions

@@ -308,6 +308,12 @@ def oracle_sql(cases: dict) -> dict[str, str]:
             limit=conv_ne["limit"], offset=conv_ne["offset"], **conv_ne["filters"]),
         "conversations_total_no_errors": _conversations_total(**conv_ne["filters"]),
         "conversation_detail": CONVERSATION_DETAIL,
+        "user_by_id": f"SELECT * FROM ({_users(None, False)}) WHERE id = {cases['drill']['user_id']}",
+        "user_by_id_missing": f"SELECT * FROM ({_users(None, False)}) WHERE id = -1",
+        "conversation_by_id": f"SELECT * FROM ({CONVERSATION_DETAIL}) WHERE id = {cases['drill']['conversation_id']}",
+        "conversation_by_id_missing": f"SELECT * FROM ({CONVERSATION_DETAIL}) WHERE id = -1",
+        "conversation_messages_by_id": f"SELECT * FROM ({_conversation_messages(detail_q['query'])}) "
+                                       f"WHERE conversation_id = {cases['drill']['conversation_id']}",
         "conversation_messages": _conversation_messages(detail_q["query"]),
         "conversation_match_counts": _match_counts(detail_q["query"], detail_q["role"]),
         "messages_page": _messages(),
@@ -362,10 +368,10 @@ def _relative(ts: str, lang: str, yesterday: bool, null_text: str | None = None)
 
 
 def _latency(ms: str) -> str:
-    tenths = f"CAST(floor(({ms} + 50) / 100) AS BIGINT)"
-    return (f"CASE WHEN {ms} < 1000 THEN CAST({ms} AS VARCHAR) || 'ms' ELSE "
-            f"CAST(CAST(floor({tenths} / 10) AS BIGINT) AS VARCHAR) || '.' || "
-            f"CAST({tenths} % 10 AS VARCHAR) || 's' END")
+    # printf rounds the binary value, but exact ties (.25, .75) to the even digit, not up
+    return (f"CASE WHEN {ms} < 1000 THEN CAST({ms} AS VARCHAR) || 'ms' "
+            f"WHEN {ms} % 500 = 250 THEN printf('%.1f', CAST({ms} + 50 AS DOUBLE) / 1000) || 's' "
+            f"ELSE printf('%.1f', CAST({ms} AS DOUBLE) / 1000) || 's' END")
 
 
 def _duration(start: str, end: str) -> str:

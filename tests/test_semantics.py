@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from chatlens.functions.coercion import to_int
 from chatlens.functions.labels import (duration_label, latency_label,
                                        relative_time_label)
 from chatlens.functions.patterns import contains_pattern, normalize_like
@@ -209,7 +210,13 @@ def test_labels(spark):
                      relative_time_label("ts", AS_OF).alias("en"),
                      relative_time_label("ts", AS_OF, "de", with_yesterday=False).alias("de"),
                      duration_label("ts", "end_ts").alias("d")).collect()
-    assert [r.l for r in rows] == ["999ms", "1.0s", "1.5s", "1.5s"]
+    assert [r.l for r in rows] == ["999ms", "1.0s", "1.4s", "1.5s"]
+    # at a tie in milliseconds the binary value of the seconds decides
+    ties = {1050: "1.1s", 1150: "1.1s", 1250: "1.3s", 1350: "1.4s", 2750: "2.8s", 8950: "8.9s", 123456750: "123456.8s"}
+    got = spark.createDataFrame([(k,) for k in ties], "ms long").select("ms", latency_label("ms").alias("l")).collect()
+    assert {r.ms: r.l for r in got} == ties
+    nan = spark.createDataFrame([(float("nan"),), (2.5,), (None,)], "x double").select(to_int("x").alias("i")).collect()
+    assert [r.i for r in nan] == [0, 2, 0]
     assert [r.en for r in rows] == ["just now", "1 hours ago", "yesterday", "9 days ago"]
     assert [r.de for r in rows] == ["gerade eben", "vor 1 Stunden", "vor 1 Tagen", "vor 9 Tagen"]
     assert [r.d for r in rows][1:] == ["1h 59m", "26h 5m", "228h 0m"]

@@ -21,5 +21,4 @@ def test_materialize_cuts_lineage(spark):
     df = spark.range(10).selectExpr("id * 2 AS x")
     m = session.materialize(df)
     assert sorted(r.x for r in m.collect()) == list(range(0, 20, 2))
-    assert "Scan ExistingRDD" in m._jdf.queryExecution().executedPlan().toString() or \
-        "InMemoryTableScan" in m._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in m._jdf.queryExecution().executedPlan().toString()

@@ -96,17 +96,20 @@ def test_nullable_key_joins_never_match_null(spark):
     assert "coalesce(fk" in p
 
 
-@pytest.mark.parametrize("literal_limit,limit", [(10, 100), (1, 100), (0, 0)])
-def test_key_set_joins_are_exact_on_every_path(spark, literal_limit, limit):
-    """literal IN, counted broadcast, and shuffled join give the same rows."""
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_key_set_joins_are_exact_however_spark_joins(spark, threshold):
+    """Broadcast and shuffled joins give the same rows."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     from chatlens.operators.lookup import anti_join_keys, semi_join_keys
     big = spark.createDataFrame([(1, 10), (2, 20), (3, None), (4, 10), (5, 30)],
                                 "id long, fk long")
     keys = spark.createDataFrame([(10,), (30,), (None,), (10,)], "k long")
-    semi = sorted(r.id for r in semi_join_keys(big, "fk", keys, "k", literal_limit, limit)
+    semi = sorted(r.id for r in semi_join_keys(big, "fk", keys, "k")
                   .collect())
-    anti = sorted(r.id for r in anti_join_keys(big, "fk", "id", keys, "k", literal_limit, limit)
+    anti = sorted(r.id for r in anti_join_keys(big, "fk", "id", keys, "k")
                   .collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert semi == [1, 4, 5]
     assert anti == [2, 3]      # the NULL key is kept by the anti-join
 

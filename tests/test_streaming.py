@@ -121,9 +121,16 @@ def test_rollup_upserts_latest_equals_batch(spark, scratch, landed):
     # an older snapshot (first batch only) plus the newer folders, too
     from chatlens.streaming.jobs import _latest
     _latest(spark.read.parquet(out).filter(F.col("batch_id") == 0)) \
-        .write.parquet(snap + "_old")
+        .write.parquet(snap + "_old/upto=0")
     older = latest_conversation_rollup(spark, out, snapshot_path=snap + "_old")
     assert sorted(tuple(r) for r in older.select(*cols).collect()) == want
+    # compacting on top of that snapshot, with the covered folder gone
+    kept = os.path.join(scratch, "rollup_newer")
+    spark.read.parquet(out).filter(F.col("batch_id") > 0).write.partitionBy("batch_id").parquet(kept)
+    assert compact_conversation_rollup(spark, kept, snap + "_old") == covered
+    assert compact_conversation_rollup(spark, kept, snap + "_old") == covered
+    last = latest_conversation_rollup(spark, kept, snapshot_path=snap + "_old")
+    assert sorted(tuple(r) for r in last.select(*cols).collect()) == want
 
 
 def test_dedup_within_watermark(spark, scratch, landed):
