@@ -11,7 +11,6 @@ from __future__ import annotations
 import datetime as dt
 import os
 import sys
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,8 @@ from chatlens.functions.timefns import ntz  # noqa: E402
 from chatlens.operators import integrity  # noqa: E402
 from chatlens.session import ensure_checkpoint_dir  # noqa: E402
 from chatlens.streaming import replay  # noqa: E402
-from chatlens.sources.fixtures import FIXTURE_AS_OF, from_testdata  # noqa: E402
+from chatlens.sources.fixtures import (FIXTURE_AS_OF, from_testdata,  # noqa: E402
+                                       message_events, with_planted_faults)
 import oracle  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -75,7 +75,7 @@ CASES = {
         "filters": {"search": "machinery", "date_from": dt.date(2024, 1, 12)},
         "limit": 100, "offset": 7},
     "users_deep": {"limit": 200, "offset": 1400},
-    "drill": {"user_id": 7, "conversation_id": 1},
+    "drill": {"user_id": 7, "conversation_id": 709},
 }
 
 
@@ -87,6 +87,10 @@ def _cascade_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.cascade_delete(tables, deleted).messages
 
 
+def _last_messages(tables) -> DataFrame:
+    return tables.conversations.select("id", "last_message_at")
+
+
 def _view(view: Callable[..., DataFrame], report: Callable[..., DataFrame],
           report_params: dict | None = None, needs_spark: bool = False, **view_params):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,16 +101,25 @@ def _view(view: Callable[..., DataFrame], report: Callable[..., DataFrame],
     return run
 
 
-def _stream(job: Callable[..., DataFrame]):
+def _stream(job: Callable[..., DataFrame], **params):
+    """A streaming job over the given ``events``, read as a stream. Jobs that
+    answer a report also get the tables, for the windows still open."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         # the session's shared checkpoint folder is used; a local one is set
         # only when the (test) session names none
-        ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="chatlens-"))
-        return job(spark, from_testdata(spark, sf_dir).messages)
+        ensure_checkpoint_dir(spark)
+        return job(message_events(spark, sf_dir), from_testdata(spark, sf_dir), **params)
     run.__name__ = job.__name__
     return run
 
 
+def _faulty(check: Callable[..., DataFrame]):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return check(with_planted_faults(from_testdata(spark, sf_dir)))
+    run.__name__ = check.__name__
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     cf = CASES["conversations_filtered"]
     cne = CASES["conversations_no_errors"]
@@ -152,6 +165,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "conversation_messages_by_id": _q(conversations.conversation_messages,
                                           conversation_id=CASES["drill"]["conversation_id"],
                                           query=cs["query"]),
+        "conversation_messages_errors": _q(conversations.conversation_messages, role=cs["role"],
+                                           errors_only=True),
+        "user_conversations_by_id": _q(users.user_conversations,
+                                       user_id=CASES["drill"]["user_id"]),
+        "conversations_page_of_user": _q(conversations.conversations_list,
+                                         user_id=CASES["drill"]["user_id"]),
+        "messages_page_of_conversation": _q(messages.messages_list,
+                                            conversation_id=CASES["drill"]["conversation_id"]),
         "conversation_match_counts": _q(conversations.conversation_match_counts,
                                         query=cs["query"], role=cs["role"]),
         "messages_page": _q(messages.messages_list),
@@ -169,6 +190,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "conversations_page_view": _view(views.conversations_view,
                                          conversations.conversations_list,
                                          as_of=AS_OF, lang="de"),
+        "conversation_labels_de": _view(views.relative_time, _last_messages, as_of=AS_OF, lang="de",
+                                        col="last_message_at", name="last_message_label"),
+        "conversation_labels_en": _view(views.relative_time, _last_messages, as_of=AS_OF, lang="en",
+                                        col="last_message_at", name="last_message_label"),
         "conversation_header": _view(views.conversation_header,
                                      conversations.conversation_detail),
         "users_page_view": _view(views.users_view, users.users_list),
@@ -187,14 +212,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                          **CASES["conversations_search"]["filters"]),
         "users_page_deep": _q(users.users_list, limit=CASES["users_deep"]["limit"],
                               offset=CASES["users_deep"]["offset"]),
-        "dq_duplicate_keys": _q(integrity.duplicate_keys),
-        "dq_duplicate_key_summary": _q(integrity.duplicate_key_summary),
-        "dq_required_nulls": _q(integrity.required_nulls),
-        "dq_orphans": _q(integrity.orphan_summary),
+        "dq_duplicate_keys": _faulty(integrity.duplicate_keys),
+        "dq_duplicate_key_summary": _faulty(integrity.duplicate_key_summary),
+        "dq_required_nulls": _faulty(integrity.required_nulls),
+        "dq_orphans": _faulty(integrity.orphan_summary),
+        "dq_orphan_conversations": _faulty(integrity.orphan_conversations),
+        "dq_orphan_messages": _faulty(integrity.orphan_messages),
         "dq_cascade_messages": _cascade_messages,
         "dq_counter_audit": _q(integrity.counter_audit),
         "stream_activity_buckets": _stream(replay.replay_activity_buckets),
         "stream_tool_buckets": _stream(replay.replay_tool_buckets),
+        "stream_activity_hourly": _stream(replay.replay_activity, as_of=AS_OF),
+        "stream_activity_daily": _stream(replay.replay_activity, as_of=AS_OF, hourly=False),
+        "stream_top_tools": _stream(replay.replay_top_tools, as_of=AS_OF),
         "stream_conversation_rollup": _stream(replay.replay_conversation_rollup),
         "stream_dedup_messages": _stream(replay.replay_dedup),
     }

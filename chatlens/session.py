@@ -80,12 +80,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def ensure_checkpoint_dir(spark: SparkSession, default: str) -> str:
-    """Use the configured checkpoint folder; set ``default`` only if none is set
-    (tests and local runs)."""
+def ensure_checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
+    """Use the configured checkpoint folder; only if none is set (tests and
+    local runs), set ``default`` or else a folder below the session's warehouse,
+    which a cluster shares too."""
     try:
         return checkpoint_root(spark)
     except RuntimeError:
+        if default is None:
+            default = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", default)
         spark.sparkContext.setCheckpointDir(default)
         return checkpoint_root(spark)

@@ -5,7 +5,8 @@ derived here, the same way in Spark and in the DuckDB oracle. ``events``
 rows become messages, (user, day-of-month) pairs become conversations and
 customers become users; a few deterministic rules plant the edge cases the
 reports must handle (messages without conversation, conversations without
-user, empty-string errors, NULL and empty tool arrays, NULL tool names).
+user, empty-string errors, NULL and empty tool arrays, NULL tool names, long
+texts, active users without a last time).
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ def messages_from_events(events: DataFrame) -> DataFrame:
         F.when(eid % 97 == 0, F.lit(None)).otherwise(_conversation_key())
         .alias("conversation_id"),
         F.when(eid % 2 == 0, "user").otherwise("assistant").alias("role"),
-        F.concat(etype, F.lit(" "), F.col("props")).alias("content"),
+        # every third text is long enough to be cut by the preview
+        F.when(eid % 3 == 0, F.repeat(F.concat(etype, F.lit(" "), F.col("props"), F.lit(" ")), 9))
+        .otherwise(F.concat(etype, F.lit(" "), F.col("props"))).alias("content"),
         F.col("ts").alias("timestamp"),
         F.when((eid % 2 == 1) & (eid % 10 != 1),
                F.floor(F.col("value") * 10).cast("int"))
@@ -88,7 +91,16 @@ def users_from_customers(customer: DataFrame, events: DataFrame) -> DataFrame:
                                     F.lit("@example.com")))).alias("email"))
     return (base.join(activity, base["id"] == activity["user_id"], "left")
             .select("id", "ms_user_id", "display_name", "email",
-                    "first_seen", "last_active"))
+                    "first_seen",
+                    # some active users lack the time, and so come first in the list
+                    F.when(F.col("id") % 5 != 0, F.col("last_active")).alias("last_active")))
+
+
+def message_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages as an unbounded stream of the ``events`` files."""
+    # a pattern, since a stream takes a file or a folder of files only through one
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return messages_from_events(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
 
 
 def from_testdata(spark: SparkSession, sf_dir: str) -> ChatTables:
@@ -100,3 +112,25 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> ChatTables:
         conversations=conversations_from_events(events),
         messages=messages_from_events(events),
     )
+
+
+def with_planted_faults(tables: ChatTables) -> ChatTables:
+    """The tables with faults planted by id: required values missing, keys
+    shared or repeated, foreign keys that point nowhere, messages twice."""
+    def broken(df: DataFrame, **columns: F.Column) -> DataFrame:
+        return df.select(*[columns.get(c, F.col(c)).alias(c) for c in df.columns])
+
+    key = F.col("id")
+    users = broken(
+        tables.users, id=F.when(key % 17 != 0, key),
+        ms_user_id=F.when(key % 19 == 0, None).when(key % 23 == 0, "shared").otherwise(F.col("ms_user_id")))
+    conversations = broken(
+        tables.conversations,
+        thread_id=F.when(key % 29 == 0, None).when(key % 31 == 0, "t-shared").otherwise(F.col("thread_id")),
+        user_id=F.when(key % 37 == 0, -F.col("user_id")).otherwise(F.col("user_id")))
+    twice = tables.messages.withColumn("_n", F.explode(F.sequence(F.lit(1), F.when(key % 53 == 0, 2).otherwise(1))))
+    messages = broken(
+        twice.drop("_n"),
+        conversation_id=F.when(key % 41 == 0, -F.col("conversation_id")).otherwise(F.col("conversation_id")),
+        role=F.when(key % 43 != 0, F.col("role")), content=F.when(key % 47 != 0, F.col("content")))
+    return ChatTables(users=users, conversations=conversations, messages=messages)

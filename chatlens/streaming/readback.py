@@ -31,6 +31,36 @@ def _closed_until(buckets: DataFrame, width: dt.timedelta) -> dt.datetime | None
 STREAM_BUCKET = HOUR  # width of the T1/T2 windows the sinks hold
 
 
+def _open_messages(buckets: DataFrame, tables: ChatTables) -> DataFrame:
+    """The messages that no stored bucket covers (all, while none is stored)."""
+    closed = _closed_until(buckets, STREAM_BUCKET)
+    if closed is None:
+        return tables.messages.filter(F.col("timestamp").isNotNull())
+    return tables.messages.filter(since("timestamp", closed,
+                                        date_partition=tables.messages_date_partitioned))
+
+
+def _bucketed() -> F.Column:
+    return hour_bucket(F.col("timestamp")).alias("bucket")
+
+
+def all_activity_buckets(buckets: DataFrame, tables: ChatTables) -> DataFrame:
+    """T1 without a gap at the end: the stored buckets and those still open."""
+    rest = (_open_messages(buckets, tables).groupBy(_bucketed())
+            .agg(F.count(F.lit(1)).alias("messages"),
+                 F.count_if(F.col("error").isNotNull()).alias("errors")))
+    return buckets.select(*rest.columns).unionByName(rest)
+
+
+def all_tool_buckets(buckets: DataFrame, tables: ChatTables) -> DataFrame:
+    """T2 without a gap at the end. A window counts as closed when any tool's
+    bucket at or after it is stored."""
+    rest = (_open_messages(buckets, tables).filter(F.col("tools_used").isNotNull())
+            .select(_bucketed(), F.explode("tools_used").alias("tool"))
+            .groupBy("bucket", "tool").agg(F.count(F.lit(1)).alias("count")))
+    return buckets.select(*rest.columns).unionByName(rest)
+
+
 def activity_from_buckets(spark: SparkSession, buckets: DataFrame,
                           as_of: dt.datetime | None = None, hourly: bool = True,
                           tables: ChatTables | None = None) -> DataFrame:

@@ -1,86 +1,92 @@
-"""Run the streaming jobs over messages that already exist in a table.
-
-The messages are written as files into a fresh folder under the cluster's
-shared checkpoint folder and read back as a file stream, so the real
-incremental operators (watermarks, windows, state, ``foreachBatch``) do the
-work; each call then returns what its sink holds. Used to check the streaming
-jobs end to end against the batch reports, and to backfill sinks.
+"""Run the streaming jobs over a stream of messages until it has no more.
+
+Each call starts the real incremental operators (watermarks, windows, state,
+``foreachBatch``) on a stream with the messages schema, waits until all
+available files are taken in and returns what the sink holds. Sinks and
+checkpoints go into a fresh folder under the cluster's shared checkpoint
+folder; the messages themselves are not copied. Given the tables too, the
+windows that the watermark has not closed are counted from messages, so the
+answers are whole.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatlens.schema import MESSAGE_COLUMNS
 from chatlens.session import checkpoint_root
-from chatlens.streaming import jobs
+from chatlens.sources.tables import ChatTables
+from chatlens.streaming import jobs, readback
 
 
 def _workdir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/chatlens-replay/{name}-{uuid.uuid4().hex}"
 
 
-def land(messages: DataFrame, folder: str, copies: int = 1) -> int:
-    """Write ``messages`` into ``folder`` ``copies`` times, one file per input
-    partition (no shuffle); returns the number of partitions written."""
-    data = messages.select(*MESSAGE_COLUMNS)
-    for i in range(copies):
-        data.write.mode("append" if i else "errorifexists").parquet(folder)
-    return data.rdd.getNumPartitions()
-
-
 def _run(query) -> None:
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(f"stream {query.name} failed: {query.exception()}")
 
 
-def replay_activity_buckets(spark: SparkSession, messages: DataFrame,
-                            width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """T1 over ``messages`` in one micro-batch: the closed windows."""
-    work = _workdir(spark, "t1")
-    land(messages, f"{work}/in")
-    stream = jobs.message_stream(spark, f"{work}/in")
-    _run(jobs.start_bucket_sink(jobs.activity_buckets(stream, width, delay), f"{work}/out",
-                                f"t1-{work[-8:]}", checkpoint=f"{work}/ckpt"))
+def _closed_windows(stream: DataFrame, job, name: str, delay: str) -> DataFrame:
+    spark = stream.sparkSession
+    work = _workdir(spark, name)
+    buckets = job(jobs.with_event_time(stream), "1 hour", delay)
+    _run(jobs.start_bucket_sink(buckets, f"{work}/out", f"{name}-{work[-8:]}",
+                                checkpoint=f"{work}/ckpt"))
     return spark.read.parquet(f"{work}/out")
 
 
-def replay_tool_buckets(spark: SparkSession, messages: DataFrame,
-                        width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """T2 over ``messages`` in one micro-batch: closed windows per tool."""
-    work = _workdir(spark, "t2")
-    land(messages, f"{work}/in")
-    stream = jobs.message_stream(spark, f"{work}/in")
-    _run(jobs.start_bucket_sink(jobs.tool_buckets(stream, width, delay), f"{work}/out",
-                                f"t2-{work[-8:]}", checkpoint=f"{work}/ckpt"))
-    return spark.read.parquet(f"{work}/out")
+def replay_activity_buckets(stream: DataFrame, tables: ChatTables,
+                            delay: str = "1 hour") -> DataFrame:
+    """Messages and errors of every hour that has any."""
+    closed = _closed_windows(stream, jobs.activity_buckets, "t1", delay)
+    return readback.all_activity_buckets(closed, tables)
+
+
+def replay_tool_buckets(stream: DataFrame, tables: ChatTables,
+                        delay: str = "1 hour") -> DataFrame:
+    """Uses of each tool in every hour that has any."""
+    closed = _closed_windows(stream, jobs.tool_buckets, "t2", delay)
+    return readback.all_tool_buckets(closed, tables)
+
+
+def replay_activity(stream: DataFrame, tables: ChatTables, as_of: dt.datetime | None = None,
+                    hourly: bool = True, delay: str = "1 hour") -> DataFrame:
+    """R2 or R3 from the buckets that T1 keeps and the open windows."""
+    closed = _closed_windows(stream, jobs.activity_buckets, "t1", delay)
+    return readback.activity_from_buckets(stream.sparkSession, closed, as_of, hourly, tables)
+
+
+def replay_top_tools(stream: DataFrame, tables: ChatTables, as_of: dt.datetime | None = None,
+                     limit: int = 8, delay: str = "1 hour") -> DataFrame:
+    """R4 from the buckets that T2 keeps, the open windows and the first part hour."""
+    closed = _closed_windows(stream, jobs.tool_buckets, "t2", delay)
+    return readback.top_tools_from_buckets(closed, as_of, limit, tables=tables)
 
 
-def replay_conversation_rollup(spark: SparkSession, messages: DataFrame,
-                               batches: int = 4) -> DataFrame:
-    """T3 over ``messages`` in about ``batches`` micro-batches (the landed
-    files split evenly): the latest rollups."""
+def replay_conversation_rollup(stream: DataFrame, tables: ChatTables | None = None) -> DataFrame:
+    """The latest rollup of each conversation."""
+    spark = stream.sparkSession
     work = _workdir(spark, "t3")
-    parts = land(messages, f"{work}/in")
-    per_batch = max(1, -(-parts // batches))
-    stream = jobs.message_stream(spark, f"{work}/in", max_files_per_trigger=per_batch)
-    _run(jobs.start_rollup_sink(jobs.rollup_upserts(stream), f"{work}/out",
+    _run(jobs.start_rollup_sink(jobs.rollup_upserts(jobs.with_event_time(stream)), f"{work}/out",
                                 f"t3-{work[-8:]}", checkpoint=f"{work}/ckpt"))
     return jobs.latest_conversation_rollup(spark, f"{work}/out")
 
 
-def replay_dedup(spark: SparkSession, messages: DataFrame, copies: int = 2,
+def replay_dedup(stream: DataFrame, tables: ChatTables | None = None, copies: int = 2,
                  delay: str = "1 hour") -> DataFrame:
-    """T4 over ``messages`` landed ``copies`` times: one row per message id."""
+    """T4 over the stream arriving ``copies`` times: one row per message id."""
+    spark = stream.sparkSession
     work = _workdir(spark, "t4")
-    land(messages, f"{work}/in", copies=copies)
-    stream = jobs.message_stream(spark, f"{work}/in")
-    deduped = jobs.dedup_messages(stream, delay).drop(jobs.EVENT_TIME)
-    q = (deduped.writeStream.format("parquet").option("path", f"{work}/out")
+    repeated = stream
+    for _ in range(copies - 1):
+        repeated = repeated.unionAll(stream)
+    deduped = jobs.dedup_messages(jobs.with_event_time(repeated), delay).drop(jobs.EVENT_TIME)
+    _run(deduped.writeStream.format("parquet").option("path", f"{work}/out")
          .option("checkpointLocation", f"{work}/ckpt").trigger(availableNow=True)
          .queryName(f"t4-{work[-8:]}").start())
-    _run(q)
     return spark.read.parquet(f"{work}/out")

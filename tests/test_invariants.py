@@ -125,7 +125,8 @@ def test_streamed_rollup_can_serve_the_reports(spark, tables):
     rollup and gives the batch answers."""
     from dataclasses import replace
     from chatlens.streaming.replay import replay_conversation_rollup
-    streamed = replay_conversation_rollup(spark, tables.messages)
+    from chatlens.sources.fixtures import message_events
+    streamed = replay_conversation_rollup(message_events(spark, SF_MID))
     t = replace(tables, conversation_rollup=streamed)
     assert sorted(map(tuple, conversations.conversation_detail(t).collect()), key=repr) == \
         sorted(map(tuple, conversations.conversation_detail(tables).collect()), key=repr)

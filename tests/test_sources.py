@@ -20,7 +20,8 @@ def tables(spark):
 def test_fixture_counts(tables):
     u, c, m = tables.users, tables.conversations, tables.messages
     assert (u.count(), c.count(), m.count()) == (1500, 4006, 10000)
-    assert u.filter(F.col("last_active").isNull()).count() == 1350
+    assert u.filter(F.col("first_seen").isNull()).count() == 1350
+    assert u.filter(F.col("last_active").isNull()).count() == 1380
     assert m.filter(F.col("conversation_id").isNull()).count() == 104
     assert c.filter(F.col("user_id").isNull()).count() == 49
     assert c.join(m, c["id"] == m["conversation_id"], "left_anti").count() == 11
