@@ -1,4 +1,4 @@
-"""Search text -> LIKE pattern and highlight regex (traps of user input).
+"""Search text -> LIKE pattern (traps of user input).
 
 User text goes into ``ILIKE '%text%'`` unescaped, so ``%`` and ``_`` typed by
 the user stay wildcards. Backslash handling is normalized over the whole
@@ -26,7 +26,3 @@ def contains_pattern(text: str) -> str:
     """``%text%`` with escapes normalized."""
     return normalize_like(f"%{text}%")
 
-
-def highlight_regex(query: str) -> str:
-    """Case-insensitive regex matching ``query`` literally, one group."""
-    return "(?i)(" + re.escape(query) + ")"

@@ -122,9 +122,8 @@ def cascade_delete(tables: ChatTables, deleted_conversations: DataFrame) -> Chat
     """Remove conversations and, with them, their messages.
 
     ``deleted_conversations`` needs an ``id`` column. Messages without a
-    conversation stay (a NULL key matches nothing). The deleted keys go in as
-    a literal list, a broadcast or, for a huge deletion, a shuffled anti-join
-    with NULL keys spread out (``lookup.anti_join_keys``).
+    conversation stay (a NULL key matches nothing). The deleted keys go through
+    one anti-join with NULL keys spread out (``lookup.anti_join_keys``).
     """
     gone = deleted_conversations.select(F.col("id").alias("_gone"))
     convs = anti_join_keys(tables.conversations, "id", "id", gone, "_gone")

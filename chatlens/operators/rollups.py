@@ -3,9 +3,9 @@
 Both aggregate the fact table *before* any join: messages are grouped by
 ``conversation_id`` (map-side partial aggregation collapses a hot
 conversation to one row per task before the shuffle), then joined 1:1 to
-conversations, then grouped again by ``user_id``. The reference's fan-out
-form (users ⟕ conversations ⟕ messages, COUNT(DISTINCT c.id)) gives the same
-numbers but shuffles every message row through two joins.
+conversations, then grouped again by ``user_id``. Joining the three
+tables first and counting distinct conversations gives the same numbers but
+shuffles every message row through two joins.
 """
 
 from __future__ import annotations
@@ -75,8 +75,8 @@ def rollup_of(tables, columns: tuple[str, ...], messages: DataFrame | None = Non
 
 def share_rollup(tables):
     """The tables plus their per-conversation rollup, computed once and
-    written to the shared checkpoint folder (cached when none is set), for a
-    session that runs several reports over the same data."""
+    written to the shared checkpoint folder, for a session that runs several
+    reports over the same data."""
     from dataclasses import replace
 
     from chatlens.session import materialize
@@ -113,9 +113,14 @@ def user_rollup(conversations: DataFrame, messages: DataFrame,
 
 
 def with_user_rollup(users: DataFrame, conversations: DataFrame,
-                     messages: DataFrame, per_conversation: DataFrame | None = None) -> DataFrame:
-    """users.* plus A9 columns, zero for users with no conversations."""
+                     messages: DataFrame, per_conversation: DataFrame | None = None,
+                     page: bool = False) -> DataFrame:
+    """users.* plus A9 columns, zero for users with no conversations.
+    ``page``: ``conversations`` are those of a page's users, so the rollup has
+    a row for each user of the page at most and is broadcast."""
     roll = user_rollup(conversations, messages, per_conversation)
+    if page:
+        roll = F.broadcast(roll)
     return (users.join(roll, users["id"] == roll["user_id"], "left")
             .select(users["*"],
                     *[F.coalesce(roll[c], F.lit(0)).cast("long").alias(c)

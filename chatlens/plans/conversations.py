@@ -21,8 +21,8 @@ from chatlens.functions.predicates import (all_of, count_tristate, date_range,
                                            key_equals, role_selector,
                                            truthy_error)
 from chatlens.operators.joins import left_join_nullable
-from chatlens.operators.lookup import (collect_page_keys, key_in, semi_join_keys,
-                                       user_columns)
+from chatlens.operators.lookup import (collect_page_keys, key_in, rows_with_keys,
+                                       semi_join_keys, user_columns)
 from chatlens.operators.paging import (CONVERSATIONS_PAGE, check_page,
                                        newest_first, oldest_first, order_bounded,
                                        total)
@@ -126,11 +126,15 @@ def conversation_detail(tables: ChatTables, conversation_id: int | None = None)
     stored column is replaced, as the reference's row keeps the later key.
     """
     c = tables.conversations.filter(all_of(key_equals("id", conversation_id)))
-    u = user_columns(tables.users)
     roll = rollup_of(tables, DETAIL_COLUMNS, conversation_ids=(
         None if conversation_id is None else [conversation_id]))
-    out = (left_join_nullable(c, u, "user_id", "id", "_uid")
-           .join(roll, c["id"] == roll["conversation_id"], "left"))
+    if conversation_id is None:
+        named = left_join_nullable(c, user_columns(tables.users), "user_id", "id", "_uid")
+    else:  # one conversation by its key: only its user is taken from users, without a shuffle
+        u = user_columns(rows_with_keys(tables.users, "id", c, "user_id"))
+        named = c.join(F.broadcast(u), c["user_id"] == u["_uid"], "left")
+        roll = F.broadcast(roll)  # one row
+    out = named.join(roll, c["id"] == roll["conversation_id"], "left")
     counts = ["total_messages", "user_messages", "assistant_messages",
               "error_count", "avg_assistant_response_time_ms"]
     return out.select(

@@ -1,110 +1,111 @@
-"""R1 (dashboard KPIs) and R11 (table health) in one pass per table.
-
-The reference runs 12 (5) scalar subqueries, each a separate scan. Here the
-three tables are tagged and unioned, and one global aggregate with
-conditional counts computes every figure: each table is scanned once, every
-task reduces its rows to one partial row before the single-row final merge,
-and no join (let alone a cross join of one-row results) is needed.
-
-The exact percentiles read a latency histogram: the 7-day assistant sample
-is first grouped by latency value (a distributed aggregation), and the
-weighted ``percentile(value, p, frequency)`` then runs over one row per
-distinct latency. The single final merge therefore holds at most the number
-of distinct integer latencies, however many tasks scanned the messages.
+"""R1 (dashboard KPIs) and R11 (table health) as small aggregates side by side.
+
+Each figure is read from the least that holds it: totals and the newest time
+from the day counts, where the tables carry them, or else from the time
+column alone; everything windowed from a slice bounded by the longest of its
+windows, which prunes day folders; the latencies from a histogram of the
+7-day sample (one row for each distinct latency, however many messages).
+Every branch ends in one row after a distributed aggregation, and the rows
+are merged by a union, so there is no join and no cross join.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.functions.coercion import rounded_mean, to_int
+from chatlens.functions.coercion import to_int
 from chatlens.functions.predicates import assistant_latency_sample, since
 from chatlens.functions.timefns import DAY, HOUR, ntz, resolve_as_of, truncate_day
 from chatlens.sources.tables import ChatTables
 
-_T = "_table"
+
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """The columns of several one-row results as one row."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
+def _rows(df: DataFrame, name: str) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias(name))
+
+
+def _since(tables: ChatTables, start: dt.datetime, strict: bool = False) -> DataFrame:
+    return tables.messages.filter(since(
+        "timestamp", start, strict=strict, date_partition=tables.messages_date_partitioned))
 
 
-def _tagged(tables: ChatTables, messages_cols: list, conversation_cols: list) -> DataFrame:
-    users = tables.users.select(F.lit("u").alias(_T))
-    convs = tables.conversations.select(F.lit("c").alias(_T), *conversation_cols)
-    msgs = tables.messages.select(F.lit("m").alias(_T), *messages_cols)
-    return (msgs.unionByName(convs, allowMissingColumns=True)
-            .unionByName(users, allowMissingColumns=True))
+def _count_if(condition: Column, name: str) -> Column:
+    return F.count_if(condition).alias(name)
 
 
 def latency_histogram(tables: ChatTables, since_ts: dt.datetime) -> DataFrame:
     """``response_time_ms, weight`` over the assistant latency sample."""
-    sample = tables.messages.filter(
-        assistant_latency_sample()
-        & since("timestamp", since_ts, date_partition=tables.messages_date_partitioned))
+    sample = _since(tables, since_ts).filter(assistant_latency_sample())
     return sample.groupBy("response_time_ms").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def _all_messages(tables: ChatTables) -> DataFrame:
+    """``messages`` and ``last_timestamp`` over all history."""
+    if tables.message_days is not None:
+        return tables.message_days.agg(
+            F.coalesce(F.sum("messages"), F.lit(0)).cast("long").alias("messages"),
+            F.max("last_timestamp").alias("last_timestamp"))
+    return tables.messages.agg(F.count(F.lit(1)).alias("messages"),
+                               F.max("timestamp").alias("last_timestamp"))
+
+
+def _all_errors(tables: ChatTables) -> DataFrame:
+    if tables.message_days is not None:
+        return tables.message_days.agg(
+            F.coalesce(F.sum("errors"), F.lit(0)).cast("long").alias("errors"))
+    return _rows(tables.messages.filter(F.col("error").isNotNull()), "errors")
+
+
 def kpi_stats(tables: ChatTables, as_of: dt.datetime | None = None) -> DataFrame:
     """One row of twelve KPIs plus ``generated_at`` (= as_of)."""
     now = resolve_as_of(as_of)
     today = truncate_day(now)
-    day_ago = now - 24 * HOUR
-    week_ago = now - 7 * DAY
-    rows = _tagged(
-        tables,
-        [F.col("timestamp"), F.col("role"), F.col("error"),
-         F.col("response_time_ms")],
-        [F.col("user_id"), F.col("last_message_at")])
-    hist = latency_histogram(tables, week_ago).select(
-        F.lit("h").alias(_T), F.col("response_time_ms").alias("_lat"), "weight")
-    rows = rows.unionByName(hist, allowMissingColumns=True)
-    is_h = F.col(_T) == "h"
-    is_m = F.col(_T) == "m"
-    is_c = F.col(_T) == "c"
-    ts = F.col("timestamp")
-    in_day = is_m & (ts >= ntz(day_ago))
-    latency = F.when(is_m & assistant_latency_sample() & (ts >= ntz(week_ago)),
-                     F.col("response_time_ms"))
-    active = F.when(is_c & (F.col("last_message_at") >= ntz(today)),
-                    F.col("user_id"))
-    agg = rows.agg(
-        F.count_if(F.col(_T) == "u").alias("total_users"),
-        F.count_if(is_c).alias("total_conversations"),
-        F.count_if(is_m).alias("total_messages"),
-        F.count_if(is_m & (ts >= ntz(today))).alias("messages_today"),
-        F.count_if(in_day).alias("messages_24h"),
-        F.count_if(in_day & F.col("error").isNotNull()).alias("errors_24h"),
-        F.count_if(in_day & (F.col("role") == "assistant"))
-        .alias("assistant_messages_24h"),
-        F.count_distinct(active).alias("active_users_today"),
-        F.max(F.when(is_m, ts)).alias("last_message_at"),
-        rounded_mean(latency).alias("avg_response_time_ms_7d"),
-        F.percentile(F.when(is_h, F.col("_lat")), F.array(F.lit(0.5), F.lit(0.95)),
-                     F.when(is_h, F.col("weight"))).alias("_p"),
-    )
-    return agg.select(
+    lat, weight = F.col("response_time_ms"), F.col("weight")
+    merged = _one_row(
+        _rows(tables.users, "total_users"),
+        _rows(tables.conversations, "total_conversations"),
+        _all_messages(tables).withColumnsRenamed(
+            {"messages": "total_messages", "last_timestamp": "last_message_at"}),
+        # midnight is never before the start of the last 24 hours
+        _since(tables, now - 24 * HOUR).agg(
+            _count_if(F.col("timestamp") >= ntz(today), "messages_today"),
+            F.count(F.lit(1)).alias("messages_24h"),
+            _count_if(F.col("error").isNotNull(), "errors_24h"),
+            _count_if(F.col("role") == "assistant", "assistant_messages_24h")),
+        _rows(tables.conversations.filter((F.col("last_message_at") >= ntz(today))
+                                          & F.col("user_id").isNotNull())
+              .select("user_id").distinct(), "active_users_today"),
+        latency_histogram(tables, now - 7 * DAY).agg(
+            F.round(F.sum(lat.cast("long") * weight) / F.sum(weight), 0).cast("long").alias("_mean"),
+            F.percentile(lat, F.lit(0.5), weight).alias("_p50"),
+            F.percentile(lat, F.lit(0.95), weight).alias("_p95")))
+    return merged.select(
         ntz(now).alias("generated_at"),
         "total_users", "total_conversations", "total_messages",
         "messages_today", "messages_24h", "errors_24h",
         "assistant_messages_24h", "active_users_today", "last_message_at",
-        to_int("avg_response_time_ms_7d").alias("avg_response_time_ms_7d"),
-        to_int(F.col("_p")[0]).alias("p50_response_time_ms_7d"),
-        to_int(F.col("_p")[1]).alias("p95_response_time_ms_7d"),
+        to_int("_mean").alias("avg_response_time_ms_7d"),
+        to_int("_p50").alias("p50_response_time_ms_7d"),
+        to_int("_p95").alias("p95_response_time_ms_7d"),
     )
 
 
 def table_health(tables: ChatTables, as_of: dt.datetime | None = None) -> DataFrame:
     """Row totals, messages in the last hour (strict ``>``), all errors."""
     now = resolve_as_of(as_of)
-    hour_ago = now - HOUR
-    rows = _tagged(tables, [F.col("timestamp"), F.col("error")], [])
-    is_m = F.col(_T) == "m"
-    return rows.agg(
-        F.count_if(F.col(_T) == "u").alias("users"),
-        F.count_if(F.col(_T) == "c").alias("conversations"),
-        F.count_if(is_m).alias("messages"),
-        F.count_if(is_m & since("timestamp", hour_ago, strict=True))
-        .alias("messages_last_hour"),
-        F.count_if(is_m & F.col("error").isNotNull()).alias("errors"),
+    return _one_row(
+        _rows(tables.users, "users"), _rows(tables.conversations, "conversations"),
+        _all_messages(tables).select("messages"),
+        _rows(_since(tables, now - HOUR, strict=True), "messages_last_hour"),
+        _all_errors(tables),
     ).select(ntz(now).alias("server_time"), "users", "conversations",
              "messages", "messages_last_hour", "errors")

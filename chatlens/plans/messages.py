@@ -67,6 +67,42 @@ def _with_users(tables: ChatTables, pg: DataFrame, keys: list) -> DataFrame:
     return out.select(*[pg[c] for c in MESSAGE_COLUMNS], *USER_VIEW_COLUMNS)
 
 
+def _newest_keys(tables: ChatTables, filtered: DataFrame, order: list, n: int, offset: int,
+                 errors_only: bool, date_to: dt.date | None) -> list:
+    """Phase 1 from the newest day down, where the day counts are known.
+
+    The scan is bounded at the day by which that many messages (or errors)
+    have been counted. When the other filters leave the page short, the bound
+    goes back to eight times as many, and in the end falls away. Days without
+    a time come first in the order and are always read, so every page is
+    exact, whatever the counts say.
+    """
+    columns = ["id", "timestamp", "conversation_id"]
+    if tables.message_days is None or not tables.messages_date_partitioned:
+        return collect_page_keys(filtered, order, n, offset, columns)
+    day = F.col(MESSAGE_DATE_PARTITION)
+    known = tables.message_days.filter(day.isNotNull())
+    if date_to is not None:
+        known = known.filter(day <= F.lit(date_to))
+    # one row for each calendar day
+    days = known.select(MESSAGE_DATE_PARTITION, "errors" if errors_only else "messages") \
+        .orderBy(day.desc()).collect()
+    wanted = offset + n
+    while True:
+        seen = 0
+        for first, count in days:
+            seen += count
+            if seen >= wanted:
+                break
+        else:
+            return collect_page_keys(filtered, order, n, offset, columns)
+        recent = filtered.filter(day.isNull() | (day >= F.lit(first)))
+        keys = collect_page_keys(recent, order, n, offset, columns)
+        if len(keys) == n:
+            return keys
+        wanted = 8 * seen
+
+
 def messages_list(tables: ChatTables, conversation_id: int | None = None,
                   role: str | None = None, has_error: bool | None = None,
                   search: str | None = None, date_from: dt.date | None = None,
@@ -74,13 +110,13 @@ def messages_list(tables: ChatTables, conversation_id: int | None = None,
                   offset: int = 0, bounds: PageBounds = MESSAGES_PAGE) -> DataFrame:
     """R9 page, newest first (NULL timestamps first), with user columns.
 
-    Runs phase 1 (one small job) when called; the returned DataFrame reads
+    Runs phase 1 (small jobs, newest days first) when called; the returned DataFrame reads
     only the page's rows.
     """
     n = check_page(limit, offset, bounds)
     order = newest_first("timestamp")
     filtered = _filtered(tables, conversation_id, role, has_error, search, date_from, date_to)
-    keys = collect_page_keys(filtered, order, n, offset, ["id", "timestamp", "conversation_id"])
+    keys = _newest_keys(tables, filtered, order, n, offset, has_error is True, date_to)
     return order_bounded(_with_users(tables, _page_rows(tables, keys), keys), order)
 
 

@@ -42,15 +42,15 @@ def users_list(tables: ChatTables, search: str | None = None,
 
 
 def _with_rollup(tables: ChatTables, users: DataFrame, convs: DataFrame) -> DataFrame:
-    """A9 for ``users`` owning ``convs``: from the shared rollup when the
+    """A9 for a page of ``users`` owning ``convs``: from the shared rollup when the
     tables carry one, else from their conversations' messages only (the
     messages are cut by a semi-join on their keys)."""
     if tables.conversation_rollup is not None:
         shared = semi_join_keys(rollup_of(tables, ("total_messages", "error_count")),
                                   "conversation_id", convs, "id")
-        return with_user_rollup(users, convs, tables.messages, per_conversation=shared)
+        return with_user_rollup(users, convs, tables.messages, per_conversation=shared, page=True)
     msgs = semi_join_keys(tables.messages, "conversation_id", convs, "id")
-    return with_user_rollup(users, convs, msgs)
+    return with_user_rollup(users, convs, msgs, page=True)
 
 
 def users_total(tables: ChatTables, search: str | None = None) -> DataFrame:

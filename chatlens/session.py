@@ -15,6 +15,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # a page's keys (500 at most) are compared with row-group statistics one
+    # by one, not as a range from the smallest to the largest
+    "spark.sql.parquet.pushdown.inFilterThreshold": "500",
     # streaming state (per-conversation rollups, dedup ids) lives in RocksDB
     # on local disk instead of the executor heap
     "spark.sql.streaming.stateStore.providerClass":

@@ -1,15 +1,18 @@
 """Reading and storing users, conversations and messages.
 
-Stored layout (``write_tables``): messages are partitioned by the calendar day
+Stored layout (``write_tables``): conversations are clustered by id; messages are partitioned by the calendar day
 of ``timestamp`` (column ``msg_date``) and range-clustered by
 (``conversation_id``, ``timestamp``) inside each day, so time-window reports
 prune whole folders and per-conversation lookups read row groups whose
-min/max statistics are narrow.
+min/max statistics are narrow. Two summaries lie beside them
+(``write_summaries``): the per-conversation rollup, clustered by
+conversation, which lists read instead of messages, and the counts of each
+day, which totals and newest-first pages read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,9 @@ class ChatTables:
     ``rollups.share_rollup`` or kept current by the streaming T3 job). Reports
     that need per-conversation figures then read it instead of aggregating
     messages again.
+
+    ``message_days`` optionally holds one row for each ``msg_date`` (NULL for
+    messages without a time): ``messages``, ``errors``, ``last_timestamp``.
     """
 
     users: DataFrame
@@ -38,9 +44,7 @@ class ChatTables:
     messages: DataFrame
     messages_date_partitioned: bool = False
     conversation_rollup: DataFrame | None = None
-
-    def with_messages(self, messages: DataFrame) -> "ChatTables":
-        return replace(self, messages=messages)
+    message_days: DataFrame | None = None
 
 
 def _with_partition_column(schema: T.StructType) -> T.StructType:
@@ -70,8 +74,16 @@ def read_jdbc_table(spark: SparkSession, url: str, table: str,
                       for f in schema.fields])
 
 
-def load_tables(spark: SparkSession, root: str) -> ChatTables:
-    """Read the layout produced by ``write_tables`` under ``root``."""
+def load_tables(spark: SparkSession, root: str, summaries: bool | None = None) -> ChatTables:
+    """Read the layout produced by ``write_tables`` under ``root``.
+
+    The summaries are used where they exist. ``summaries=False`` leaves them
+    aside: for folders whose messages were changed without a new
+    ``write_summaries``.
+    """
+    found = {name: summaries is not False and _exists(spark, f"{root}/{name}") for name in SUMMARIES}
+    if summaries and not all(found.values()):
+        raise ValueError(f"no summaries under {root}: run write_summaries")
     return ChatTables(
         users=read_table(spark, f"{root}/users", S.USERS),
         conversations=read_table(spark, f"{root}/conversations",
@@ -79,12 +91,40 @@ def load_tables(spark: SparkSession, root: str) -> ChatTables:
         messages=read_table(spark, f"{root}/messages",
                             _with_partition_column(S.MESSAGES)),
         messages_date_partitioned=True,
+        **{name: spark.read.parquet(f"{root}/{name}") for name, there in found.items() if there},
     )
 
 
+SUMMARIES = ("conversation_rollup", "message_days")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def count_days(messages: DataFrame) -> DataFrame:
+    """``messages, errors, last_timestamp`` of each ``msg_date``."""
+    day = F.to_date("timestamp").alias(S.MESSAGE_DATE_PARTITION)
+    return messages.groupBy(day).agg(
+        F.count(F.lit(1)).alias("messages"),
+        F.count_if(F.col("error").isNotNull()).alias("errors"),
+        F.max("timestamp").alias("last_timestamp"))
+
+
+def write_summaries(messages: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """Store the per-conversation rollup, clustered by conversation, and the
+    counts of each day. Both must be written anew when messages change."""
+    from chatlens.operators.rollups import SHARED_COLUMNS, conversation_rollup
+    (conversation_rollup(messages, SHARED_COLUMNS)
+        .repartitionByRange("conversation_id").sortWithinPartitions("conversation_id")
+        .write.mode(mode).parquet(f"{root}/conversation_rollup"))
+    count_days(messages).write.mode(mode).parquet(f"{root}/message_days")
+
+
 def write_tables(tables: ChatTables, root: str, mode: str = "overwrite",
                  rows_per_file: int = 5_000_000, num_files: int | None = None) -> None:
-    """Store the three tables as parquet under ``root``.
+    """Store the three tables and the summaries as parquet under ``root``.
 
     Messages are range-partitioned on (day, conversation_id, timestamp) into
     ``num_files`` tasks (default: one per ``rows_per_file`` rows, from a
@@ -96,7 +136,7 @@ def write_tables(tables: ChatTables, root: str, mode: str = "overwrite",
     """
     tables.users.select(S.USER_COLUMNS).write.mode(mode).parquet(f"{root}/users")
     (tables.conversations.select(S.CONVERSATION_COLUMNS)
-        .repartitionByRange("id").write.mode(mode)
+        .repartitionByRange("id").sortWithinPartitions("id").write.mode(mode)
         .parquet(f"{root}/conversations"))
     msgs = (tables.messages.select(S.MESSAGE_COLUMNS)
             .withColumn(S.MESSAGE_DATE_PARTITION, F.to_date("timestamp")))
@@ -107,3 +147,5 @@ def write_tables(tables: ChatTables, root: str, mode: str = "overwrite",
         .sortWithinPartitions(*order)
         .write.mode(mode).partitionBy(S.MESSAGE_DATE_PARTITION)
         .parquet(f"{root}/messages"))
+    write_summaries(read_table(tables.messages.sparkSession, f"{root}/messages",
+                               _with_partition_column(S.MESSAGES)), root, mode)

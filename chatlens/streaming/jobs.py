@@ -1,6 +1,6 @@
 """Keep activity, tool counts and conversation rollups current.
 
-The reference re-runs its queries on a timer. Here arriving messages (files
+Instead of queries run again on a timer, arriving messages (files
 landing in a folder, or any streaming source with the messages schema) feed
 incremental aggregations:
 

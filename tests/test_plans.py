@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from chatlens.operators import lookup
 from chatlens.plans import activity, conversations, kpis, messages, tools, users
 from chatlens.sources.fixtures import FIXTURE_AS_OF, from_testdata
 from tests.conftest import SF_SMALL
@@ -45,14 +46,83 @@ def test_time_windows_reach_the_scan(spark, tables):
     assert "GreaterThanOrEqual(ts,2024-01-23T18:30)" in p
 
 
-def test_kpis_scan_each_table_once_without_joins(tables):
-    p = plan(kpis.kpi_stats(tables, FIXTURE_AS_OF))
-    # messages, (derived) conversations, and the 7-day latency histogram slice
-    assert p.count("events.parquet") == 3
-    assert "GreaterThanOrEqual(ts,2024-01-23T18:30)" in p
-    assert p.count("customer.parquet") == 1
-    assert "Join" not in p and "CartesianProduct" not in p
-    _no_python(p)
+def scans(df, table: str) -> list[str]:
+    return [x for x in plan(df).splitlines() if "FileScan parquet" in x and table in x]
+
+
+def test_kpis_read_bounded_slices_without_joins(tables):
+    df = kpis.kpi_stats(tables, FIXTURE_AS_OF)
+    bounded = [x for x in scans(df, "events.parquet") if "GreaterThanOrEqual(ts," in x]
+    assert any("2024-01-29T18:30" in x for x in bounded)      # counts of 24 hours
+    assert any("2024-01-23T18:30" in x for x in bounded)      # latencies of 7 days
+    for x in scans(df, "events.parquet"):
+        if x not in bounded:                                  # totals: no error, role or latency
+            assert "event_type" not in x.split("ReadSchema")[1]
+            assert "value" not in x.split("ReadSchema")[1]
+    assert len(scans(df, "customer.parquet")) == 1
+    assert "Join" not in plan(df) and "CartesianProduct" not in plan(df)
+    _no_python(plan(df))
+
+
+def test_stored_totals_come_from_the_day_counts(stored, tables):
+    for report in (kpis.kpi_stats, kpis.table_health):
+        df = report(stored, FIXTURE_AS_OF)
+        for x in scans(df, "/messages"):
+            assert "PartitionFilters: [isnotnull(msg_date" in x
+        assert df.collect() == report(tables, FIXTURE_AS_OF).collect()
+
+
+def rows_read(spark, df, table: str) -> int:
+    """Rows that the scans of ``table`` handed on when ``df`` ran."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = df.select("*")
+        again.collect()
+        leaves = again._jdf.queryExecution().executedPlan().collectLeaves()
+        return sum(leaves.apply(i).metrics().apply("numOutputRows").value()
+                   for i in range(leaves.size()) if table in leaves.apply(i).toString())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_newest_page_reads_the_newest_days_only(spark, stored, tables, monkeypatch):
+    reads = []
+
+    def counted(df, order, limit, offset, columns):
+        reads.append(rows_read(spark, df.select(*columns), "messages"))
+        return lookup.collect_page_keys(df, order, limit, offset, columns)
+
+    monkeypatch.setattr(messages, "collect_page_keys", counted)
+    everything = tables.messages.count()
+    for params in ({"limit": 20}, {"limit": 10, "offset": 15, "has_error": True},
+                   {"limit": 20, "date_to": dt.date(2024, 1, 20)}):
+        reads.clear()
+        got = messages.messages_list(stored, **params).collect()
+        assert len(reads) == 1 and reads[0] < everything / 4
+        assert got == messages.messages_list(tables, **params).collect()
+    # a rare text: the bound goes back until the page is full, then falls away
+    reads.clear()
+    rare = {"limit": 20, "search": "click {\"k\": 7"}
+    assert messages.messages_list(stored, **rare).collect() == \
+        messages.messages_list(tables, **rare).collect()
+    assert len(reads) > 1
+
+
+def test_pages_do_not_read_the_fact_table_for_their_figures(spark, stored):
+    for df in (conversations.conversations_list(stored), users.users_list(stored),
+               users.user_conversations(stored)):
+        assert not scans(df, "/messages")
+
+
+def test_one_conversation_takes_its_user_without_a_shuffle_of_users(spark, stored):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(conversations.conversation_detail(stored, 709))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    users_part = p[p.index("BroadcastHashJoin"):]
+    assert "LeftSemi, BuildRight" in users_part
+    assert "Exchange hashpartitioning(id" not in p and "hashpartitioning(_uid" not in p
 
 
 def test_page_keys_come_from_a_top_k(tables):
