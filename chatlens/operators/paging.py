@@ -57,15 +57,18 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return ordered.limit(limit)
 
 
-def order_bounded(df: DataFrame, order: list[Column]) -> DataFrame:
+def order_bounded(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """Order a result already cut to one page (at most a few hundred rows).
 
+    Its rows were read by their ids; where a table repeats an id, ``limit``
+    keeps the page from growing beyond its size.
+
     The page's rows are moved into one partition (a single-partition
     exchange of at most ``limit`` rows) and sorted there: no range-
     partitioning sample job, and, unlike ``coalesce(1)``, the scans that
     fetch the page keep their parallelism.
     """
-    return df.repartition(1).sortWithinPartitions(*order)
+    return df.repartition(1).sortWithinPartitions(*order).limit(limit)
 
 
 def total(df: DataFrame, name: str = "total") -> DataFrame:

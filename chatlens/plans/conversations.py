@@ -101,7 +101,7 @@ def conversations_list(tables: ChatTables, user_id: int | None = None,
                 .filter(count_tristate(errors["error_count"], has_error))
                 .select(*[cand[x] for x in CONVERSATION_COLUMNS]))
     keys = collect_page_keys(cand, order, n, offset, ["id", "user_id", "last_message_at"])
-    return order_bounded(_page_rows(tables, keys), order)
+    return order_bounded(_page_rows(tables, keys), order, n)
 
 
 def conversations_total(tables: ChatTables, user_id: int | None = None,

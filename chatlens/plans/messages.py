@@ -117,7 +117,7 @@ def messages_list(tables: ChatTables, conversation_id: int | None = None,
     order = newest_first("timestamp")
     filtered = _filtered(tables, conversation_id, role, has_error, search, date_from, date_to)
     keys = _newest_keys(tables, filtered, order, n, offset, has_error is True, date_to)
-    return order_bounded(_with_users(tables, _page_rows(tables, keys), keys), order)
+    return order_bounded(_with_users(tables, _page_rows(tables, keys), keys), order, n)
 
 
 def messages_total(tables: ChatTables, conversation_id: int | None = None,

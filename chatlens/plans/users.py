@@ -38,7 +38,7 @@ def users_list(tables: ChatTables, search: str | None = None,
     ids = [k.id for k in keys]
     pg = tables.users.filter(key_in("id", ids))
     convs = tables.conversations.filter(key_in("user_id", ids))
-    return order_bounded(_with_rollup(tables, pg, convs), order)
+    return order_bounded(_with_rollup(tables, pg, convs), order, n)
 
 
 def _with_rollup(tables: ChatTables, users: DataFrame, convs: DataFrame) -> DataFrame:
@@ -98,4 +98,4 @@ def user_conversations(tables: ChatTables, user_id: int | None = None,
     out = (convs.join(roll, convs["id"] == roll["conversation_id"], "left")
            .select(*[convs[c] for c in CONVERSATION_COLUMNS],
                    *[zero_if_null(roll[c]).cast("long").alias(c) for c in cols]))
-    return order_bounded(out, order) if order else out
+    return order_bounded(out, order, n) if order else out

@@ -1,6 +1,7 @@
 """Semantic traps on tiny hand-made tables (FIXTURES.md §3)."""
 
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -280,3 +281,12 @@ def test_pages_past_the_end_are_empty_with_schema(tables):
         assert "id" in df.columns
     assert messages.messages_list(tables, offset=10_000).columns[-3:] == \
         ["display_name", "email", "ms_user_id"]
+
+
+def test_pages_keep_their_size_when_ids_repeat(tables):
+    twice = replace(tables, **{name: getattr(tables, name).unionAll(getattr(tables, name))
+                               for name in ("users", "conversations", "messages")})
+    for page in (users.users_list(twice, limit=3), users.user_conversations(twice, limit=3),
+                 conversations.conversations_list(twice, limit=3),
+                 messages.messages_list(twice, limit=3)):
+        assert page.count() == 3
