@@ -10,6 +10,7 @@ skew-join split.
 from __future__ import annotations
 
 import datetime as dt
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +19,11 @@ from chatlens.functions.coercion import zero_if_null
 from chatlens.functions.labels import highlight, tools_text
 from chatlens.functions.predicates import (all_of, count_tristate, date_range,
                                            ilike_any, in_conversation_match,
-                                           key_equals, role_selector,
+                                           key_equals, null_tristate, role_selector,
                                            truthy_error)
 from chatlens.operators.joins import left_join_nullable
-from chatlens.operators.lookup import (collect_page_keys, key_in, rows_with_keys,
-                                       semi_join_keys, user_columns)
+from chatlens.operators.lookup import (anti_join_keys, collect_page_keys, key_in,
+                                       rows_with_keys, semi_join_keys, user_columns)
 from chatlens.operators.paging import (CONVERSATIONS_PAGE, check_page,
                                        newest_first, oldest_first, order_bounded,
                                        total)
@@ -51,17 +52,16 @@ def _filtered_conversations(tables: ChatTables, user_id: int | None, search: str
     return c.join(u, c["user_id"] == u["_uid"], "left_semi")
 
 
-def _error_counts(tables: ChatTables, cand: DataFrame, narrowed: bool) -> DataFrame:
-    """Per-conversation error counts for the error filter. When other filters
-    narrowed the candidates, only their messages are aggregated (a semi-join
-    on the candidates' keys)."""
+def _by_errors(tables: ChatTables, cand: DataFrame, has_error: bool) -> DataFrame:
+    """the candidates with (without) an error among their messages. One
+    semi- (anti-) join on the conversations that have one, from the rollup if
+    the tables carry it, or else from the messages with an error alone."""
     if tables.conversation_rollup is not None:
-        shared = rollup_of(tables, ("error_count",))
-        return semi_join_keys(shared, "conversation_id", cand, "id") if narrowed else shared
-    msgs = tables.messages
-    if narrowed:
-        msgs = semi_join_keys(msgs, "conversation_id", cand, "id")
-    return rollup_of(tables, ("error_count",), messages=msgs)
+        failed = rollup_of(tables, ("error_count",)).filter(count_tristate(F.col("error_count"), True))
+    else:
+        failed = tables.messages.filter(null_tristate("error", True))
+    how = semi_join_keys if has_error else partial(anti_join_keys, big_pk="id")
+    return how(cand, "id", keys=failed, key="conversation_id")
 
 
 def _page_rows(tables: ChatTables, keys: list) -> DataFrame:
@@ -87,19 +87,15 @@ def conversations_list(tables: ChatTables, user_id: int | None = None,
     """R7 page, newest ``last_message_at`` first (NULLs first).
 
     Phase 1 finds the page's (id, user_id) keys: without an error filter from
-    conversations alone; with one, after joining every candidate's error
-    count (one aggregation of messages by conversation, joined 1:1). Phase 2
+    conversations alone; with one, after a semi- or anti-join with the
+    conversations that have errors. Phase 2
     reads the page's conversations, users and messages through those keys.
     """
     n = check_page(limit, offset, CONVERSATIONS_PAGE)
     order = newest_first("last_message_at")
     cand = _filtered_conversations(tables, user_id, search, date_from, date_to)
-    narrowed = any(x is not None for x in (user_id, date_from, date_to)) or bool(search)
     if has_error is not None:
-        errors = _error_counts(tables, cand, narrowed)
-        cand = (cand.join(errors, cand["id"] == errors["conversation_id"], "left")
-                .filter(count_tristate(errors["error_count"], has_error))
-                .select(*[cand[x] for x in CONVERSATION_COLUMNS]))
+        cand = _by_errors(tables, cand, has_error)
     keys = collect_page_keys(cand, order, n, offset, ["id", "user_id", "last_message_at"])
     return order_bounded(_page_rows(tables, keys), order, n)
 
@@ -109,13 +105,10 @@ def conversations_total(tables: ChatTables, user_id: int | None = None,
                         date_to: dt.date | None = None,
                         has_error: bool | None = None) -> DataFrame:
     """R7 total under the same filters (users joined only for a search,
-    messages aggregated only for an error filter)."""
+    messages read only for an error filter)."""
     c = _filtered_conversations(tables, user_id, search, date_from, date_to)
-    narrowed = any(x is not None for x in (user_id, date_from, date_to)) or bool(search)
     if has_error is not None:
-        roll = _error_counts(tables, c, narrowed)
-        c = (c.join(roll, c["id"] == roll["conversation_id"], "left")
-             .filter(count_tristate(roll["error_count"], has_error)))
+        c = _by_errors(tables, c, has_error)
     return total(c)
 
 

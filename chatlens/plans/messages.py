@@ -28,6 +28,7 @@ from chatlens.schema import MESSAGE_COLUMNS, MESSAGE_DATE_PARTITION
 from chatlens.sources.tables import ChatTables
 
 USER_VIEW_COLUMNS = ["display_name", "email", "ms_user_id"]
+KEY_COLUMNS = ["id", "timestamp", "conversation_id"]
 
 
 def _filtered(tables: ChatTables, conversation_id, role, has_error, search,
@@ -77,9 +78,8 @@ def _newest_keys(tables: ChatTables, filtered: DataFrame, order: list, n: int, o
     a time come first in the order and are always read, so every page is
     exact, whatever the counts say.
     """
-    columns = ["id", "timestamp", "conversation_id"]
     if tables.message_days is None or not tables.messages_date_partitioned:
-        return collect_page_keys(filtered, order, n, offset, columns)
+        return collect_page_keys(filtered, order, n, offset, KEY_COLUMNS)
     day = F.col(MESSAGE_DATE_PARTITION)
     known = tables.message_days.filter(day.isNotNull())
     if date_to is not None:
@@ -95,9 +95,9 @@ def _newest_keys(tables: ChatTables, filtered: DataFrame, order: list, n: int, o
             if seen >= wanted:
                 break
         else:
-            return collect_page_keys(filtered, order, n, offset, columns)
+            return collect_page_keys(filtered, order, n, offset, KEY_COLUMNS)
         recent = filtered.filter(day.isNull() | (day >= F.lit(first)))
-        keys = collect_page_keys(recent, order, n, offset, columns)
+        keys = collect_page_keys(recent, order, n, offset, KEY_COLUMNS)
         if len(keys) == n:
             return keys
         wanted = 8 * seen
@@ -116,7 +116,10 @@ def messages_list(tables: ChatTables, conversation_id: int | None = None,
     n = check_page(limit, offset, bounds)
     order = newest_first("timestamp")
     filtered = _filtered(tables, conversation_id, role, has_error, search, date_from, date_to)
-    keys = _newest_keys(tables, filtered, order, n, offset, has_error is True, date_to)
+    if conversation_id is not None:  # the conversation's own row groups bound the scan
+        keys = collect_page_keys(filtered, order, n, offset, KEY_COLUMNS)
+    else:
+        keys = _newest_keys(tables, filtered, order, n, offset, has_error is True, date_to)
     return order_bounded(_with_users(tables, _page_rows(tables, keys), keys), order, n)
 
 
