@@ -236,3 +236,36 @@ def test_pipeline(spark):
         docs = stage(spark, docs, SF_SMALL).cache()
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert set(got["doc_id"]) == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_language_model_keeps_every_context_apart(spark):
+    """Predictions come from the counts of the very context, however many contexts there are."""
+    rng = random.Random(2)
+    texts = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=300))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = context_mixing.stored(docs.selectExpr("doc_id", "text", "false AS held_out", "0 AS bucket"), "texts")
+    found = rows.mapInArrow(context_mixing._statistics, "bucket int, ord int, key long, n long")
+    code, contexts = context_mixing.model(found.filter("bucket < 0").select("key", "n"))
+    counts = {}
+    for _, t in texts:
+        data = bytes(5) + t.encode() + bytes([context_mixing.END])
+        for at in range(5, len(data)):
+            for o in context_mixing.ORDERS:
+                context = int.from_bytes(data[at - o:at], "big")
+                own = counts.setdefault((o, context), {})
+                own[data[at]] = own.get(data[at], 0) + 1
+    got = {(r["ord"], r["key"]): {p & 0xFF: p >> 8 for p in r["pairs"]} for r in contexts.collect()}
+    assert got == counts
+    pairs = [[(c << 8 | s, n) for (own, c), by in counts.items() if own == o for s, n in by.items()] for o in context_mixing.ORDERS]
+    mixer = context_mixing.Counted(code, [tuple(np.array(x, np.int64) for x in zip(*p)) for p in pairs])
+    grams = np.array(rng.sample([c << 8 | s for (o, c), by in counts.items() if o == 5 for s in by], 300))
+    tree = {prev: context_mixing.huffman(np.bincount([s for (o, c), by in counts.items() if o == 2 and c & 0xFF == prev for s, n in by.items() for _ in range(n)], minlength=256))
+            for prev in {int(g) >> 8 & 0xFF for g in grams}}
+    place = mixer.places(grams)
+    for k, o in enumerate(context_mixing.ORDERS):
+        for i, g in enumerate(map(int, grams)):
+            own, paths = counts[o, g >> 8 & (1 << 8 * o) - 1], tree[g >> 8 & 0xFF]
+            for d, (node, _) in enumerate(paths[g & 0xFF]):
+                n = [sum(c for s, c in own.items() if (node, bit) in paths[s]) + context_mixing.PRIOR for bit in (0, 1)]
+                got = mixer.odds(k, d, place[k][i:i + 1], np.array([g & 0xFFFF]))[0] * context_mixing.UNIT
+                assert abs(got - math.log(n[1] / n[0])) <= 2 * context_mixing.UNIT
