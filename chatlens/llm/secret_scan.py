@@ -31,10 +31,14 @@ ASSIGN = re.compile("(" + "|".join(map(_either, ("password", "passwd", "secret",
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
 HEX = re.compile("[0-9a-f]{16,}")
-#: Words before a value that make it a credential, and what may stand between.
+#: Words before a value that make it a credential, and what may stand between. The first may end any identifier's part,
+#: the others begin one; what follows in the identifier is read with them, so that no run of characters is read twice.
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login")
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|(?:client[ _-]?)?secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|auth(?:orization)?|bearer|login)["']?[\x20\t]*(?::=|=>|[:=]|\bis\b)[\x20\t]*["']?([^\s"'<>,;]{6,})""",
+    r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|(?:api|access|private|account|secret|encryption|signing|storage|master|shared|service|client|auth)[ _.-]?key
+|(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:pass|auth(?:orization)?|bearer|login))
+(?:(?:[_.-]|[0-9]|(?-i:(?<=[a-z])[A-Z]))[A-Za-z0-9_.-]*+)?+
+(?:["']?[\x20\t]*(?::=|=>|[:=]|\bis\b)[\x20\t]*["']?(?:(?:bearer|basic)[\x20\t]+)?+(?=([^\s"'<>,;]{6,})))?""".replace("\n", ""),
     re.ASCII | re.IGNORECASE)
 
 #: Common words and passwords, the commonest first.
@@ -128,7 +132,7 @@ def credential_values(text: str) -> list[tuple[int, int, float]]:
         return []
     out = []
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".!?)]}")
+        value = (m[1] or "").rstrip(".!?)]}")
         if len(value) >= 6:
             out.append((m.start(1), m.start(1) + len(value), cost_of(value)))
     return out

@@ -269,3 +269,20 @@ def test_language_model_keeps_every_context_apart(spark):
                 n = [sum(c for s, c in own.items() if (node, bit) in paths[s]) + context_mixing.PRIOR for bit in (0, 1)]
                 got = mixer.odds(k, d, place[k][i:i + 1], np.array([g & 0xFFFF]))[0] * context_mixing.UNIT
                 assert abs(got - math.log(n[1] / n[0])) <= 2 * context_mixing.UNIT
+
+
+@pytest.mark.parametrize("text, value", [
+    ("AWS_SECRET_ACCESS_KEY=wJalr#XUtnFEMI", "wJalr#XUtnFEMI"), ("DB_PASSWORD=xK9#mP2$vL!qR7", "xK9#mP2$vL!qR7"), ("dbPassword: xK9#mP2$vL", "xK9#mP2$vL"),
+    ("POSTGRES_PWD=aZ8!kQ2@wE5x", "aZ8!kQ2@wE5x"), ("STORAGE_ACCOUNT_KEY=q7#Vd0!zLw", "q7#Vd0!zLw"), ("Authorization: Bearer q7#Vd0!zLw", "q7#Vd0!zLw"),
+    ("Proxy-Authorization: Basic q7#Vd0!zLw", "q7#Vd0!zLw"), ('"smtp.auth.value": "q7#Vd0!zLw"', "q7#Vd0!zLw"), ("my_token: password: q7#Vd0!zLw", "q7#Vd0!zLw"),
+    ("userPass1 => q7#Vd0!zLw", "q7#Vd0!zLw"), ("password is q7#Vd0!zLw", "q7#Vd0!zLw")])
+def test_credential_names_with_more_around_the_word(spark, text, value):
+    got = secret_scan.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    at = text.index(value)
+    assert f"guess:{at}:{at + len(value)}" in got["spans"].split(",")
+
+
+def test_words_that_only_contain_a_credential_word_are_none():
+    for text in ("Author: q7#Vd0!zLw", "compass: q7#Vd0!zLw", "tokenizer: q7#Vd0!zLw", "primary key: q7#Vd0!zLw"):
+        assert secret_scan.credential_values(text) == []
+    assert secret_scan.credential_values("secret_" * 200_000 + ": x") == []  # in linear time
