@@ -9,6 +9,8 @@ a notice usually stands on a line of its own.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import pkgutil
 import re
 from collections.abc import Iterable, Iterator
 
@@ -16,6 +18,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Licences whose text lies in ``licence_texts``, as published.
+PUBLISHED = ("Apache-2.0", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense")
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of {0} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    """THIS SOFTWARE IS PROVIDED BY THE {1} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE {2} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""")
+
+
+def _published() -> list[tuple[str, str]]:
+    """Texts in ``licence_texts``, with and without what follows their terms."""
+    out = []
+    for name in PUBLISHED:
+        text = pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode()
+        terms, end, after = text.partition("END OF TERMS AND CONDITIONS")
+        out += [(name, text), *([(name, terms), (name, terms + end)] if after else [])]
+        if name == "CC0-1.0":
+            out.append((name, text.replace("Creative Commons CC0 1.0", "Creative Commons Legal Code CC0 1.0", 1)))
+    return out
+
+
+def _bsd() -> list[tuple[str, str]]:
+    """BSD with two and three clauses: titles, numbered or not, a line of rights reserved or not, names of the holders."""
+    out = []
+    for three, numbered, reserved, titled, (name, by, holder) in itertools.product(
+            (False, True), (False, True), (False, True), (False, True),
+            (("the copyright holder", "COPYRIGHT HOLDERS", "COPYRIGHT HOLDER"), ("the copyright holder", "COPYRIGHT HOLDERS", "COPYRIGHT HOLDERS"),
+             ("the copyright holders", "COPYRIGHT HOLDERS", "COPYRIGHT HOLDERS"), ("the University", "REGENTS", "REGENTS"))):
+        clauses = [(f"{n}. " if numbered else "") + line for n, line in enumerate(_BSD[1:4 if three else 3], 1)]
+        title = [f"BSD {3 if three else 2}-Clause License"] * titled + ["All rights reserved."] * reserved
+        out.append((f"BSD-{3 if three else 2}-Clause", "\n".join([*title, _BSD[0], *clauses, _BSD[4]]).format(name, by, holder)))
+    return out
+
+
 #: Known notices and licences, as published.
 KNOWN = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -34,6 +71,9 @@ KNOWN = [
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("All-Rights-Reserved", "All rights reserved."),
+    *_published(),
+    *_bsd(),
     ("MIT", """MIT License
 
 Copyright (c) <year> <copyright holders>
@@ -52,6 +92,9 @@ Permission to use, copy, modify, and/or distribute this software for any purpose
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
 ]
 
+# the last two without their titles, and MIT under its other one
+KNOWN[-2:-2] = [(name, text.partition("\n")[2]) for name, text in KNOWN[-2:]] + [("MIT", "The MIT License (MIT)\n" + KNOWN[-2][1].partition("\n")[2])]
+
 #: Spellings that mean the same, after punctuation is gone.
 EQUIVALENT = [
     ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"),

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import pkgutil
 import random
 
 import numpy as np
@@ -286,3 +287,17 @@ def test_words_that_only_contain_a_credential_word_are_none():
     for text in ("Author: q7#Vd0!zLw", "compass: q7#Vd0!zLw", "tokenizer: q7#Vd0!zLw", "primary key: q7#Vd0!zLw"):
         assert secret_scan.credential_values(text) == []
     assert secret_scan.credential_values("secret_" * 200_000 + ": x") == []  # in linear time
+
+
+def test_whole_licence_texts(spark):
+    own = {name: pkgutil.get_data("chatlens.llm", f"licence_texts/{name}.txt").decode() for name in licences.PUBLISHED}
+    texts = dict(enumerate(own.items()))
+    texts[100] = ("Apache-2.0", own["Apache-2.0"].partition("END OF TERMS")[0])
+    texts[101] = ("BSD-2-Clause", "Copyright (c) 2019, Some One\n" + "\n".join([licences._BSD[0], *("* " + x for x in licences._BSD[1:3]), licences._BSD[4]]).format("", "COPYRIGHT HOLDERS", "COPYRIGHT OWNER"))
+    texts[102] = ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2019, Some One\nAll rights reserved.\n\n" + "\n".join(
+        [licences._BSD[0], *(f"{n}. {x}" for n, x in enumerate(licences._BSD[1:4], 1)), licences._BSD[4]]).format("the copyright holder", "COPYRIGHT HOLDERS", "COPYRIGHT HOLDER"))
+    texts[103] = ("MIT", dict(licences.KNOWN[-2:])["MIT"].partition("\n")[2])
+    texts[104] = ("All-Rights-Reserved", "All rights reserved.")
+    docs = [(i, t) for i, (_, t) in texts.items()] + [(200, own["GPL-3.0"].replace("free", "costly"))]
+    got = licences.licence_scan(spark.createDataFrame(docs, "doc_id long, text string"), licences.known_licences(spark)).filter("scope = 'text'").collect()
+    assert {r["doc_id"]: r["licence"] for r in got} == {i: name for i, (name, _) in texts.items()}
