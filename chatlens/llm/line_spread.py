@@ -39,7 +39,7 @@ def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Lines are split at newlines and compared without spaces at either end; blank lines
     are never removed. A line that ``sites`` or more distinct sites have stays once, at
     its first place (by id, then text hash, then line number), and goes everywhere
-    else. A null site is a site of its own. Null texts stay null with
+    else. A null site counts as the empty one, as in the SQL. Null texts stay null with
     no lines; an empty text has one, blank. Equal rows are treated alike, so
     if they hold the first place, each keeps it. A document that loses all its lines stays, with
     an empty text. Other columns stay; names that begin with two underscores are reserved.
