@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (context_mixing, decontaminate, licences, line_spread, packing, pii, quality, secret_scan, simhash, topk)
+from . import (content_sort, context_mixing, decontaminate, licences, line_spread, packing, pii, quality, secret_scan, simhash, topk)
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("__score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.exact_groups(table(spark, sf_dir, "documents"), keep="max")
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -102,6 +106,10 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
+EXACT_SQL = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_simhash, op4_secrets, op5_topk, op6_pii,
-                                   op7_packing, op8_licences, op9_line_dedup, op10_quality)}
-ORACLE = {"op5_topk": TOPK_SQL, "op8_licences": _licence_sql(), "op9_line_dedup": LINE_SQL}
+                                   op7_packing, op8_licences, op9_line_dedup, op10_quality, op11_exact_dedup)}
+ORACLE = {"op5_topk": TOPK_SQL, "op8_licences": _licence_sql(), "op9_line_dedup": LINE_SQL, "op11_exact_dedup": EXACT_SQL}
