@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (content_sort, context_mixing, decontaminate, licences, line_spread, packing, pii, quality, secret_scan, simhash, topk)
+from . import (content_sort, context_mixing, decontaminate, licences, line_spread, packing, pii, quality, secret_scan, simhash, token_alignment, topk)
 from .common import table
 
 
@@ -67,6 +67,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_alignment.Alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                        public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return aligned.documents().withColumnRenamed("groups", "groups_sha256")
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -111,5 +117,5 @@ EXACT_SQL = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER sa
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_simhash, op4_secrets, op5_topk, op6_pii,
-                                   op7_packing, op8_licences, op9_line_dedup, op10_quality, op11_exact_dedup)}
+                                   op7_packing, op8_licences, op9_line_dedup, op10_quality, op11_exact_dedup, op12_token_alignment)}
 ORACLE = {"op5_topk": TOPK_SQL, "op8_licences": _licence_sql(), "op9_line_dedup": LINE_SQL, "op11_exact_dedup": EXACT_SQL}
