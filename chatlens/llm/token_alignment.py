@@ -8,7 +8,7 @@ end. Stitched together, these cut the tokens into groups: what is open at a
 piece's edge is closed by the next cut.
 
 Links (pairs of tokens in one group) are counted corpus-wide. Documents are gathered in
-blocks of bounded size. A block sends each distinct pair once, with its number
+blocks. A block sends each distinct pair once, with its number
 of documents, and gets the pair's total back.
 """
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Ends of a piece, pairs expanded at a time, and bytes of text of a block.
-PIECE, LINKS, BYTES = 1 << 16, 1 << 20, 1 << 23
+#: Ends of a piece, pairs expanded at a time, bytes of text tokenized at a time, and bytes of text of a block.
+PIECE, LINKS, BYTES, BLOCK = 1 << 16, 1 << 20, 1 << 20, 1 << 24
 
 
 def _byte_of() -> dict[str, int]:
@@ -186,55 +186,66 @@ _ROWS_DDL = ("block long, doc_id long, n_a long, n_b long, n_groups long, n_link
              "at array<int>, times array<long>, pair array<long>, docs array<long>")
 
 
-def _block(ids: pa.Array, texts: list[str], block: int, a_side, b_side, digest: bool) -> pa.RecordBatch:
-    """One row for each document, and a last one with the block's distinct pairs."""
+def _merged(texts: list[str], a_side, b_side, digest: bool) -> tuple[dict, list[str], np.ndarray, np.ndarray]:
+    """Facts and groups of each text; and documents (by position), pairs and times of all links."""
     a_each, b_each = a_side.encode(texts), b_side.encode(texts)
     good = [k for k, t in enumerate(texts) if t and (raw := b" " + t.encode()) == b"".join(map(a_side.bytes.__getitem__, a_each[k]))
             and raw == b"".join(map(b_side.bytes.__getitem__, b_each[k]))]
-    flat = [np.fromiter((i for k in good for i in each[k]), np.int64) for each in (a_each, b_each)]
-    facts = {c: np.zeros(len(texts), np.int64) for c in _FACTS[1:5]}
+    facts, groups = {c: np.zeros(len(texts), np.int64) for c in _FACTS[1:5]}, [""] * len(texts)
+    if not good:
+        return facts, groups, np.zeros(0, np.int64), np.zeros(0, np.int64)
     facts["n_a"][good], facts["n_b"][good] = [len(a_each[k]) for k in good], [len(b_each[k]) for k in good]
-    groups, starts, at, times = [""] * len(texts), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair = docs = np.zeros(0, np.int64)
-    if good:
-        # a document's end is an end of both, so that documents one after another are one merge
-        cut_a, cut_b = common_ends(np.cumsum(a_side.length[flat[0]]), np.cumsum(b_side.length[flat[1]]))
-        ends = np.searchsorted(cut_a, np.cumsum(facts["n_a"][good])) + 1
-        many = np.diff(ends, prepend=0)
-        doc = np.repeat(np.array(good, np.int64), many)
-        facts["n_groups"][good] = many
-        facts["n_links"][good] = np.add.reduceat(np.diff(cut_a, prepend=0) * np.diff(cut_b, prepend=0), ends - many)
-        for k, text in zip(good, group_texts(*flat, cut_a, cut_b, ends, a_side.names, b_side.names)):
-            groups[k] = hashlib.sha256(text.encode()).hexdigest() if digest else text
-        key, times = link_counts(*flat, cut_a, cut_b, doc, a_side.size, b_side.size)
-        of, key = np.divmod(key, a_side.size * b_side.size)
-        pair, at, docs = np.unique(key, return_inverse=True, return_counts=True)
-        starts = np.searchsorted(of, np.arange(len(texts) + 1))
-    none = np.zeros(len(texts) + 1, np.int64)
+    flat = [np.fromiter((i for k in good for i in each[k]), np.int64) for each in (a_each, b_each)]
+    del a_each, b_each
+    # a document's end is an end of both, so that documents one after another are one merge
+    cut_a, cut_b = common_ends(np.cumsum(a_side.length[flat[0]]), np.cumsum(b_side.length[flat[1]]))
+    ends = np.searchsorted(cut_a, np.cumsum(facts["n_a"][good])) + 1
+    many = np.diff(ends, prepend=0)
+    facts["n_groups"][good] = many
+    facts["n_links"][good] = np.add.reduceat(np.diff(cut_a, prepend=0) * np.diff(cut_b, prepend=0), ends - many)
+    for k, text in zip(good, group_texts(*flat, cut_a, cut_b, ends, a_side.names, b_side.names)):
+        groups[k] = hashlib.sha256(text.encode()).hexdigest() if digest else text
+    doc = np.repeat(np.array(good, np.int64), many)
+    return facts, groups, *link_counts(*flat, cut_a, cut_b, doc, a_side.size, b_side.size)
+
+
+def _block(ids: pa.Array, texts: pa.Array, block: int, a_side, b_side, digest: bool) -> pa.RecordBatch:
+    """One row for each document, and a last one with the block's distinct pairs."""
+    n, span = len(ids), a_side.size * b_side.size
+    parts = []
+    for s, e in _parts(texts, BYTES):
+        facts, groups, key, times = _merged([t or "" for t in texts.slice(s, e - s).to_pylist()], a_side, b_side, digest)
+        parts.append((facts, groups, key // span + s, key % span, times))
+    of, pair, times = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+    pair, at, docs = np.unique(pair, return_inverse=True, return_counts=True)
+    starts, none = np.searchsorted(of, np.arange(n + 1)), np.zeros(n + 1, np.int64)
 
     def lists(values, type_, offsets, of_block):
         offsets = np.r_[offsets, offsets[-1] + (len(values) if of_block else 0)]
-        gone = np.r_[np.full(len(texts), of_block), not of_block]
+        gone = np.r_[np.full(n, of_block), not of_block]
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, type_), mask=pa.array(gone))
 
-    last = {c: pa.array([*v.tolist(), None], pa.int64()) for c, v in facts.items()}
+    facts = [pa.array([*np.concatenate([p[0][c] for p in parts]).tolist(), None], pa.int64()) for c in _FACTS[1:5]]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(texts) + 1, block)), pa.concat_arrays([ids, pa.nulls(1, pa.int64())]), *last.values(), pa.array([*groups, None], pa.string()),
-         lists(at, pa.int32(), starts, False), lists(times, pa.int64(), starts, False), lists(pair, pa.int64(), none, True),
-         lists(docs, pa.int64(), none, True)], schema=_ROWS)
+        [pa.array(np.full(n + 1, block)), pa.concat_arrays([ids, pa.nulls(1, pa.int64())]), *facts,
+         pa.array([*(g for p in parts for g in p[1]), None], pa.string()), lists(at, pa.int32(), starts, False), lists(times, pa.int64(), starts, False),
+         lists(pair, pa.int64(), none, True), lists(docs, pa.int64(), none, True)], schema=_ROWS)
+
+
+def _parts(texts: pa.Array, size: int) -> list[tuple[int, int]]:
+    """Runs of rows that hold about ``size`` bytes of text, or one longer text."""
+    end = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), np.int64)) // size
+    edges = np.r_[0, np.flatnonzero(np.diff(end)) + 1, len(texts)]
+    return [(s, e) for s, e in zip(edges.tolist(), edges[1:].tolist()) if s < e]
 
 
 def _align(paths: tuple, digest: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides, block = tokenizers_of(*paths), TaskContext.get().partitionId() << 32
         for batch in batches:
-            end = np.cumsum(np.asarray(pc.binary_length(batch.column(1)).fill_null(0), np.int64)) // BYTES
-            edges = np.r_[0, np.flatnonzero(np.diff(end)) + 1, batch.num_rows]
-            for s, e in zip(edges, edges[1:]):
-                if s < e:
-                    rows = batch.slice(s, e - s)
-                    yield _block(rows.column(0), [t or "" for t in rows.column(1).to_pylist()], block, *sides, digest)
-                    block += 1
+            for s, e in _parts(batch.column(1), BLOCK):
+                yield _block(batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s), block, *sides, digest)
+                block += 1
     return run
 
 
@@ -267,9 +278,8 @@ class Alignment:
 
     ``digest``: ``groups`` holds the SHA-256 of the groups' text instead of the text itself.
 
-    Texts are read and tokenized once, and stored as ids of pairs. A block holds
-    ``BYTES`` of text or one longer document, so memory follows the longest
-    document. A pair crosses the network once for each block that has it, however many documents do.
+    Texts are read and tokenized once, ``BYTES`` of text or one longer document at a time, and stored as ids of
+    pairs. A block holds the pairs of ``BLOCK`` bytes of text or of one longer document. A pair crosses the network once for each block that has it, however many documents do.
     """
 
     def __init__(self, docs: DataFrame, byte_path: str, pattern: str, piece_path: str, id_col: str = "doc_id",

@@ -5,6 +5,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -115,14 +116,14 @@ def test_small_pieces_blocks_and_link_steps_change_nothing(spark, brute, monkeyp
     for small in (False, True):
         sides, out = token_alignment.tokenizers_of(*FILES), []
         if small:
-            monkeypatch.setattr(token_alignment, "LINKS", 2)
+            monkeypatch.setattr(token_alignment, "BYTES", 100)
             for name, n in (("common_ends", 3), ("link_counts", 2)):
                 old = getattr(token_alignment, name)
                 monkeypatch.setattr(token_alignment, name, lambda *a, f=old, n=n: f(*a, n))
-        import pyarrow as pa
         for k in range(0, len(rows), 9 if small else 1000):
             part = rows[k:k + (9 if small else 1000)]
-            block = token_alignment._block(pa.array([i for i, _ in part], pa.int64()), [t for _, t in part], k, *sides, True).to_pylist()
+            ids, texts = pa.array([i for i, _ in part], pa.int64()), pa.array([t for _, t in part])
+            block = token_alignment._block(ids, texts, k, *sides, True).to_pylist()
             pairs = block[-1]["pair"]
             out += [(r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups"],
                      sorted((pairs[i], n) for i, n in zip(r["at"], r["times"]))) for r in block[:-1]]
