@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (content_sort, context_mixing, decontaminate, licences, line_spread, packing, pii, quality, secret_scan, simhash, token_alignment, topk)
+from . import (content_sort, context_mixing, decontaminate, hard_negatives, licences, line_spread, packing, pii, quality, secret_scan, simhash, token_alignment, topk)
 from .common import table
 
 
@@ -73,6 +73,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.documents().withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -116,6 +121,19 @@ EXACT_SQL = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER sa
   row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
+NEGATIVES_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.e, c.e)]) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+neg AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM pos p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10"""
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_simhash, op4_secrets, op5_topk, op6_pii,
-                                   op7_packing, op8_licences, op9_line_dedup, op10_quality, op11_exact_dedup, op12_token_alignment)}
-ORACLE = {"op5_topk": TOPK_SQL, "op8_licences": _licence_sql(), "op9_line_dedup": LINE_SQL, "op11_exact_dedup": EXACT_SQL}
+                                   op7_packing, op8_licences, op9_line_dedup, op10_quality, op11_exact_dedup, op12_token_alignment,
+                                   op13_hard_negatives)}
+ORACLE = {"op5_topk": TOPK_SQL, "op8_licences": _licence_sql(), "op9_line_dedup": LINE_SQL, "op11_exact_dedup": EXACT_SQL, "op13_hard_negatives": NEGATIVES_SQL}
