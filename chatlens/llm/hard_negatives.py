@@ -7,7 +7,7 @@ vector of the block. Blocks whose bounds miss all windows of scores that the anc
 for aren't read for it.
 
 An anchor first asks for its positives, then for the rows in the windows that the
-positives' scores set. Each time, it reads the most promising block first; the scores
+positives' scores set. Each time, it reads the most promising blocks first; the scores
 found there narrow the windows for the rest.
 """
 
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Vectors of a block, zones or anchors that meet at a time, and bits of a dimension on the curve.
-ROWS, MEET, BITS = 512, 256, 3
+#: Vectors of a block, zones or anchors that meet at a time, bits of a dimension on the curve, blocks that are
+#: tried first for each window, and rows that a task gathers before it merges them.
+ROWS, MEET, BITS, TRIED, GATHERED = 512, 256, 3, 4, 1 << 18
 _LOW, _HIGH = -(1 << 62), 1 << 62
 _NONE = np.iinfo(np.int64).min
 
@@ -208,8 +209,9 @@ def _choose(same: bool, first: bool):
                     top = ask["high"][:, :, None].astype(float)
                     gain = np.where(top >= _HIGH, most[:, None], -np.abs((least + most)[:, None] / 2 - top))
                     gain = np.where(meets, gain, -np.inf)
-                    row, window = np.nonzero(meets.any(2)) if len(block) else (np.zeros(0, int),) * 2
-                    col = gain.argmax(2)[row, window] if len(row) else row
+                    order = np.argsort(-gain, axis=2, kind="stable")[:, :, :TRIED]
+                    row, window, nth = np.nonzero(np.take_along_axis(meets, order, 2))
+                    col = order[row, window, nth]
                     gain = gain[row, window, col]
                 else:
                     row, col = np.nonzero(meets.any(1))
@@ -224,8 +226,9 @@ _FOUND = pa.schema([("key", pa.int64()), ("window", pa.int32()), ("id", pa.int64
 
 
 def _read(same: bool, k: int):
-    """The best rows of a block in each window of the anchors that need it."""
+    """The best rows of a task's blocks in each window of the anchors that need them."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             for r in range(batch.num_rows):
                 width = batch.column("dim")[r].as_py()
@@ -234,10 +237,26 @@ def _read(same: bool, k: int):
                 match = labels == ask["label"][:, None]
                 allowed = match & (ids != ask["id"][:, None]) if same else ~match
                 row, window, col, score = best_in_windows(scores(ask["v"], data.reshape(len(ids), width)), allowed, ask["low"], ask["high"], k)
-                yield pa.RecordBatch.from_arrays([pa.array(ask["key"][row]), pa.array(window.astype(np.int32)), pa.array(ids[col]), pa.array(score)], schema=_FOUND)
+                held.append((ask["key"][row], window.astype(np.int32), ids[col], score))
+                if sum(len(h[0]) for h in held) > GATHERED:
+                    held = [best_of(held, k)]
+                    if len(held[0][0]) > GATHERED // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], schema=_FOUND)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best_of(held, k)], schema=_FOUND)
     return run
 
 
+def best_of(found: list[tuple], k: int) -> tuple:
+    """The ``k`` best of each key and window among rows of several blocks."""
+    key, window, ids, score = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((ids, _descending(score), window, key))
+    key, window, ids, score = (c[order] for c in (key, window, ids, score))
+    first = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(window) != 0)]) if len(key) else np.zeros(0, int)
+    keep = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)])) < k
+    return key[keep], window[keep], ids[keep], score[keep]
+
+
 class Blocks:
     """Stored blocks, and the search of windows of scores in them."""
 
@@ -257,8 +276,8 @@ class Blocks:
         pairs = (packed.join(self.zones, ["dim", "chunk"]).select("dim", "asks", "zones")
                  .mapInArrow(_choose(same, first), _NEED))
         if first:
-            best = pairs.groupBy("key", "window").agg(F.max_by(F.struct("block", "ask"), F.struct("gain", -F.col("block"))).alias("b"))
-            pairs = best.select("b.block", "key", "b.ask").dropDuplicates(["block", "key"])
+            order = Window.partitionBy("key", "window").orderBy(F.desc("gain"), "block")
+            pairs = pairs.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= TRIED).dropDuplicates(["block", "key"])
         return pairs.select("block", "key", "ask")
 
     def found(self, asks: DataFrame, packs: int, same: bool, k: int, first: bool) -> DataFrame:

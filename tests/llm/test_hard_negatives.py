@@ -81,7 +81,7 @@ def test_few_blocks_are_read(spark):
     asks = (table.filter("id % 100 = 0").withColumn("key", F.col("id"))
             .withColumn("low", F.array(F.lit(hn._LOW))).withColumn("high", F.array(F.lit(hn._HIGH))))
     n = blocks.table.count()
-    assert blocks.needs(asks, 1, True, True).count() == 16
+    assert blocks.needs(asks, 1, True, True).count() == 16 * hn.TRIED
     assert blocks.needs(asks, 1, True, False).count() <= 16 * n / 6
     top = asks.withColumn("low", F.array(F.lit(50_000)))
     assert blocks.needs(top, 1, False, False).count() < 16 * n / 10
