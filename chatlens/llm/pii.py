@@ -219,6 +219,11 @@ def _joined(kind, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda c: F.concat(kind(c), F.lit(":"), c["start"], F.lit(":"), c["stop"])), ",")
 
 
+def _count(spans: str, gen: int) -> Column:
+    """How many of the spans are of one generator. (PySpark hands a lambda's second parameter the position, so ``gen`` must not be one.)"""
+    return F.size(F.filter(spans, lambda c: c["gen"] == gen)).cast("long")
+
+
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base, spans``, a row for each of ``docs``.
 
@@ -243,5 +248,5 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = found.withColumn("extra", F.when(F.size("spans") > 0, extra).otherwise(F.filter("spans", lambda c: F.lit(False))))
     base = _joined(lambda c: F.element_at(base_kinds, c["gen"] + 1), F.col("base"))
     more = _joined(lambda c: F.element_at(kinds, c["gen"] + 1), F.col("extra"))
-    counts = [F.size(F.filter("base", lambda c, g=g: c["gen"] == g)).cast("long").alias(f"n_{k}") for g, (k, _, _) in enumerate(GENERATORS[:BASE])]
+    counts = [_count("base", g).alias(f"n_{k}") for g, (k, _, _) in enumerate(GENERATORS[:BASE])]
     return rows.select("doc_id", *counts, base.alias("base"), F.concat_ws(",", F.nullif(base, F.lit("")), F.nullif(more, F.lit(""))).alias("spans"))
