@@ -24,7 +24,7 @@ from chatlens.operators import integrity  # noqa: E402
 from chatlens.session import ensure_checkpoint_dir  # noqa: E402
 from chatlens.streaming import replay  # noqa: E402
 from chatlens.sources.fixtures import (FIXTURE_AS_OF, from_testdata,  # noqa: E402
-                                       message_events, with_planted_faults)
+                                       message_events, stored_testdata, with_planted_faults)
 import oracle  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -75,6 +75,8 @@ CASES = {
         "filters": {"search": "machinery", "date_from": dt.date(2024, 1, 12)},
         "limit": 100, "offset": 7},
     "users_deep": {"limit": 200, "offset": 1400},
+    "conversations_deep": {"limit": 200, "offset": 3700},
+    "messages_deep": {"limit": 500, "offset": 9300},
     "drill": {"user_id": 7, "conversation_id": 709},
 }
 
@@ -101,6 +103,15 @@ def _view(view: Callable[..., DataFrame], report: Callable[..., DataFrame],
     return run
 
 
+def _stored(fn: Callable[..., DataFrame], **params):
+    """The report over the same tables in the stored layout: partitioned and clustered
+    files, summaries by load, and key orders (S1-S3, L1-L3)."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(stored_testdata(spark, sf_dir), **params)
+    run.__name__ = fn.__name__
+    return run
+
+
 def _stream(job: Callable[..., DataFrame], **params):
     """A streaming job over the given ``events``, read as a stream. Jobs that
     answer a report also get the tables, for the windows still open."""
@@ -128,7 +139,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     cs = CASES["conversation_search"]
     us = CASES["users_search"]["search"]
     llm = {} if llm_queries is None else {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run}
+    drill = CASES["drill"]
     return llm | {
+        "stored_kpi_stats": _stored(kpis.kpi_stats, as_of=AS_OF),
+        "stored_table_health": _stored(kpis.table_health, as_of=AS_OF),
+        "stored_users_page": _stored(users.users_list),
+        "stored_users_page_deep": _stored(users.users_list, **CASES["users_deep"]),
+        "stored_users_page_search": _stored(users.users_list, search=us),
+        "stored_user_by_id": _stored(users.user_detail, user_id=drill["user_id"]),
+        "stored_user_conversations_by_id": _stored(users.user_conversations, user_id=drill["user_id"]),
+        "stored_conversations_page": _stored(conversations.conversations_list),
+        "stored_conversations_page_deep": _stored(conversations.conversations_list, **CASES["conversations_deep"]),
+        "stored_conversations_page_filtered": _stored(
+            conversations.conversations_list, limit=cf["limit"], offset=cf["offset"], **cf["filters"]),
+        "stored_conversations_page_of_user": _stored(conversations.conversations_list, user_id=drill["user_id"]),
+        "stored_conversation_detail": _stored(conversations.conversation_detail),
+        "stored_messages_page": _stored(messages.messages_list),
+        "stored_messages_page_deep": _stored(messages.messages_list, **CASES["messages_deep"]),
+        "stored_messages_page_filtered": _stored(
+            messages.messages_list, limit=mf["limit"], offset=mf["offset"], **mf["filters"]),
+        "stored_errors_page": _stored(messages.errors_list),
         "activity_hourly": _q(activity.activity_hourly, True, as_of=AS_OF),
         "activity_daily": _q(activity.activity_daily, True, as_of=AS_OF),
         "kpi_stats": _q(kpis.kpi_stats, as_of=AS_OF),
@@ -143,6 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "user_conversations": _q(users.user_conversations, paged=False),
         "user_conversations_page": _q(users.user_conversations),
         "conversations_page": _q(conversations.conversations_list),
+        "conversations_page_deep": _q(conversations.conversations_list, **CASES["conversations_deep"]),
         "conversations_total": _q(conversations.conversations_total),
         "conversations_page_filtered": _q(
             conversations.conversations_list, limit=cf["limit"], offset=cf["offset"],
@@ -176,6 +207,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "conversation_match_counts": _q(conversations.conversation_match_counts,
                                         query=cs["query"], role=cs["role"]),
         "messages_page": _q(messages.messages_list),
+        "messages_page_deep": _q(messages.messages_list, **CASES["messages_deep"]),
         "messages_total": _q(messages.messages_total),
         "messages_page_filtered": _q(messages.messages_list, limit=mf["limit"],
                                      offset=mf["offset"], **mf["filters"]),

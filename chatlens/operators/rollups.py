@@ -43,6 +43,28 @@ DETAIL_COLUMNS = ("total_messages", "user_messages", "assistant_messages",
 SHARED_COLUMNS = DETAIL_COLUMNS + ("last_error_at",)
 
 
+#: How the partial states of a conversation are merged.
+ROLLUP_MERGE = {"total_messages": "sum", "user_messages": "sum", "assistant_messages": "sum", "error_count": "sum",
+                "latency_sum": "sum", "latency_count": "sum", "first_message_at": "min", "last_message_at": "max",
+                "last_error_at": "max"}
+
+
+def rollup_states(messages: DataFrame) -> DataFrame:
+    """A10 as partial states that can be merged: the mean is kept as sum and count."""
+    latency = F.when(assistant_latency_sample(), F.col("response_time_ms"))
+    return (messages.filter(F.col("conversation_id").isNotNull())
+            .groupBy("conversation_id")
+            .agg(*[_agg(c) for c in ("total_messages", "user_messages", "assistant_messages", "error_count")],
+                 F.sum(latency.cast("long")).alias("latency_sum"), F.count(latency).alias("latency_count"),
+                 *[_agg(c) for c in ("first_message_at", "last_message_at", "last_error_at")]))
+
+
+def finish_rollup(states: DataFrame) -> DataFrame:
+    """The states with the rounded mean latency of the kept sum and count."""
+    mean = F.round(F.col("latency_sum") / F.col("latency_count"), 0).cast("long")
+    return states.withColumn("avg_assistant_response_time_ms", F.when(F.col("latency_count") > 0, mean))
+
+
 def conversation_rollup(messages: DataFrame,
                         columns: tuple[str, ...] = LIST_COLUMNS) -> DataFrame:
     """A10: one row per non-NULL ``conversation_id`` with the asked columns."""
@@ -121,6 +143,11 @@ def with_user_rollup(users: DataFrame, conversations: DataFrame,
     roll = user_rollup(conversations, messages, per_conversation)
     if page:
         roll = F.broadcast(roll)
+    return join_user_rollup(users, roll)
+
+
+def join_user_rollup(users: DataFrame, roll: DataFrame) -> DataFrame:
+    """users.* plus the counts in ``roll``, zero for users without a row there."""
     return (users.join(roll, users["id"] == roll["user_id"], "left")
             .select(users["*"],
                     *[F.coalesce(roll[c], F.lit(0)).cast("long").alias(c)

@@ -93,6 +93,12 @@ def conversations_list(tables: ChatTables, user_id: int | None = None,
     """
     n = check_page(limit, offset, CONVERSATIONS_PAGE)
     order = newest_first("last_message_at")
+    if search or date_from or date_to or has_error is not None:
+        ranked = None
+    else:  # the slice of the stored order that holds the page
+        ranked = (tables.orders or {}).get("conversations_order" if user_id is None else "user_conversations_order")
+    if ranked is not None:
+        return order_bounded(_page_rows(tables, ranked.page(n, offset, prefix=user_id)), order, n)
     cand = _filtered_conversations(tables, user_id, search, date_from, date_to)
     if has_error is not None:
         cand = _by_errors(tables, cand, has_error)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.functions.coercion import to_int
-from chatlens.functions.predicates import assistant_latency_sample, since
+from chatlens.functions.predicates import assistant_latency_sample, between_times, since
 from chatlens.functions.timefns import DAY, HOUR, ntz, resolve_as_of, truncate_day
 from chatlens.sources.tables import ChatTables
 
@@ -43,7 +43,20 @@ def _count_if(condition: Column, name: str) -> Column:
 
 
 def latency_histogram(tables: ChatTables, since_ts: dt.datetime) -> DataFrame:
-    """``response_time_ms, weight`` over the assistant latency sample."""
+    """``response_time_ms, weight`` over the assistant latency sample.
+
+    From the stored histograms of whole hours, where the tables carry them, and the part of the
+    first hour from messages; else from messages alone."""
+    if tables.latency_hours is not None:
+        hour = since_ts.replace(minute=0, second=0, microsecond=0)
+        whole = hour if hour == since_ts else hour + HOUR
+        stored = tables.latency_hours.filter(since("hour", whole, date_partition=True))
+        part = tables.messages.filter(between_times("timestamp", since_ts, whole, date_partition=tables.messages_date_partitioned)
+                                      & assistant_latency_sample()) if whole > since_ts else None
+        rows = stored.select("response_time_ms", "weight")
+        if part is not None:
+            rows = rows.unionByName(part.select("response_time_ms", F.lit(1).cast("long").alias("weight")))
+        return rows.groupBy("response_time_ms").agg(F.sum("weight").alias("weight"))
     sample = _since(tables, since_ts).filter(assistant_latency_sample())
     return sample.groupBy("response_time_ms").agg(F.count(F.lit(1)).alias("weight"))
 
@@ -65,6 +78,17 @@ def _all_errors(tables: ChatTables) -> DataFrame:
     return _rows(tables.messages.filter(F.col("error").isNotNull()), "errors")
 
 
+def _active_users(tables: ChatTables, today: dt.datetime) -> DataFrame:
+    """A3: users with a conversation active since midnight, from the days' bitmaps where the tables carry them."""
+    if tables.active_days is not None:
+        merged = (tables.active_days.filter(F.col("day") >= F.lit(today.date()))
+                  .groupBy("bucket").agg(F.bitmap_count(F.bitmap_or_agg("users")).alias("n")))
+        return merged.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("active_users_today"))
+    return _rows(tables.conversations.filter((F.col("last_message_at") >= ntz(today))
+                                             & F.col("user_id").isNotNull())
+                 .select("user_id").distinct(), "active_users_today")
+
+
 def kpi_stats(tables: ChatTables, as_of: dt.datetime | None = None) -> DataFrame:
     """One row of twelve KPIs plus ``generated_at`` (= as_of)."""
     now = resolve_as_of(as_of)
@@ -81,9 +105,7 @@ def kpi_stats(tables: ChatTables, as_of: dt.datetime | None = None) -> DataFrame
             F.count(F.lit(1)).alias("messages_24h"),
             _count_if(F.col("error").isNotNull(), "errors_24h"),
             _count_if(F.col("role") == "assistant", "assistant_messages_24h")),
-        _rows(tables.conversations.filter((F.col("last_message_at") >= ntz(today))
-                                          & F.col("user_id").isNotNull())
-              .select("user_id").distinct(), "active_users_today"),
+        _active_users(tables, today),
         latency_histogram(tables, now - 7 * DAY).agg(
             F.round(F.sum(lat.cast("long") * weight) / F.sum(weight), 0).cast("long").alias("_mean"),
             F.percentile(lat, F.lit(0.5), weight).alias("_p50"),

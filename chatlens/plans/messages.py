@@ -115,6 +115,11 @@ def messages_list(tables: ChatTables, conversation_id: int | None = None,
     """
     n = check_page(limit, offset, bounds)
     order = newest_first("timestamp")
+    plain = conversation_id is None and not role and has_error is None and not search and date_from is None and date_to is None
+    ranked = (tables.orders or {}).get("messages_order") if plain else None
+    if ranked is not None:  # the slice of the stored order that holds the page
+        keys = ranked.page(n, offset)
+        return order_bounded(_with_users(tables, _page_rows(tables, keys), keys), order, n)
     filtered = _filtered(tables, conversation_id, role, has_error, search, date_from, date_to)
     if conversation_id is not None:  # the conversation's own row groups bound the scan
         keys = collect_page_keys(filtered, order, n, offset, KEY_COLUMNS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chatlens.functions.coercion import zero_if_null
 from chatlens.functions.predicates import all_of, ilike_any, key_equals
@@ -11,7 +12,7 @@ from chatlens.operators.lookup import (collect_page_keys, key_in,
 from chatlens.operators.paging import (USER_CONVERSATIONS_PAGE, USERS_PAGE,
                                        check_page, newest_first, order_bounded,
                                        total)
-from chatlens.operators.rollups import rollup_of, with_user_rollup
+from chatlens.operators.rollups import join_user_rollup, rollup_of, with_user_rollup
 from chatlens.schema import CONVERSATION_COLUMNS, USER_COLUMNS
 from chatlens.sources.tables import ChatTables
 
@@ -33,10 +34,16 @@ def users_list(tables: ChatTables, search: str | None = None,
     """
     n = check_page(limit, offset, USERS_PAGE)
     order = newest_first("last_active")
-    keys = collect_page_keys(_searched_users(tables, search), order, n, offset,
-                             ["id", "last_active"])
+    ranked = None if search else (tables.orders or {}).get("users_order")
+    if ranked is not None:  # the slice of the stored order that holds the page
+        keys = ranked.page(n, offset)
+    else:
+        keys = collect_page_keys(_searched_users(tables, search), order, n, offset,
+                                 ["id", "last_active"])
     ids = [k.id for k in keys]
     pg = tables.users.filter(key_in("id", ids))
+    if tables.user_states is not None:
+        return order_bounded(join_user_rollup(pg, F.broadcast(tables.user_states.of(ids))), order, n)
     convs = tables.conversations.filter(key_in("user_id", ids))
     return order_bounded(_with_rollup(tables, pg, convs), order, n)
 
@@ -62,7 +69,9 @@ def user_detail(tables: ChatTables, user_id: int | None = None) -> DataFrame:
     """Users.* + rollup for one user (empty = not found), or for all."""
     users = tables.users.filter(all_of(key_equals("id", user_id)))
     convs = tables.conversations.filter(all_of(key_equals("user_id", user_id)))
-    if user_id is not None:
+    if user_id is not None and tables.user_states is not None:
+        rolled = join_user_rollup(users, F.broadcast(tables.user_states.of([user_id])))
+    elif user_id is not None:
         rolled = _with_rollup(tables, users, convs)
     elif tables.conversation_rollup is not None:
         rolled = with_user_rollup(users, convs, tables.messages, per_conversation=rollup_of(
@@ -88,8 +97,12 @@ def user_conversations(tables: ChatTables, user_id: int | None = None,
     if paged:
         n = check_page(limit, offset, USER_CONVERSATIONS_PAGE)
         order = newest_first("last_message_at")
-        ids = [k.id for k in collect_page_keys(convs, order, n, offset,
-                                               ["id", "last_message_at"])]
+        ranked = (tables.orders or {}).get("conversations_order" if user_id is None else "user_conversations_order")
+        if ranked is not None:
+            ids = [k.id for k in ranked.page(n, offset, prefix=user_id)]
+        else:
+            ids = [k.id for k in collect_page_keys(convs, order, n, offset,
+                                                   ["id", "last_message_at"])]
         convs = tables.conversations.filter(key_in("id", ids))
     else:
         order = None

@@ -12,6 +12,8 @@ texts, active users without a last time).
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,6 +116,28 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> ChatTables:
     )
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_testdata(spark: SparkSession, sf_dir: str) -> ChatTables:
+    """The tables of ``from_testdata`` read from the stored layout, with summaries in three states: most messages
+    came with the first load, some with an appended one, and some files are in no load yet.
+
+    Written once for a session, below its shared checkpoint folder."""
+    from chatlens.session import ensure_checkpoint_dir
+    from chatlens.sources.tables import _write_messages, append_messages, load_tables, write_tables
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        root = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+        tables = from_testdata(spark, sf_dir)
+        wave = F.col("id") % 10
+        write_tables(replace(tables, messages=tables.messages.filter(wave < 6)), root, slice_rows=500)
+        append_messages(spark, root, tables.messages.filter(wave.between(6, 8)))
+        _write_messages(tables.messages.filter(wave == 9), root, "append", 5_000_000, None)
+        _STORED[key] = root
+    return load_tables(spark, _STORED[key])
+
+
 def with_planted_faults(tables: ChatTables) -> ChatTables:
     """The tables with faults planted by id: required values missing, keys
     shared or repeated, foreign keys that point nowhere, messages twice."""

@@ -1,13 +1,12 @@
 """Reading and storing users, conversations and messages.
 
-Stored layout (``write_tables``): conversations are clustered by id; messages are partitioned by the calendar day
+Stored layout (``write_tables``): users and conversations are clustered by id; messages are partitioned by the calendar day
 of ``timestamp`` (column ``msg_date``) and range-clustered by
 (``conversation_id``, ``timestamp``) inside each day, so time-window reports
 prune whole folders and per-conversation lookups read row groups whose
-min/max statistics are narrow. Two summaries lie beside them
-(``write_summaries``): the per-conversation rollup, clustered by
-conversation, which lists read instead of messages, and the counts of each
-day, which totals and newest-first pages read.
+min/max statistics are narrow. Beside them lie summaries (``sources.summaries``): the
+per-conversation rollup, counts of each day, latency histograms of each hour, bitmaps of active users, per-user
+counts, and the keys in the order of each list. They are kept as partial states by load, and follow the tables.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlens import schema as S
+from chatlens.sources.summaries import UserStates, count_days, read_summaries, refresh_summaries  # noqa: F401
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,9 @@ class ChatTables:
 
     ``message_days`` optionally holds one row for each ``msg_date`` (NULL for
     messages without a time): ``messages``, ``errors``, ``last_timestamp``.
+
+    ``latency_hours`` (A8), ``active_days`` (A3), ``user_states`` (A9) and ``orders`` (L1-L3) are the
+    other stored summaries; reports that find one read it instead of the tables.
     """
 
     users: DataFrame
@@ -45,6 +48,10 @@ class ChatTables:
     messages_date_partitioned: bool = False
     conversation_rollup: DataFrame | None = None
     message_days: DataFrame | None = None
+    latency_hours: DataFrame | None = None
+    active_days: DataFrame | None = None
+    user_states: UserStates | None = None
+    orders: dict | None = None
 
 
 def _with_partition_column(schema: T.StructType) -> T.StructType:
@@ -74,56 +81,40 @@ def read_jdbc_table(spark: SparkSession, url: str, table: str,
                       for f in schema.fields])
 
 
+def _stored(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    return {"users": read_table(spark, f"{root}/users", S.USERS),
+            "conversations": read_table(spark, f"{root}/conversations", S.CONVERSATIONS),
+            "messages": read_table(spark, f"{root}/messages", _with_partition_column(S.MESSAGES))}
+
+
 def load_tables(spark: SparkSession, root: str, summaries: bool | None = None) -> ChatTables:
     """Read the layout produced by ``write_tables`` under ``root``.
 
-    The summaries are used where they exist. ``summaries=False`` leaves them
-    aside: for folders whose messages were changed without a new
-    ``write_summaries``.
+    Summaries are used where they exist, and answers follow the tables: files that no
+    load covers are summarised on the spot, and summaries of files that are gone are left aside.
+    ``summaries=True`` raises in both cases; ``summaries=False`` reads the tables alone.
     """
-    found = {name: summaries is not False and _exists(spark, f"{root}/{name}") for name in SUMMARIES}
-    if summaries and not all(found.values()):
-        raise ValueError(f"no summaries under {root}: run write_summaries")
-    return ChatTables(
-        users=read_table(spark, f"{root}/users", S.USERS),
-        conversations=read_table(spark, f"{root}/conversations",
-                                 S.CONVERSATIONS),
-        messages=read_table(spark, f"{root}/messages",
-                            _with_partition_column(S.MESSAGES)),
-        messages_date_partitioned=True,
-        **{name: spark.read.parquet(f"{root}/{name}") for name, there in found.items() if there},
-    )
-
+    tables = _stored(spark, root)
+    found = {} if summaries is False else read_summaries(spark, root, tables, required=summaries is True)
+    return ChatTables(**tables, messages_date_partitioned=True, **found)
 
-SUMMARIES = ("conversation_rollup", "message_days")
 
+def refresh(spark: SparkSession, root: str, compact: bool = False, slice_rows: int | None = None) -> int:
+    """Bring the summaries under ``root`` up to date with the tables' files; returns the version's number.
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    Reads only files that are not covered yet. ``compact`` also folds the loads into one."""
+    return refresh_summaries(spark, root, _stored(spark, root), compact, slice_rows).number
 
 
-def count_days(messages: DataFrame) -> DataFrame:
-    """``messages, errors, last_timestamp`` of each ``msg_date``."""
-    day = F.to_date("timestamp").alias(S.MESSAGE_DATE_PARTITION)
-    return messages.groupBy(day).agg(
-        F.count(F.lit(1)).alias("messages"),
-        F.count_if(F.col("error").isNotNull()).alias("errors"),
-        F.max("timestamp").alias("last_timestamp"))
-
-
-def write_summaries(messages: DataFrame, root: str, mode: str = "overwrite") -> None:
-    """Store the per-conversation rollup, clustered by conversation, and the
-    counts of each day. Both must be written anew when messages change."""
-    from chatlens.operators.rollups import SHARED_COLUMNS, conversation_rollup
-    (conversation_rollup(messages, SHARED_COLUMNS)
-        .repartitionByRange("conversation_id").sortWithinPartitions("conversation_id")
-        .write.mode(mode).parquet(f"{root}/conversation_rollup"))
-    count_days(messages).write.mode(mode).parquet(f"{root}/message_days")
+def append_messages(spark: SparkSession, root: str, messages: DataFrame, rows_per_file: int = 5_000_000) -> int:
+    """Add messages to a stored table, laid out as ``write_tables`` does, and their states to the summaries."""
+    _write_messages(messages, root, "append", rows_per_file, None)
+    return refresh(spark, root)
 
 
 def write_tables(tables: ChatTables, root: str, mode: str = "overwrite",
-                 rows_per_file: int = 5_000_000, num_files: int | None = None) -> None:
+                 rows_per_file: int = 5_000_000, num_files: int | None = None,
+                 slice_rows: int | None = None) -> None:
     """Store the three tables and the summaries as parquet under ``root``.
 
     Messages are range-partitioned on (day, conversation_id, timestamp) into
@@ -134,11 +125,15 @@ def write_tables(tables: ChatTables, root: str, mode: str = "overwrite",
     file still holds contiguous conversations, so row-group statistics on
     ``conversation_id`` and ``timestamp`` prune lookups.
     """
-    tables.users.select(S.USER_COLUMNS).write.mode(mode).parquet(f"{root}/users")
-    (tables.conversations.select(S.CONVERSATION_COLUMNS)
-        .repartitionByRange("id").sortWithinPartitions("id").write.mode(mode)
-        .parquet(f"{root}/conversations"))
-    msgs = (tables.messages.select(S.MESSAGE_COLUMNS)
+    for name, columns in (("users", S.USER_COLUMNS), ("conversations", S.CONVERSATION_COLUMNS)):
+        (getattr(tables, name).select(columns).repartitionByRange("id").sortWithinPartitions("id")
+            .write.mode(mode).parquet(f"{root}/{name}"))
+    _write_messages(tables.messages, root, mode, rows_per_file, num_files)
+    refresh(tables.messages.sparkSession, root, slice_rows=slice_rows)
+
+
+def _write_messages(messages: DataFrame, root: str, mode: str, rows_per_file: int, num_files: int | None) -> None:
+    msgs = (messages.select(S.MESSAGE_COLUMNS)
             .withColumn(S.MESSAGE_DATE_PARTITION, F.to_date("timestamp")))
     if num_files is None:
         num_files = max(1, -(-msgs.count() // rows_per_file))
@@ -147,5 +142,3 @@ def write_tables(tables: ChatTables, root: str, mode: str = "overwrite",
         .sortWithinPartitions(*order)
         .write.mode(mode).partitionBy(S.MESSAGE_DATE_PARTITION)
         .parquet(f"{root}/messages"))
-    write_summaries(read_table(tables.messages.sparkSession, f"{root}/messages",
-                               _with_partition_column(S.MESSAGES)), root, mode)

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chatlens import schema as S
-from chatlens.functions.predicates import assistant_latency_sample
 from chatlens.functions.timefns import instant_to_ntz, ntz_to_instant
+from chatlens.operators.rollups import rollup_states
 from chatlens.session import checkpoint_root
 
 EVENT_TIME = "event_time"
@@ -80,19 +80,7 @@ def tool_buckets(messages: DataFrame, width: str = "1 hour",
 
 def rollup_upserts(messages: DataFrame) -> DataFrame:
     """Running per-conversation totals (emit in update mode)."""
-    latency = F.when(assistant_latency_sample(), F.col("response_time_ms"))
-    return (messages.filter(F.col("conversation_id").isNotNull())
-            .groupBy("conversation_id")
-            .agg(F.count(F.lit(1)).alias("total_messages"),
-                 F.count_if(F.col("role") == "user").alias("user_messages"),
-                 F.count_if(F.col("role") == "assistant").alias("assistant_messages"),
-                 F.count_if(F.col("error").isNotNull()).alias("error_count"),
-                 F.sum(latency.cast("long")).alias("latency_sum"),
-                 F.count(latency).alias("latency_count"),
-                 F.min("timestamp").alias("first_message_at"),
-                 F.max("timestamp").alias("last_message_at"),
-                 F.max(F.when(F.col("error").isNotNull(), F.col("timestamp")))
-                 .alias("last_error_at")))
+    return rollup_states(messages)
 
 
 def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None) -> str:

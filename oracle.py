@@ -367,8 +367,19 @@ FROM m_ JOIN range(1, 1 + (SELECT max(len(tools_used)) FROM m_)) p(i) ON p.i <=
     }
 
 
+#: Reports that are also registered over the stored layout, whose answers are those of the tables.
+STORED = ("kpi_stats", "table_health", "users_page", "users_page_deep", "users_page_search", "user_by_id", "user_conversations_by_id",
+          "conversations_page", "conversations_page_deep", "conversations_page_filtered", "conversations_page_of_user", "conversation_detail",
+          "messages_page", "messages_page_deep", "messages_page_filtered", "errors_page")
+
+
 def oracle_sql(cases: dict) -> dict[str, str]:
     """Oracle text per registered query; ``cases`` holds the shared parameters."""
+    texts = _oracle_sql(cases)
+    return texts | {f"stored_{name}": texts[name] for name in STORED}
+
+
+def _oracle_sql(cases: dict) -> dict[str, str]:
     searched = cases["users_search"]["search"]
     listed, clean, found = (cases[k] for k in ("conversations_filtered", "conversations_no_errors", "conversations_search"))
     texts, failed = cases["messages_filtered"], cases["errors_filtered"]
@@ -397,6 +408,7 @@ def oracle_sql(cases: dict) -> dict[str, str]:
         "user_conversations_page": _user_conversations(limit=25),
         "user_conversations_by_id": _user_conversations(only=user, limit=25),
         "conversations_page": _conversations(),
+        "conversations_page_deep": _conversations(**cases["conversations_deep"]),
         "conversations_total": _conversations_total(),
         "conversations_page_filtered": _conversations(**cut(listed)),
         "conversations_total_filtered": _conversations_total(**listed["filters"]),
@@ -413,6 +425,7 @@ def oracle_sql(cases: dict) -> dict[str, str]:
         "conversation_messages_errors": _conversation_messages(role=detail["role"], errors_only=True),
         "conversation_match_counts": _match_counts(detail["query"], detail["role"]),
         "messages_page": _messages(),
+        "messages_page_deep": _messages(**cases["messages_deep"]),
         "messages_total": _messages_total(),
         "messages_page_filtered": _messages(**cut(texts)),
         "messages_total_filtered": _messages_total(**texts["filters"]),
