@@ -12,6 +12,7 @@ import datetime as dt
 import os
 import sys
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +23,7 @@ from chatlens.plans import (activity, conversations, kpis, messages,  # noqa: E4
 from chatlens.functions.timefns import ntz  # noqa: E402
 from chatlens.operators import integrity  # noqa: E402
 from chatlens.session import ensure_checkpoint_dir  # noqa: E402
-from chatlens.streaming import replay  # noqa: E402
+from chatlens.streaming import additive, replay  # noqa: E402
 from chatlens.sources.fixtures import (FIXTURE_AS_OF, from_testdata,  # noqa: E402
                                        message_events, stored_testdata, with_planted_faults)
 import oracle  # noqa: E402
@@ -30,11 +31,16 @@ import oracle  # noqa: E402
 SMOKE_DIR = "/root/testdata/sf0.001"
 AS_OF = FIXTURE_AS_OF
 
+# the subpackage is optional: its absence is no error, but a library that it lacks is one
 try:
+    import chatlens.llm  # noqa: F401
     import corpus_pipeline
-    from chatlens.llm import queries as llm_queries
-except ImportError:  # the subpackage is optional
+except ModuleNotFoundError as error:
+    if error.name not in ("chatlens.llm", "corpus_pipeline"):
+        raise
     corpus_pipeline = llm_queries = None
+else:
+    from chatlens.llm import queries as llm_queries
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -124,6 +130,24 @@ def _stream(job: Callable[..., DataFrame], **params):
     return run
 
 
+def _late_activity(spark: SparkSession, sf_dir: str, hourly: bool) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    states = replay.replay_states(from_testdata(spark, sf_dir), additive.ACTIVITY, "t1-late")
+    return additive.activity_from_states(spark, states, AS_OF, hourly)
+
+
+def _late_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    tables = from_testdata(spark, sf_dir)
+    return additive.top_tools_from_states(replay.replay_states(tables, additive.TOOLS, "t2-late"), tables, AS_OF)
+
+
+def _late_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    states = replay.replay_states(from_testdata(spark, sf_dir), additive.ROLLUP, "t3-late")
+    return additive.rollup_from_states(states)
+
+
 def _faulty(check: Callable[..., DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return check(with_planted_faults(from_testdata(spark, sf_dir)))
@@ -257,6 +281,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_activity_hourly": _stream(replay.replay_activity, as_of=AS_OF),
         "stream_activity_daily": _stream(replay.replay_activity, as_of=AS_OF, hourly=False),
         "stream_top_tools": _stream(replay.replay_top_tools, as_of=AS_OF),
+        "stream_late_activity_hourly": partial(_late_activity, hourly=True),
+        "stream_late_activity_daily": partial(_late_activity, hourly=False),
+        "stream_late_top_tools": _late_tools,
+        "stream_late_conversation_rollup": _late_rollup,
         "stream_conversation_rollup": _stream(replay.replay_conversation_rollup),
         "stream_dedup_messages": _stream(replay.replay_dedup),
     }

@@ -1,9 +1,8 @@
 """The derived text columns the UI shows next to the numbers.
 
-All are built-in expressions (no Python per row). Where the UI's JavaScript
-and the JVM differ, the JVM result is used and documented:
-* C5 rounds to tenths of a second in decimal, half up (``1450 ms -> 1.5s``);
-  JavaScript's ``toFixed`` rounds the binary double (``1.4s``).
+All are built-in expressions (no Python per row). C5 rounds the binary double
+to tenths of a second, as JavaScript's ``toFixed`` does (``1450 ms -> 1.4s``).
+Elsewhere, where the UI's JavaScript and the JVM differ, the JVM result is used:
 * C8 counts code points; JavaScript's ``slice`` counts UTF-16 units.
 * C9 matches case-insensitively with Unicode case folding, like the ``i``
   flag of a JavaScript regex.

@@ -169,8 +169,8 @@ def latest_conversation_rollup(spark: SparkSession, path: str,
     folders newer than the snapshot are read.
     """
     versions = spark.read.parquet(path)
-    if snapshot_path:
-        snap = _snapshot(spark, snapshot_path)
+    snap = _snapshot(spark, snapshot_path) if snapshot_path else None
+    if snap is not None:  # before the first compaction there are only batches
         covered = snap.agg(F.max("batch_id")).first()[0]
         newer = versions.filter(F.col("batch_id") > F.lit(covered)) if covered is not None \
             else versions

@@ -15,10 +15,12 @@ import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chatlens.schema import MESSAGE_COLUMNS
 from chatlens.session import checkpoint_root
 from chatlens.sources.tables import ChatTables
-from chatlens.streaming import jobs, readback
+from chatlens.streaming import additive, jobs, readback
 
 
 def _workdir(spark: SparkSession, name: str) -> str:
@@ -77,6 +79,27 @@ def replay_conversation_rollup(stream: DataFrame, tables: ChatTables | None = No
     return jobs.latest_conversation_rollup(spark, f"{work}/out")
 
 
+def late_waves(tables: ChatTables, waves: int = 4) -> str:
+    """The messages landed as files of ``waves`` arrivals, the newest days first: all but the first wave's rows
+    are days too late for any watermark. Returns the folder."""
+    spark = tables.messages.sparkSession
+    inbox = _workdir(spark, "late")
+    turn = F.coalesce(F.pmod(-F.dayofmonth("timestamp"), F.lit(waves)), F.lit(0))
+    for k in range(waves):
+        # later arrivals get later file times, which is the order that a stream of files takes
+        (tables.messages.select(MESSAGE_COLUMNS).filter(turn == k).coalesce(1).write.mode("append").parquet(inbox))
+    return inbox
+
+
+def replay_states(tables: ChatTables, spec: additive.StateSpec, name: str, waves: int = 4) -> DataFrame:
+    """Merged states of a stream whose rows come late, one wave to a micro-batch."""
+    spark = tables.messages.sparkSession
+    inbox, work = late_waves(tables, waves), _workdir(spark, name)
+    stream = jobs.message_stream(spark, inbox, max_files_per_trigger=1)
+    _run(additive.start_states(stream, spec, f"{work}/out", f"{name}-{work[-8:]}", checkpoint=f"{work}/ckpt"))
+    return additive.read_states(spark, spec, f"{work}/out")
+
+
 def replay_dedup(stream: DataFrame, tables: ChatTables | None = None, copies: int = 2,
                  delay: str = "1 hour") -> DataFrame:
     """T4 over the stream arriving ``copies`` times: one row per message id."""

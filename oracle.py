@@ -363,6 +363,13 @@ FROM m_ JOIN range(1, 1 + (SELECT max(len(tools_used)) FROM m_)) p(i) ON p.i <=
   n_assistant::BIGINT AS assistant_messages, n_error AS error_count, ms_sum AS latency_sum, ms_n AS latency_count,
   t_first AS first_message_at, t_last AS last_message_at, t_error AS last_error_at,
   CAST({MEAN} AS BIGINT) AS avg_assistant_response_time_ms FROM k_""", PER_CONVERSATION),
+        # rows that come late for any watermark are in these answers too
+        "stream_late_activity_hourly": HOURLY,
+        "stream_late_activity_daily": DAILY,
+        "stream_late_top_tools": TOP_TOOLS,
+        "stream_late_conversation_rollup": _with(f"""SELECT k AS conversation_id, n AS total_messages, n_user::BIGINT AS user_messages,
+  n_assistant::BIGINT AS assistant_messages, n_error AS error_count, t_first AS first_message_at, t_last AS last_message_at,
+  t_error AS last_error_at, CAST({MEAN} AS BIGINT) AS avg_assistant_response_time_ms FROM k_""", PER_CONVERSATION),
         "stream_dedup_messages": _with("SELECT * FROM m_"),
     }
 
