@@ -182,7 +182,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stored_messages_page_deep": _stored(messages.messages_list, **CASES["messages_deep"]),
         "stored_messages_page_filtered": _stored(
             messages.messages_list, limit=mf["limit"], offset=mf["offset"], **mf["filters"]),
+        "stored_messages_total_filtered": _stored(messages.messages_total, **mf["filters"]),
         "stored_errors_page": _stored(messages.errors_list),
+        "stored_errors_total_filtered": _stored(messages.errors_total, **ef["filters"]),
         "activity_hourly": _q(activity.activity_hourly, True, as_of=AS_OF),
         "activity_daily": _q(activity.activity_daily, True, as_of=AS_OF),
         "kpi_stats": _q(kpis.kpi_stats, as_of=AS_OF),

@@ -33,7 +33,9 @@ KEY_COLUMNS = ["id", "timestamp", "conversation_id"]
 
 def _filtered(tables: ChatTables, conversation_id, role, has_error, search,
               date_from, date_to) -> DataFrame:
-    return tables.messages.filter(all_of(
+    """The messages that pass; for a text, from the files that can hold it where the tables carry an index."""
+    found = tables.text_index.candidates(search) if search and tables.text_index is not None else None
+    return (tables.messages if found is None else found).filter(all_of(
         key_equals("conversation_id", conversation_id),
         role_equals("role", role),
         date_range("timestamp", date_from, date_to,

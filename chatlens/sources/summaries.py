@@ -14,6 +14,7 @@ So the answers are those of the tables, however the files came there.
     root/summaries/versions/version=N     (kind, name, value): files, loads, runs
     root/summaries/<summary>/load=N       partial states
     root/summaries/<order>/run=N          sorted keys (operators.ranked)
+    root/summaries/text_index/load=N      trigrams (sources.textindex)
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from chatlens import schema as S
 from chatlens.functions.predicates import assistant_latency_sample
 from chatlens.operators.ranked import RankedOrder, write_run
 from chatlens.operators.rollups import ROLLUP_MERGE, finish_rollup, rollup_states
+from chatlens.sources.textindex import TextIndex, write_index
 
 TABLES = ("users", "conversations", "messages")
 SCHEMAS = {"users": S.USERS, "conversations": S.CONVERSATIONS, "messages": S.MESSAGES}
@@ -112,6 +114,8 @@ ORDERS = {
 }
 #: Per-user counts, made from the conversations and the conversation rollup when either changes as a whole.
 USER_ROLLUP = "user_rollup"
+#: Inverted index of the messages' texts.
+TEXT_INDEX = "text_index"
 _USER_ROLLUP = "user_id long, conversation_count long, message_count long, error_count long"
 
 
@@ -170,7 +174,7 @@ def write_version(spark: SparkSession, root: str, version: Version) -> None:
 
 def _next_number(spark: SparkSession, root: str) -> int:
     """Above every version and every load, also those that a failed refresh left."""
-    taken = [int(n.split("=")[1]) for folder in ("versions", *SUMMARIES, *ORDERS, USER_ROLLUP)
+    taken = [int(n.split("=")[1]) for folder in ("versions", *SUMMARIES, *ORDERS, USER_ROLLUP, TEXT_INDEX)
              for n in _children(spark, f"{root}/summaries/{folder}") if "=" in n]
     return max(taken, default=0) + 1
 
@@ -213,6 +217,12 @@ def refresh_summaries(spark: SparkSession, root: str, tables: dict[str, DataFram
                       **({} if slice_rows is None else {"slice_rows": slice_rows}))
             runs.append(version.number)
         version.loads[name] = runs
+    indexed = [] if gone["messages"] or compact else list(kept.loads.get(TEXT_INDEX, []))
+    paths = sorted(now["messages"].values()) if not indexed else [now["messages"][f] for f in new["messages"]]
+    if paths:
+        write_index(spark, paths, f"{root}/summaries/{TEXT_INDEX}/load={version.number}", **({} if slice_rows is None else {"block_rows": slice_rows}))
+        indexed.append(version.number)
+    version.loads[TEXT_INDEX] = indexed
     if compact or gone["messages"] or gone["conversations"] or new["conversations"] or not kept.loads.get(USER_ROLLUP):
         _write_user_rollup(spark, root, tables["conversations"], version)
     else:
@@ -287,6 +297,9 @@ def read_summaries(spark: SparkSession, root: str, tables: dict[str, DataFrame],
             extra = _rows(spark, root, o.source, live[o.source]) if live[o.source] else None
             orders[name] = RankedOrder(spark, [f"{root}/summaries/{name}/run={n}" for n in version.loads.get(name, [])], o.sort, o.prefix, o.extra, extra)
     out["orders"] = orders
+    if not stale["messages"] and version.loads.get(TEXT_INDEX):
+        out["text_index"] = TextIndex(spark, root, [f"{root}/summaries/{TEXT_INDEX}/load={n}" for n in version.loads[TEXT_INDEX]],
+                                      live["messages"], tables["messages"].schema)
     if "conversation_rollup" in out and not stale["conversations"] and not live["conversations"] and version.loads.get(USER_ROLLUP):
         s = SUMMARIES["conversation_rollup"]
         after = [n for n in version.loads["conversation_rollup"] if n not in version.loads[f"{USER_ROLLUP}_of"]]

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from chatlens import schema as S
 from chatlens.sources.summaries import UserStates, count_days, read_summaries, refresh_summaries  # noqa: F401
+from chatlens.sources.textindex import TextIndex
 
 
 @dataclass(frozen=True)
@@ -38,8 +39,8 @@ class ChatTables:
     ``message_days`` optionally holds one row for each ``msg_date`` (NULL for
     messages without a time): ``messages``, ``errors``, ``last_timestamp``.
 
-    ``latency_hours`` (A8), ``active_days`` (A3), ``user_states`` (A9) and ``orders`` (L1-L3) are the
-    other stored summaries; reports that find one read it instead of the tables.
+    ``latency_hours`` (A8), ``active_days`` (A3), ``user_states`` (A9), ``orders`` (L1-L3) and ``text_index`` (F8) are
+    the other stored summaries; reports that find one read it instead of the tables.
     """
 
     users: DataFrame
@@ -52,6 +53,7 @@ class ChatTables:
     active_days: DataFrame | None = None
     user_states: UserStates | None = None
     orders: dict | None = None
+    text_index: TextIndex | None = None
 
 
 def _with_partition_column(schema: T.StructType) -> T.StructType:
@@ -112,6 +114,14 @@ def append_messages(spark: SparkSession, root: str, messages: DataFrame, rows_pe
     return refresh(spark, root)
 
 
+def _with_bloom(writer, columns: tuple[str, ...]):
+    """a bloom filter for each row group and key column, of a size that fits the number of its values."""
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+    for c in columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    return writer
+
+
 def write_tables(tables: ChatTables, root: str, mode: str = "overwrite",
                  rows_per_file: int = 5_000_000, num_files: int | None = None,
                  slice_rows: int | None = None) -> None:
@@ -125,9 +135,9 @@ def write_tables(tables: ChatTables, root: str, mode: str = "overwrite",
     file still holds contiguous conversations, so row-group statistics on
     ``conversation_id`` and ``timestamp`` prune lookups.
     """
-    for name, columns in (("users", S.USER_COLUMNS), ("conversations", S.CONVERSATION_COLUMNS)):
-        (getattr(tables, name).select(columns).repartitionByRange("id").sortWithinPartitions("id")
-            .write.mode(mode).parquet(f"{root}/{name}"))
+    for name, columns, looked_up in (("users", S.USER_COLUMNS, ("ms_user_id",)), ("conversations", S.CONVERSATION_COLUMNS, ("user_id", "thread_id"))):
+        rows = getattr(tables, name).select(columns).repartitionByRange("id").sortWithinPartitions("id")
+        _with_bloom(rows.write.mode(mode), looked_up).parquet(f"{root}/{name}")
     _write_messages(tables.messages, root, mode, rows_per_file, num_files)
     refresh(tables.messages.sparkSession, root, slice_rows=slice_rows)
 
@@ -138,7 +148,7 @@ def _write_messages(messages: DataFrame, root: str, mode: str, rows_per_file: in
     if num_files is None:
         num_files = max(1, -(-msgs.count() // rows_per_file))
     order = [S.MESSAGE_DATE_PARTITION, "conversation_id", "timestamp"]
-    (msgs.repartitionByRange(num_files, *order)
-        .sortWithinPartitions(*order)
-        .write.mode(mode).partitionBy(S.MESSAGE_DATE_PARTITION)
+    rows = msgs.repartitionByRange(num_files, *order).sortWithinPartitions(*order)
+    # within a day's range of conversations, a filter tells the days on which one has no message
+    (_with_bloom(rows.write.mode(mode), ("conversation_id", "id")).partitionBy(S.MESSAGE_DATE_PARTITION)
         .parquet(f"{root}/messages"))
