@@ -29,7 +29,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+    found = secret_scan.secret_spans(table(spark, sf_dir, "documents"), words_path=public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "guess_costs")
 
 

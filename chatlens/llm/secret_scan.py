@@ -1,7 +1,7 @@
 """Secret scan: fixed formats, and guess costs of values in credential contexts.
 
 The guess cost of a value is the least sum, over all ways to cut it into spans, of
-each span's cost in log10 of guesses: a listed word, a date, a repeat of
+each span's cost in log10 of guesses: a word of a ranked dictionary, a date, a repeat of
 a shorter block, a walk over neighbouring keys or consecutive characters, or
 brute force. A value that stands where credentials stand and costs at least a
 threshold is a secret.
@@ -9,7 +9,7 @@ threshold is a secret.
 
 from __future__ import annotations
 
-import hashlib
+import json
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -38,79 +38,132 @@ CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|(?:api|access|private|account|secret|encryption|signing|storage|master|shared|service|client|auth)[ _.-]?key
 |(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:pass|auth(?:orization)?|bearer|login))
 (?:(?:[_.-]|[0-9]|(?-i:(?<=[a-z])[A-Z]))[A-Za-z0-9_.-]*+)?+
-(?:["']?[\x20\t]*(?::=|=>|[:=]|\bis\b)[\x20\t]*["']?(?:(?:bearer|basic)[\x20\t]+)?+(?=([^\s"'<>,;]{6,})))?""".replace("\n", ""),
+(?:["']?[\x20\t]*(?::=|=>|[:=]|\bis\b)[\x20\t]*["']?(?:(?:bearer|basic)[\x20\t]+)?+(?=([^\s"'<>,;]+)))?""".replace("\n", ""),
     re.ASCII | re.IGNORECASE)
 
-#: Common words and passwords, the commonest first.
-WORDS = """password admin welcome login letmein monkey dragon master qwerty secret test guest root user hello sunshine
-princess football baseball shadow superman michael trustno iloveyou changeme default access server system
-service backup oracle manager example sample token key pass love star summer winter spring autumn
-the and for are but not you all any can had her was one our out day get has him his how man new now old see two way who
-boy did its let put say she too use that with have this will your from they know want been good much some time
+#: Common passwords, the commonest first. The words of a dictionary come after them.
+PASSWORDS = """password welcome login letmein monkey dragon master qwerty secret test guest root user hello sunshine
+princess football baseball shadow superman michael trustno iloveyou changeme default access
 """.split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
+RANK = {w: i + 1 for i, w in enumerate(PASSWORDS)}
+#: Letters of a word at least and at most.
+SHORT, LONG = 3, 20
 LEET = str.maketrans("013457@$!", "oieastasi")
 #: Rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 NEXT_KEYS = {c: {r[j] for r in (row, *([ROWS[y - 1]] if y else []), *ROWS[y + 1:y + 2]) for j in (x - 1, x, x + 1) if 0 <= j < len(r)} - {c}
              for y, row in enumerate(ROWS) for x, c in enumerate(row)}
-DATE = re.compile(r"(?:19|20)[0-9]{2}([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}")
+_DAY, _MONTH, _YEAR = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
+DATE = re.compile(rf"{_YEAR}([-/.]?){_MONTH}\1{_DAY}|{_DAY}([-/.]?){_MONTH}\2{_YEAR}|{_YEAR}")
 #: log10 of: days in two centuries, years in two centuries, keys to start from, ways on from a key, another span.
-DAY, YEAR, START, STEP, SPAN = math.log10(73050), math.log10(200), math.log10(47), math.log10(2.5), math.log10(4)
-BLOCK = 12
+DAY, YEAR, START, STEP, SPAN = math.log10(73050), math.log10(200), math.log10(47), 0.2, math.log10(4)
+#: Characters of a block that repeats; what each further character of the repeat costs; the cost at which counting ends.
+BLOCK, AGAIN, ENOUGH = 12, 1e-4, 50.0
+_RUN = re.compile(r"(.{1,%d}?)\1{40,}" % BLOCK, re.DOTALL)
+
+
+@lru_cache(4)
+def dictionary(path: str) -> dict[str, int]:
+    """Ranks of the common passwords, then of the whole words of a BPE vocabulary (a ``tokenizers`` JSON file with a
+    suffix at word ends), which has the more frequent words first."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix = model["end_of_word_suffix"]
+    words = sorted((i, w[:-len(suffix)]) for w, i in model["vocab"].items() if w.endswith(suffix))
+    ranks = dict(RANK)
+    for _, w in words:
+        if SHORT <= len(w) <= LONG and w.isalpha():
+            ranks.setdefault(w, len(ranks) + 1)
+    return ranks
 
 
 def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation needs; 0 for an empty value."""
-    n, low = len(value), value.lower()
-    if len(low) != n:
-        low = value
-    plain = low.translate(LEET)
-    best = [0.0] + [math.inf] * n  # of all cuts of the first characters
-    brute = [math.inf] * (n + 1)  # of those that end in a brute-force span
-    walk = [0] * (n + 1)  # characters of the walk that ends here
-    for i in range(1, n):
-        a, b = low[i - 1], low[i]
-        walk[i] = walk[i - 1] + 1 if b in NEXT_KEYS.get(a, ()) or abs(ord(b) - ord(a)) == 1 and b.isalnum() and a.isalnum() else 0
-
-    def reach(i, j, cost):
-        best[j] = min(best[j], best[i] + cost + SPAN)
-
-    for i in range(n):
-        brute[i + 1] = min(best[i] + SPAN, brute[i]) + _brute(value[i])
-        best[i + 1] = min(best[i + 1], brute[i + 1])
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            for form, more in ((low[i:j], 0.0), (plain[i:j], 0.5)):
-                if rank := RANK.get(form):
-                    part = value[i:j]
-                    reach(i, j, math.log10(rank + 1) + more + (0.0 if part.islower() else 0.3 if part[1:].islower() or part.isupper() else 1.0))
-        if date := DATE.match(value, i):
-            reach(i, date.end(), YEAR if date.end() - i == 4 else DAY)
-            if date.end() - i > 4:
-                if (year := value[i:i + 4])[:2] in ("19", "20"):
-                    reach(i, i + 4, YEAR) if year.isdigit() else None
-        for size in range(1, min(BLOCK, (n - i) // 2) + 1):
-            block = value[i:i + size]
-            times = 1
-            while value.startswith(block, i + times * size):
-                times += 1
-            if times > 1 and times * size >= 3 and (i < size or value[i - size:i] != block):
-                reach(i, i + times * size, sum(map(_brute, block)) + math.log10(times))
-        long = 1
-        while i + long < n and walk[i + long] and walk[i + long] >= long:
-            long += 1
-        if long >= 3 and (i == 0 or not walk[i]):
-            for j in range(i + 3, i + long + 1):
-                reach(i, j, START + STEP * math.log2(j - i))
-    return best[n]
-
-
-cost_of = lru_cache(1 << 14)(guess_cost)
+def _shortened(value: str) -> tuple[str, int]:
+    """``value`` without the middles of very long repeats, and how many characters these had.
+
+    Nothing else covers a character as cheaply as a repeat that goes on, so the middle of a long one is always
+    part of it, whatever stands at its ends."""
+    gone = 0
+
+    def cut(m: re.Match) -> str:
+        nonlocal gone
+        size = len(m[1])
+        times = max(0, (len(m[0]) // size) - 40)
+        gone += times * size
+        return m[0][times * size:]
+
+    return _RUN.sub(cut, value), gone
+
+
+def word_cost(part: str, ranks: dict[str, int]) -> float:
+    """Cost of a span as one word, as it is or with digits and signs for letters; infinite if it is none."""
+    best, low = math.inf, part.lower()
+    for form, more in ((low, 0.0), (low.translate(LEET), 0.5)):
+        if rank := ranks.get(form):
+            best = min(best, math.log10(rank + 1) + more + (0.0 if part == low else 0.3 if part[1:].islower() or part.isupper() else 1.0))
+    return best
+
+
+def _next(a: str, b: str) -> bool:
+    a, b = a.lower(), b.lower()
+    return b in NEXT_KEYS.get(a, ()) or len(a) == len(b) == 1 and abs(ord(b) - ord(a)) == 1 and a.isalnum() and b.isalnum()
+
+
+def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
+    """log10 of the guesses that the cheapest segmentation needs, ``ENOUGH`` at most; 0 for an empty value.
+
+    Each span costs ``SPAN`` and: a word its rank (upper case and substitutions more); a date or year their number; a repeat
+    (three characters at least) its block by brute force and ``AGAIN`` for each further character; a walk of three
+    or more neighbouring keys or consecutive characters ``START`` and ``STEP`` for each step; brute force each character's class.
+
+    Spans that may be long are states that go on character by character, so the work is in
+    proportion to the value, and no segmentation is left out. It ends once every state costs ``ENOUGH``.
+    """
+    ranks = RANK if ranks is None else ranks
+    value, gone = _shortened(value)
+    n, inf = len(value), math.inf
+    best, bits = [0.0] + [inf] * n, [0.0] * (n + 1)  # of all cuts of the first characters; of brute force on them
+    repeat = [[inf] * (n + 1) for _ in range(BLOCK + 1)]
+    same = [0] * (BLOCK + 1)  # characters up to here that equal those a block before
+    brute = walk = inf
+    steps = 0
+    for j in range(1, n + 1):
+        c = value[j - 1]
+        one = _brute(c)
+        bits[j] = bits[j - 1] + one
+        cost = brute = min(best[j - 1] + SPAN, brute) + one
+        for size in range(1, min(BLOCK, j - 1) + 1):
+            same[size] = same[size] + 1 if c == value[j - 1 - size] else 0
+            if same[size] >= size:
+                on = repeat[size][j - size] + size * AGAIN
+                if size > 1:
+                    on = min(on, best[j - 2 * size] + SPAN + bits[j - size] - bits[j - 2 * size] + size * AGAIN)
+                elif same[1] >= 2:
+                    on = min(on, best[j - 3] + SPAN + one + 2 * AGAIN)
+                repeat[size][j] = on
+                cost = min(cost, on)
+        steps = steps + 1 if j > 1 and _next(value[j - 2], c) else 0
+        walk = min(walk + STEP, best[j - 3] + SPAN + START + 2 * STEP) if steps >= 2 else inf
+        cost = min(cost, walk)
+        for size in range(SHORT, min(LONG, j) + 1):
+            if best[j - size] + SPAN < cost:
+                cost = min(cost, best[j - size] + SPAN + word_cost(value[j - size:j], ranks))
+        if c.isdigit():
+            for size, days in ((4, YEAR), (8, DAY), (10, DAY)):
+                if j >= size and value[j - size].isdigit() and DATE.fullmatch(value, j - size, j):
+                    cost = min(cost, best[j - size] + SPAN + days)
+        best[j] = cost
+        if j % 32 == 0 and min(brute, walk, *best[max(0, j - 2 * BLOCK):j + 1], *(r[k] for r in repeat for k in range(max(0, j - BLOCK), j + 1))) >= ENOUGH:
+            return ENOUGH
+    return min(best[n] + gone * AGAIN, ENOUGH)
+
+
+@lru_cache(1 << 14)
+def cost_of(value: str, words_path: str | None) -> float:
+    return guess_cost(value, dictionary(words_path) if words_path else None)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -125,7 +178,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def credential_values(text: str) -> list[tuple[int, int, float]]:
+def credential_values(text: str, words_path: str | None = None) -> list[tuple[int, int, float]]:
     """(start, end, guess cost) of the values in credential contexts."""
     low = text.lower()
     if not (":" in text or "=" in text or " is" in low) or not any(w in low for w in CONTEXT_WORDS):
@@ -133,8 +186,9 @@ def credential_values(text: str) -> list[tuple[int, int, float]]:
     out = []
     for m in CONTEXT.finditer(text):
         value = (m[1] or "").rstrip(".!?)]}")
-        if len(value) >= 6:
-            out.append((m.start(1), m.start(1) + len(value), cost_of(value)))
+        if value:
+            cost = cost_of(value, words_path) if len(value) < 1000 else guess_cost(value, dictionary(words_path) if words_path else None)
+            out.append((m.start(1), m.start(1) + len(value), cost))
     return out
 
 
@@ -142,14 +196,14 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], s[0], s[2])))
 
 
-def _scan(threshold: float):
+def _scan(threshold: float, words_path: str | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             for text in batch.column(1):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                values = credential_values(text)
+                values = credential_values(text, words_path)
                 more = [(3, a, b) for a, b, cost in values
                         if cost >= threshold and not any(s <= a and b <= e for _, s, e in base)]
                 counts = [sum(k == kind for k, _, _ in base) for kind in range(3)]
@@ -162,18 +216,20 @@ def _scan(threshold: float):
     return run
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 10.0) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 10.0,
+                 words_path: str | None = None) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base, spans, guess_costs``, a row for each of ``docs``.
 
     ``base`` and ``spans`` list ``kind:start:end`` (code points, end exclusive) by
     start, then kind; ``spans`` adds ``guess``, the credential-context values that cost at
     least ``10 ** threshold`` guesses and lie in no base span. ``guess_costs`` lists
-    ``start:end:log10`` of every such value. Null and empty texts have no spans;
+    ``start:end:log10`` of every value in a credential context, however short; costs end at ``ENOUGH``. ``words_path`` names a
+    BPE vocabulary whose words are the dictionary (else: a few passwords). Null and empty texts have no spans;
     repeated rows and null ids stay rows of their own. Other columns are ignored. Each
     row is handled alone, so nothing is shuffled.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan(threshold), "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, guess_costs string")
+    return rows.mapInArrow(_scan(threshold, words_path), "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, guess_costs string")
 
 
 def masked(text: str, spans: str, mark: str = "[SECRET]") -> str:
@@ -185,7 +241,3 @@ def masked(text: str, spans: str, mark: str = "[SECRET]") -> str:
                 out += [text[at:a], mark]
             at = b
     return "".join(out) + text[at:]
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
