@@ -307,3 +307,34 @@ def test_whole_licence_texts(spark):
     docs = [(i, t) for i, (_, t) in texts.items()] + [(200, own["GPL-3.0"].replace("free", "costly"))]
     got = licences.licence_scan(spark.createDataFrame(docs, "doc_id long, text string"), licences.known_licences(spark)).filter("scope = 'text'").collect()
     assert {r["doc_id"]: r["licence"] for r in got} == {i: name for i, (name, _) in texts.items()}
+
+
+def test_masks_see_every_pair_of_replaced_words():
+    """Wherever the words lie that may differ in an accepted window, one mask ignores them all."""
+    for n in (11, 12, 13):
+        differ = n - math.ceil(decontaminate.AGREE * n)
+        for out in itertools.combinations(range(n), differ):
+            assert any(all(k - at not in range(11) or mask[k - at] == "0" for k in out) for mask in decontaminate.MASKS for at in range(n - 10)), (n, out)
+    for n in range(decontaminate.LEAST, 11):
+        assert len({*decontaminate.masks_of(n, 0.8)}) == math.comb(n, n - math.ceil(0.8 * n))
+
+
+def test_every_accepted_copy_is_found(spark):
+    """Items of 3 to 15 words, copied with as many replaced words as are accepted, at random places."""
+    rng = random.Random(11)
+    items, docs, want = [], [], set()
+    for n in (3, 5, 7, 9, 10, 11, 12, 13, 15):
+        for k in range(12):
+            item = [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+            i = len(items)
+            items.append((i, " ".join(item)))
+            copy = list(item)
+            window = min(n, 13)
+            for at in rng.sample(range(window), window - math.ceil(0.8 * window)):
+                copy[at] = f"x{rng.randrange(10 ** 6)}"
+            around = [f"y{rng.randrange(10 ** 6)}" for _ in range(0 if n < decontaminate.LEAST else 9)]
+            docs.append((i, " ".join(around + copy + around)))
+            want.add((i, i))
+    docs.append((999, items[0][1] + " and more"))  # a short item inside a text tells nothing
+    found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
