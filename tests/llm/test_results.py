@@ -342,7 +342,7 @@ def test_language_model_keeps_every_context_apart(spark, monkeypatch):
     assert (same.length == code.length).all() and (same.rank == code.rank).all()
     got = {}
     for r in answers.collect():
-        keys, n = (np.frombuffer(r[c], np.int64).tolist() for c in ("keys", "counts"))
+        keys, n = (context_mixing._unpressed(r[c]).tolist() for c in ("keys", "counts"))
         for k, c in zip(keys, n):
             own = got.setdefault((r["bucket"], r["ord"], k >> 8), {}) if r["ord"] else {}
             assert k & 0xFF not in own
