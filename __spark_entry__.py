@@ -21,11 +21,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from chatlens.plans import (activity, conversations, kpis, messages,  # noqa: E402
                             tools, users, views)
 from chatlens.functions.timefns import ntz  # noqa: E402
-from chatlens.operators import integrity  # noqa: E402
+from chatlens.operators import integrity, keys  # noqa: E402
 from chatlens.session import ensure_checkpoint_dir  # noqa: E402
 from chatlens.streaming import additive, replay  # noqa: E402
 from chatlens.sources.fixtures import (FIXTURE_AS_OF, from_testdata,  # noqa: E402
-                                       message_events, stored_testdata, with_planted_faults)
+                                       message_events, registered_testdata, stored_testdata,
+                                       with_planted_faults)
 import oracle  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -148,6 +149,11 @@ def _late_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive.rollup_from_states(states)
 
 
+def _registered_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 over the same tables from key registries that took them in three appends."""
+    return keys.registered_duplicates(registered_testdata(spark, sf_dir))
+
+
 def _faulty(check: Callable[..., DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return check(with_planted_faults(from_testdata(spark, sf_dir)))
@@ -271,6 +277,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "users_page_deep": _q(users.users_list, limit=CASES["users_deep"]["limit"],
                               offset=CASES["users_deep"]["offset"]),
         "dq_duplicate_keys": _faulty(integrity.duplicate_keys),
+        "stored_dq_duplicate_keys": _registered_duplicates,
         "dq_duplicate_key_summary": _faulty(integrity.duplicate_key_summary),
         "dq_required_nulls": _faulty(integrity.required_nulls),
         "dq_orphans": _faulty(integrity.orphan_summary),

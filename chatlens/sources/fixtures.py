@@ -158,3 +158,32 @@ def with_planted_faults(tables: ChatTables) -> ChatTables:
         conversation_id=F.when(key % 41 == 0, -F.col("conversation_id")).otherwise(F.col("conversation_id")),
         role=F.when(key % 43 != 0, F.col("role")), content=F.when(key % 47 != 0, F.col("content")))
     return ChatTables(users=users, conversations=conversations, messages=messages)
+
+
+def dealt(tables: ChatTables, of: int, n: int) -> ChatTables:
+    """Every n-th row of each table, whatever it holds, so that copies of a key come apart. The tables must be stored ones."""
+    part = lambda df: df.filter(F.pmod(F.monotonically_increasing_id(), F.lit(n)) == of)
+    return replace(tables, users=part(tables.users), conversations=part(tables.conversations), messages=part(tables.messages))
+
+
+def registered_testdata(spark: SparkSession, sf_dir: str) -> dict:
+    """Key registries of the tables with planted faults: two appends that were compacted, and a third one.
+
+    Written once for a session, below its shared checkpoint folder."""
+    from chatlens.operators.keys import register_batch, registries
+    from chatlens.session import ensure_checkpoint_dir, materialize
+    folder = ensure_checkpoint_dir(spark)
+    key = (spark.sparkContext.applicationId, sf_dir, "keys")
+    found = with_planted_faults(from_testdata(spark, sf_dir))
+    if key in _STORED:
+        return registries(spark, _STORED[key], found)
+    tables = replace(found, users=materialize(found.users), conversations=materialize(found.conversations), messages=materialize(found.messages))
+    root = f"{folder}/keys-{uuid.uuid4().hex}"
+    kept = registries(spark, root, tables)
+    for batch in range(3):
+        if batch == 2:
+            for registry in kept.values():
+                registry.compact()
+        register_batch(kept, dealt(tables, batch, 3), batch)
+    _STORED[key] = root
+    return kept

@@ -377,7 +377,7 @@ FROM m_ JOIN range(1, 1 + (SELECT max(len(tools_used)) FROM m_)) p(i) ON p.i <=
 #: Reports that are also registered over the stored layout, whose answers are those of the tables.
 STORED = ("kpi_stats", "table_health", "users_page", "users_page_deep", "users_page_search", "user_by_id", "user_conversations_by_id",
           "conversations_page", "conversations_page_deep", "conversations_page_filtered", "conversations_page_of_user", "conversation_detail",
-          "messages_page", "messages_page_deep", "messages_page_filtered", "messages_total_filtered", "errors_page", "errors_total_filtered")
+          "messages_page", "messages_page_deep", "messages_page_filtered", "messages_total_filtered", "errors_page", "errors_total_filtered", "dq_duplicate_keys")
 
 
 def oracle_sql(cases: dict) -> dict[str, str]:
