@@ -137,6 +137,10 @@ def text_words(text: str) -> list[str]:
     return [w for line in text.split("\n") for w in line_words(line)]
 
 
+#: Most known digests that are broadcast; each is a row of a digest and a name.
+BROADCAST_ROWS = 100_000
+
+
 def known_licences(spark: SparkSession, texts=None) -> DataFrame:
     """``digest, licence, words`` of ``texts`` (default ``KNOWN``), one row a digest."""
     rows: dict[str, tuple[str, int]] = {}
@@ -182,12 +186,16 @@ def licence_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
 
     No equivalent spelling turns more than two words into one, so what has more
     than twice the words of the longest known text can't be equal to any and is not
-    digested; that bound is read from ``known``. Digests are joined by hash, and
-    Spark broadcasts the known side if it is small.
+    digested; that bound is read from ``known``. Digests are joined by hash: with up to
+    ``BROADCAST_ROWS`` known digests (some 20 MB) these go to the corpus, which stays in place; a larger table is
+    shuffled and merged with the corpus' digests. The corpus is never broadcast.
     """
-    most = 2 * (known.agg(F.max("words")).first()[0] or 0)
+    longest, size = known.agg(F.max("words"), F.count("*")).first()
+    most = 2 * (longest or 0)
+    side = known.select("digest", "licence")
+    side = F.broadcast(side) if size <= BROADCAST_ROWS else side.hint("merge")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(_units(most), "doc_id long, line long, digest string")
-    return (found.join(known.select("digest", "licence"), "digest")
+    return (found.join(side, "digest")
             .groupBy("doc_id", F.when(F.col("line") == 0, "text").otherwise("line").alias("scope"), "line", "licence")
             .agg(F.count("*").alias("n")))

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from chatlens.llm.common import table
 from chatlens.llm import components, context_mixing, decontaminate, licences, line_spread, packing, pii, queries, quality, secret_scan, simhash, topk
 from tests.conftest import SF_MID, SF_SMALL
 from tests.llm import brute
@@ -329,6 +330,20 @@ def test_licences(spark):
     assert {(r["doc_id"], r["scope"], r["line"], r["licence"]) for r in got} == {(1, "text", 0, "MIT"), (2, "line", 2, "MIT"), (2, "text", 0, "CC-BY-NC-4.0")}
 
 
+def test_licence_join_moves_the_known_side(spark, monkeypatch):
+    """A small table of known texts goes to the corpus; a larger one is merged with it, with equal results."""
+    docs = table(spark, SF_MID, "documents")
+    scan = lambda: licences.licence_scan(docs, licences.known_licences(spark))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    small = scan()
+    assert "BuildRight" in plan(small) and "BuildLeft" not in plan(small)
+    monkeypatch.setattr(licences, "BROADCAST_ROWS", 0)
+    large = scan()
+    assert "SortMergeJoin" in plan(large) and "BroadcastHashJoin" not in plan(large)
+    rows = sorted(map(tuple, small.collect()))
+    assert rows and rows == sorted(map(tuple, large.collect()))
+
+
 def test_nra_equals_brute_force():
     rng = np.random.default_rng(0)
     x = np.floor(256 * rng.normal(size=(900, 12)))
