@@ -14,7 +14,7 @@ So the answers are those of the tables, however the files came there.
     root/summaries/versions/version=N     (kind, name, value): files, loads, runs
     root/summaries/<summary>/load=N       partial states
     root/summaries/<order>/run=N          sorted keys (operators.ranked)
-    root/summaries/text_index/load=N      trigrams (sources.textindex)
+    root/summaries/trigrams/load=N        inverted index (sources.textindex)
 """
 
 from __future__ import annotations
@@ -114,8 +114,8 @@ ORDERS = {
 }
 #: Per-user counts, made from the conversations and the conversation rollup when either changes as a whole.
 USER_ROLLUP = "user_rollup"
-#: Inverted index of the messages' texts.
-TEXT_INDEX = "text_index"
+#: Inverted index of the messages' texts. Where only the index of an earlier layout (``text_index``) lies, a refresh makes this one.
+TEXT_INDEX = "trigrams"
 _USER_ROLLUP = "user_id long, conversation_count long, message_count long, error_count long"
 
 

@@ -20,22 +20,26 @@ from pyspark.sql import functions as F
 from chatlens import schema as S
 from chatlens.functions.patterns import contains_pattern
 
-#: Rows of a block; beyond so many blocks a text counts as common.
-BLOCK_ROWS, COMMON = 20_000, 1_000
+#: Rows of a block; beyond so many blocks a text counts as common; ranges of conversations that a search names at most.
+BLOCK_ROWS, COMMON, RANGES = 20_000, 1_000, 64
 
 
 def write_index(spark: SparkSession, paths: list[str], path: str, block_rows: int = BLOCK_ROWS) -> None:
-    """Index the message files ``paths`` under ``path``: ``grams`` (sorted by trigram) and ``blocks``."""
+    """Index the message files ``paths`` under ``path``: ``grams`` (sorted by trigram) and ``blocks``.
+
+    A block's key is a hash of its file and number. Blocks that share one are found together, which only reads more."""
+    block = F.floor(F.col("_metadata.row_index") / F.lit(block_rows))
     rows = spark.read.schema(S.MESSAGES).parquet(*paths).select(
-        F.lower("content").alias("t"), "conversation_id", F.col("_metadata.file_path").alias("file"),
-        F.floor(F.col("_metadata.row_index") / F.lit(block_rows)).alias("block"))
-    each = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring("t", i, F.lit(3))))
-    grams = (rows.filter(F.length("t") >= 3).select(F.explode(each).alias("gram"), "file", "block")
-             .groupBy("gram", "file", "block").agg(F.lit(1).alias("_")).drop("_"))
-    (grams.repartitionByRange("gram", "file", "block").sortWithinPartitions("gram", "file", "block")
+        F.lower("content").alias("t"), "conversation_id", F.col("_metadata.file_path").alias("file"), block.alias("block"),
+        F.xxhash64("_metadata.file_path", block).alias("key"))
+    # a look ahead at every place: one pass over the text, however long it is
+    each = F.array_distinct(F.regexp_extract_all("t", F.lit("(?s)(?=(...))"), 1))
+    grams = (rows.filter(F.length("t") >= 3).select(F.explode(each).alias("gram"), "key")
+             .groupBy("gram", "key").agg(F.lit(1).alias("_")).drop("_"))
+    (grams.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key")
      .write.option("parquet.block.size", 8 << 20).parquet(f"{path}/grams"))
-    (rows.groupBy("file", "block").agg(F.min("conversation_id").alias("low"), F.max("conversation_id").alias("high"),
-                                       F.count_if(F.col("conversation_id").isNull()).alias("without"))
+    (rows.groupBy("key", "file", "block").agg(F.min("conversation_id").alias("low"), F.max("conversation_id").alias("high"),
+                                              F.count_if(F.col("conversation_id").isNull()).alias("without"))
      .write.parquet(f"{path}/blocks"))
 
 
@@ -55,6 +59,20 @@ def literal_runs(pattern: str) -> list[str]:
     return [r for r in runs if r]
 
 
+def joined_ranges(ranges: list[tuple], most: int = RANGES) -> list[tuple]:
+    """At most ``most`` ranges that together hold every value of ``ranges``: those that meet become one, then those
+    with the smallest gaps between them."""
+    out: list[tuple] = []
+    for low, high in sorted(ranges):
+        if out and low <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    gaps = sorted(range(1, len(out)), key=lambda i: out[i][0] - out[i - 1][1], reverse=True)[:most - 1]
+    edges = [0, *sorted(gaps), len(out)] if out else []
+    return [(out[a][0], out[b - 1][1]) for a, b in zip(edges, edges[1:])]
+
+
 class TextIndex:
     """The index of one root's messages, and the files that are in no load yet."""
 
@@ -71,8 +89,8 @@ class TextIndex:
         found = []
         for load in self.loads:
             hits = (self.spark.read.parquet(f"{load}/grams").filter(F.col("gram").isin(grams))
-                    .groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(grams)))
-            found.append(self.spark.read.parquet(f"{load}/blocks").join(hits, ["file", "block"]).select("file", "low", "high", "without"))
+                    .groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(grams)))
+            found.append(self.spark.read.parquet(f"{load}/blocks").join(hits, "key").select("file", "low", "high", "without"))
         return reduce(DataFrame.unionByName, found)
 
     def _read(self, files: list[str]) -> DataFrame:
@@ -88,7 +106,9 @@ class TextIndex:
             return None
         parts = [self._read(self.live)] if self.live else []
         if blocks:
-            inside = [F.col("conversation_id").between(b["low"], b["high"]) for b in blocks if b["low"] is not None]
+            # a few ranges that may hold more than the blocks: each adds to the depth of the filter's expression
+            ranges = joined_ranges([(b["low"], b["high"]) for b in blocks if b["low"] is not None])
+            inside = [F.col("conversation_id").between(*r) for r in ranges]
             inside += [F.col("conversation_id").isNull()] if any(b["without"] for b in blocks) else []
             parts.append(self._read(sorted({b["file"] for b in blocks})).filter(reduce(lambda a, b: a | b, inside)))
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self.schema)

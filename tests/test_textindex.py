@@ -9,7 +9,8 @@ from chatlens import schema as S
 from chatlens.plans import messages
 from chatlens.sources import ChatTables, append_messages, load_tables, write_tables
 from chatlens.sources.tables import _write_messages
-from chatlens.sources.textindex import literal_runs
+from chatlens.sources import tables as stored_tables
+from chatlens.sources.textindex import RANGES, joined_ranges, literal_runs
 from tests.handmade import make_tables
 
 ODD = ["50% of a_b \\ c", "GRÜSSE ÄÖÜ und Straße", "İstanbul ΣΊΣΥΦΟΣ", "ab", "", "aa%bb__cc", "needle in Hay", "日本語テキスト", "back\\slash\\%"]
@@ -96,3 +97,36 @@ def test_bloom_filters_skip_row_groups(spark, scratch):
     absent = [scanned(spark, stored.filter(F.col("user_id") == v)) for v in (1, 777, 20_001, 39_997)]
     assert all(v > 0 for v in there) and sum(v == 0 for v in absent) >= 3
     assert scanned(spark, stored.filter(F.col("thread_id") == "t-5x")) == 0
+
+
+def test_a_text_in_many_blocks(spark, scratch):
+    """Nearly as many blocks as an index lists: the filter names a few ranges of conversations, not each block."""
+    base = make_tables(spark)
+    root, rows = f"{scratch}/many", chat(spark, 450)
+    every = rows.withColumn("content", F.when(F.col("id") % 11 == 7, F.concat(F.lit("Zebra "), "content")).otherwise(F.col("content")))
+    write_tables(ChatTables(base.users, base.conversations, every), root, num_files=12, slice_rows=10)
+    indexed = load_tables(spark, root, summaries=True)
+    assert indexed.text_index.blocks(indexed.text_index.trigrams("zebra")).count() > 400
+    assert indexed.text_index.candidates("zebra") is not None
+    want = every.filter(F.col("content").ilike("%zebra%") & F.col("error").isNotNull()).count()
+    assert messages.messages_total(indexed, search="zebra", has_error=True).first().total == want
+    assert messages.errors_total(indexed, search="zebra", date_from=dt.date(2024, 3, 1)).first().total > 0
+
+
+def test_joined_ranges_hold_every_value():
+    assert joined_ranges([]) == [] and joined_ranges([(5, 9), (1, 3), (4, 6)]) == [(1, 9)]
+    assert joined_ranges([(0, 1), (10, 11), (13, 14), (90, 91)], 2) == [(0, 14), (90, 91)]
+    many = [(i * i, i * i + 1) for i in range(1000)]
+    out = joined_ranges(many)
+    assert len(out) == RANGES and all(any(a <= low and high <= b for a, b in out) for low, high in many)
+
+
+def test_long_messages_are_written_by_more_tasks(spark, scratch, monkeypatch):
+    """A task sorts a bounded number of bytes, whatever the number of rows in a file."""
+    base = make_tables(spark)
+    monkeypatch.setattr(stored_tables, "TASK_BYTES", 64 << 10, raising=False)
+    root, rows = f"{scratch}/bytes", chat(spark, 150).filter(F.col("timestamp").isNotNull())
+    _write_messages(rows, root, "overwrite", 5_000_000, None)
+    kept = spark.read.parquet(f"{root}/messages")
+    assert kept.count() == rows.count()
+    assert len({f.split("/part-")[1][:5] for f in kept.inputFiles()}) >= 5
