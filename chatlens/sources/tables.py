@@ -56,6 +56,10 @@ class ChatTables:
     text_index: TextIndex | None = None
 
 
+#: Bytes of messages that a task sorts and writes, and those of a row without its texts.
+TASK_BYTES, ROW_BYTES = 128 << 20, 192
+
+
 def _with_partition_column(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields) + [
         T.StructField(S.MESSAGE_DATE_PARTITION, T.DateType(), True)])
@@ -128,8 +132,8 @@ def write_tables(tables: ChatTables, root: str, mode: str = "overwrite",
     """Store the three tables and the summaries as parquet under ``root``.
 
     Messages are range-partitioned on (day, conversation_id, timestamp) into
-    ``num_files`` tasks (default: one per ``rows_per_file`` rows, from a
-    count) and sorted the same way within each file. Range boundaries come
+    ``num_files`` tasks (default: one per ``rows_per_file`` rows or
+    ``TASK_BYTES``, from a count) and sorted the same way within each file. Range boundaries come
     from a sample, so a hot day or a conversation holding a third of all rows
     is split across many files by time instead of landing in one task; each
     file still holds contiguous conversations, so row-group statistics on
@@ -146,7 +150,9 @@ def _write_messages(messages: DataFrame, root: str, mode: str, rows_per_file: in
     msgs = (messages.select(S.MESSAGE_COLUMNS)
             .withColumn(S.MESSAGE_DATE_PARTITION, F.to_date("timestamp")))
     if num_files is None:
-        num_files = max(1, -(-msgs.count() // rows_per_file))
+        size = F.lit(ROW_BYTES) + sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in ("content", "sql_query", "error"))
+        rows, n_bytes = msgs.agg(F.count(F.lit(1)), F.sum(size)).first()
+        num_files = max(1, -(-rows // rows_per_file), -(-(n_bytes or 0) // TASK_BYTES))
     order = [S.MESSAGE_DATE_PARTITION, "conversation_id", "timestamp"]
     rows = msgs.repartitionByRange(num_files, *order).sortWithinPartitions(*order)
     # within a day's range of conversations, a filter tells the days on which one has no message
