@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Words whose ids a Python worker remembers (about 150 bytes each), and bytes of text encoded at a time.
-REMEMBERED, BYTES = 1_000_000, 1 << 23
+REMEMBERED, BYTES = 500_000, 1 << 21
 #: Partitions whose open windows are merged together.
 MERGED = 64
 
@@ -227,6 +227,7 @@ def _pack(path: str, end_id: int, size: int, n_open: int, max_pad: int):
         out = []
         windows.close(out)
         yield rows(out)
+        pa.default_memory_pool().release_unused()
     return run
 
 
