@@ -15,8 +15,9 @@ the contexts that it has, under their own keys. So what is learnt grows with the
 contexts share a count, and a task holds one bucket or one part at a time. Word counts, for the unigram
 baseline, go the same way.
 
-The first weights are fitted before the texts are scored: in one of several buckets, on a share of its training texts,
-with every occurrence left out of its own counts, and averaged over the buckets by bytes.
+The first weights are fitted before the texts are scored, to all training texts: each bucket adds up the first and second
+derivatives of their coding cost, with every occurrence left out of its own counts, and the sums over all buckets give
+one Newton step.
 """
 
 from __future__ import annotations
@@ -45,9 +46,8 @@ KNOWN, UNKNOWN = (0.1, 0.3, 0.7), (0.2, 0.9, 0.0)
 PRIOR, RATE, PULL, UNIT = 0.15, 0.5, 32, 1 / 2048
 #: Depths in the tree that have weights of their own.
 GATES = 8
-#: The first weights are fitted to one in ``FIT_SHARE`` training texts (by a hash of the id) of one in ``FIT_BUCKETS``
-#: buckets (by a hash, and the first one), at every size; in how many steps.
-FIT_SHARE, FIT_BUCKETS, FIT_STEPS = 16, 8, 10
+#: What is added to a second derivative, in bits, and the longest step of a weight.
+RIDGE, STEP = 32.0, 0.5
 #: Bytes of text in a bucket, up to the end of the text that fills it, and partitions at most.
 BUCKET, PARTITIONS = 32 << 20, 20_000
 END = 255  # no byte of UTF-8
@@ -181,7 +181,7 @@ def _bucketed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = full + np.cumsum(size + GRAM)
         bucket = base + (ends - size - GRAM) // BUCKET
         full = int(ends[-1]) if len(ends) else full
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(bucket)], ["doc_id", "text", "held_out", "fit", "size", "bucket"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(bucket)], ["doc_id", "text", "held_out", "size", "bucket"])
 
 
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -423,7 +423,9 @@ class Mixer:
 
     def places(self, gram: np.ndarray, without: bool = False) -> list[np.ndarray]:
         """For each order, where ``odds`` finds the predictions for each n-gram's last byte; ``without`` one occurrence of it."""
-        own, at = distinct(gram)
+        return self._places(*distinct(gram), without)
+
+    def _places(self, own: np.ndarray, at: np.ndarray, without: bool) -> list[np.ndarray]:
         self.tables, out = [], []
         for k, o in enumerate(self.orders):
             short = own & ((1 << 8 * (o + 1)) - 1)
@@ -539,14 +541,50 @@ class Mixer:
             weights += (self.rate * UNIT * gradient / (seen + PULL)).astype(np.float32)
         return -cost
 
-    def fitted(self, texts: pa.Array, steps: int = FIT_STEPS) -> np.ndarray:
+    def slopes(self, texts: pa.Array) -> np.ndarray:
+        """Sums over all bits of some training texts, each occurrence left out of its own counts, by whether the longest
+        context is known and gate: for each order, the derivative of the negative cost by its weight, then the second
+        derivatives of the cost. Equal n-grams give equal terms, so each distinct one is looked at once."""
+        own, at = distinct(grams(*joined(texts)))
+        times = np.bincount(at, minlength=len(own)).astype(np.float32)
+        symbol, where = (own & 0xFFFF).astype(np.uint16), self._places(own, np.arange(len(own), dtype=np.int32), True)
+        length, n = self.code.length[symbol], len(self.orders)
+        out = np.zeros((2, GATES, n, 1 + n))
+        for d in range(len(self.code.sign)):
+            keep = np.flatnonzero(length > d)
+            if not len(keep):
+                break
+            if len(keep) < len(symbol):
+                symbol, length, times, where = symbol[keep], length[keep], times[keep], [w[keep] for w in where]
+            odds = np.stack([self.odds(k, d, w, symbol) for k, w in enumerate(where)])
+            new = odds[-1] == 0
+            gate = min(d, GATES - 1)
+            for unknown, these in ((0, np.flatnonzero(~new)), (1, np.flatnonzero(new))):
+                if not len(these):
+                    continue
+                x = odds[:, these] * np.float32(UNIT)
+                sign = self.code.sign[d][symbol[these]]
+                e = np.exp(np.clip((self.first[:, unknown, gate] @ x) * -sign, -15, 15))
+                e /= 1 + e
+                by = times[these] * e
+                out[unknown, gate, :, 0] += x @ (by * sign)
+                out[unknown, gate, :, 1:] += (x * (by * (1 - e))) @ x.T
+        return out
+
+    def fitted(self, texts: pa.Array) -> np.ndarray:
         """First weights that suit some training texts, each occurrence left out of its own counts."""
-        gram = grams(*joined(texts))
-        symbol, place = (gram & 0xFFFF).astype(np.uint16), self.places(gram, without=True)
-        weights = self.first[..., None].copy()
-        for _ in range(steps):
-            self._mix(symbol, place, np.array([len(gram)]), weights)
-        return weights[..., 0]
+        return stepped(self.first, self.slopes(texts))
+
+
+def stepped(first: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+    """Weights one Newton step from ``first``, by the sums of ``Mixer.slopes``."""
+    out = first.copy()
+    for unknown in range(2):
+        for gate in range(GATES):
+            own = slopes[unknown, gate]
+            step = np.linalg.solve(own[:, 1:] + RIDGE * np.eye(len(own)), own[:, 0])
+            out[:, unknown, gate] += np.round(np.clip(step, -STEP, STEP), 4)
+    return out
 
 
 def _known(rows: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -557,16 +595,15 @@ def _known(rows: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fit(code):
-    """``place, weight, size``: the weights that suit a bucket's texts, and how many bytes these have."""
+    """``place, slope``: what a bucket's training texts add to ``Mixer.slopes``."""
     def run(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
-        size = sum(texts["size"].to_pylist())
-        place, weight = np.zeros(0, np.int64), np.zeros(0)
-        if size:
+        sums = np.zeros(0)
+        if texts.num_rows:
             mixer = Mixer(code.value, [_known(known, o) for o in ORDERS])
-            own = [mixer.fitted(part[s.start:s.stop]) for part in [lowered(texts["text"].combine_chunks())] for s in parts_of(part)]
-            weight = np.mean(own, axis=0, dtype=np.float64).ravel()
-            place = np.arange(len(weight))
-        return pa.table({"place": pa.array(place), "weight": pa.array(weight), "size": pa.array(np.full(len(place), size, np.int64))})
+            every = lowered(texts["text"].combine_chunks())
+            sums = sum(mixer.slopes(every[s.start:s.stop]) for s in parts_of(every, SCORED)).ravel()
+        pa.default_memory_pool().release_unused()
+        return pa.table({"place": pa.array(np.arange(len(sums))), "slope": pa.array(sums)})
     return run
 
 
@@ -629,23 +666,22 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     counts of its own words and contexts, so no task holds the vocabulary or the model.
     """
     held = F.coalesce(held_out, F.lit(True))
-    fit = ~held & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(FIT_SHARE)) == 0)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"), fit.alias("fit"))
-    rows = stored(rows.mapInArrow(_bucketed, "doc_id long, text string, held_out boolean, fit boolean, size long, bucket long"), "texts", "zstd")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"))
+    rows = stored(rows.mapInArrow(_bucketed, "doc_id long, text string, held_out boolean, size long, bucket long"), "texts", "zstd")
     code, answers, tokens, types = model(rows)
     code = rows.sparkSession.sparkContext.broadcast(code)
-    buckets, least, ends = rows.agg(F.count_distinct("bucket"), F.min("bucket"), F.count_if(~F.col("held_out"))).first()
+    buckets, ends = rows.agg(F.count_distinct("bucket"), F.count_if(~F.col("held_out"))).first()
     partitions = max(1, min(buckets, PARTITIONS))
 
     def by_bucket(part: DataFrame):
         return part.repartition(partitions, "bucket").groupBy("bucket")
 
-    first = first_weights()
-    some = (F.pmod(F.xxhash64("bucket"), F.lit(FIT_BUCKETS)) == 0) | (F.col("bucket") == F.lit(least))
-    fitted = (by_bucket(rows.filter(some & F.col("fit")).select("text", "size", "bucket")).cogroup(by_bucket(answers.filter(some & (F.col("ord") > 0))))
-              .applyInArrow(_fit(code), "place long, weight double, size long"))
-    for r in fitted.groupBy("place").agg(F.round(F.sum(F.col("weight") * F.col("size")) / F.sum("size"), 4).alias("weight")).collect():
-        first.flat[r["place"]] = r["weight"]
+    slopes = np.zeros((2, GATES, len(ORDERS), 1 + len(ORDERS)))
+    fitted = (by_bucket(rows.filter(~F.col("held_out")).select("text", "bucket")).cogroup(by_bucket(answers.filter(F.col("ord") > 0)))
+              .applyInArrow(_fit(code), "place long, slope double"))
+    for r in fitted.groupBy("place").agg(F.sum("slope").alias("slope")).collect():
+        slopes.flat[r["place"]] = r["slope"]
+    first = stepped(first_weights(), slopes)
     return (by_bucket(rows.select("doc_id", "text", "held_out", "bucket")).cogroup(by_bucket(answers))
             .applyInArrow(_score(code, first, tokens + ends, types + (ends > 0), ends),
                           "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"))
