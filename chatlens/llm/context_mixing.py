@@ -17,7 +17,7 @@ baseline, go the same way.
 
 The first weights are fitted before the texts are scored, to all training texts: each bucket adds up the first and second
 derivatives of their coding cost, with every occurrence left out of its own counts, and the sums over all buckets give
-one Newton step.
+one Newton step. For this a bucket needs no texts: its answers say how often each n-gram occurs in its training texts.
 """
 
 from __future__ import annotations
@@ -51,8 +51,8 @@ RIDGE, STEP = 32.0, 0.5
 #: Bytes of text in a bucket, up to the end of the text that fills it, and partitions at most.
 BUCKET, PARTITIONS = 32 << 20, 20_000
 END = 255  # no byte of UTF-8
-#: Bytes counted and scored at a time, distinct n-grams or words kept before they are passed on, and bytes between updates of a text's weights: from, to.
-CHUNK, SCORED, HELD = 1 << 20, 4 << 20, 1 << 20
+#: Bytes counted and scored at a time, distinct n-grams or words kept before they are passed on, distinct n-grams fitted at a time, and bytes between updates of a text's weights: from, to.
+CHUNK, SCORED, HELD, FITTED = 1 << 20, 4 << 20, 1 << 20, 1 << 19
 #: Numbers in a packed row: Spark reads thousands of rows at a time.
 ROW = 1024
 UPDATE = (512, 8192)
@@ -184,6 +184,21 @@ def _bucketed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(bucket)], ["doc_id", "text", "held_out", "size", "bucket"])
 
 
+def _bundled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``bucket, texts``: for each run of about ``CHUNK`` bytes of a bucket's texts, its rows as one compressed Arrow stream.
+    In a shuffle this takes about two thirds of what the texts do, each in a row of its own."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        for bucket in pc.unique(table["bucket"]).to_pylist():
+            own = table.filter(pc.equal(table["bucket"], bucket)).drop_columns("bucket")
+            for s in parts_of(own["text"].combine_chunks().fill_null("")):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=options) as out:
+                    out.write_table(own[s.start:s.stop])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "texts"])
+
+
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
@@ -204,10 +219,11 @@ def _unpressed(data: bytes) -> np.ndarray:
 _PRESS, _UNPRESS = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
 
 
-def _packed(rows: list[tuple], names: list[str]) -> pa.Table:
-    """Rows whose last two columns are arrays of 64-bit numbers, at most ``ROW`` of them in a row."""
-    rows = [(*r[:-2], *(_pressed(x[a:a + ROW].astype(np.int64, copy=False)) for x in r[-2:])) for r in rows for a in range(0, len(r[-1]), ROW)]
-    kinds = [pa.int64()] * (len(names) - 2) + [pa.binary()] * 2
+def _packed(rows: list[tuple], names: list[str], arrays: int = 2) -> pa.Table:
+    """Rows whose last columns are arrays of 64-bit numbers, or none after the first one, at most ``ROW`` of them in a row."""
+    rows = [(*r[:-arrays], *(x if x is None else _pressed(x[a:a + ROW].astype(np.int64, copy=False)) for x in r[-arrays:]))
+            for r in rows for a in range(0, len(r[-arrays]), ROW)]
+    kinds = [pa.int64()] * (len(names) - arrays) + [pa.binary()] * arrays
     return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
 
@@ -265,11 +281,12 @@ def _statistics(parts: int):
     return run
 
 
-ANSWERS = "bucket long, ord long, keys binary, counts binary, own binary"
+ANSWERS = "bucket long, ord long, keys binary, counts binary, times binary, own binary"
 
 
 def _answers(shares: pa.Table) -> pa.Table:
-    """``ANSWERS`` rows of one part: for each bucket, its words with their counts, and all n-grams of its contexts with theirs.
+    """``ANSWERS`` rows of one part: for each bucket, its words with their counts, and all n-grams of its contexts with theirs;
+    for the longest contexts also how many ``times`` each n-gram is in the bucket's own training texts.
 
     A row of bucket -1 has, in ``own``, what the part adds to the tokens, to the distinct words and to each pair of bytes.
     """
@@ -282,7 +299,8 @@ def _answers(shares: pa.Table) -> pa.Table:
             continue
         here = here[np.argsort(bucket[here], kind="stable")]
         keys = _numbers(key_column, here)
-        total, sums = _added(list(zip(keys, _numbers(count_column, here))))
+        counts = _numbers(count_column, here)
+        total, sums = _added(list(zip(keys, counts)))
         if o:
             total, sums = total[sums > 0], sums[sums > 0]
             context = total >> 8
@@ -292,7 +310,7 @@ def _answers(shares: pa.Table) -> pa.Table:
             pairs = _added([(total & 0xFFFF, sums)])
         edges = np.flatnonzero(np.r_[True, np.diff(bucket[here]) != 0, True])
         for a, b in zip(edges, edges[1:]):
-            own = np.concatenate(keys[a:b])
+            own, times = np.concatenate(keys[a:b]), None
             if o:
                 asked = np.unique(own >> 8)
                 low, high = np.searchsorted(context, asked), np.searchsorted(context, asked + 1)
@@ -300,12 +318,16 @@ def _answers(shares: pa.Table) -> pa.Table:
                 at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
             else:
                 at = np.searchsorted(total, np.unique(own))
-            rows.append((bucket[here[a]], o, total[at], sums[at]))
-    out = _packed(rows, ["bucket", "ord", "keys", "counts"])
+            if o == ORDERS[-1]:
+                learnt, n = _added(list(zip(keys[a:b], counts[a:b])))
+                times = np.zeros(len(at), np.int64)
+                times[np.searchsorted(total[at], learnt[n > 0])] = n[n > 0]
+            rows.append((bucket[here[a]], o, total[at], sums[at], times))
+    out = _packed(rows, ["bucket", "ord", "keys", "counts", "times"], 3)
     out = out.append_column("own", pa.nulls(len(out), pa.binary()))
     own = _pressed(np.r_[tokens, types, pairs[0], pairs[1]].astype(np.int64))
     pa.default_memory_pool().release_unused()
-    return pa.concat_tables([out, pa.table([pa.array([-1]), pa.array([0]), pa.array([b""]), pa.array([b""]), pa.array([own], pa.binary())], names=out.column_names)])
+    return pa.concat_tables([out, pa.table([pa.array([-1]), pa.array([0]), pa.array([b""]), pa.array([b""]), pa.nulls(1, pa.binary()), pa.array([own], pa.binary())], names=out.column_names)])
 
 
 def _part_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -542,11 +564,14 @@ class Mixer:
         return -cost
 
     def slopes(self, texts: pa.Array) -> np.ndarray:
-        """Sums over all bits of some training texts, each occurrence left out of its own counts, by whether the longest
-        context is known and gate: for each order, the derivative of the negative cost by its weight, then the second
-        derivatives of the cost. Equal n-grams give equal terms, so each distinct one is looked at once."""
+        """``gram_slopes`` of some training texts."""
         own, at = distinct(grams(*joined(texts)))
-        times = np.bincount(at, minlength=len(own)).astype(np.float32)
+        return self.gram_slopes(own, np.bincount(at, minlength=len(own)))
+
+    def gram_slopes(self, own: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Sums over all bits of training texts that have some distinct n-grams so many times, each occurrence left out of
+        its own counts, by whether the longest context is known and gate: for each order, the derivative of the negative
+        cost by its weight, then the second derivatives of the cost. Equal n-grams give equal terms, so each is looked at once."""
         symbol, where = (own & 0xFFFF).astype(np.uint16), self._places(own, np.arange(len(own), dtype=np.int32), True)
         length, n = self.code.length[symbol], len(self.orders)
         out = np.zeros((2, GATES, n, 1 + n))
@@ -567,6 +592,7 @@ class Mixer:
                 e = np.exp(np.clip((self.first[:, unknown, gate] @ x) * -sign, -15, 15))
                 e /= 1 + e
                 by = times[these] * e
+                x = x.astype(np.float64)
                 out[unknown, gate, :, 0] += x @ (by * sign)
                 out[unknown, gate, :, 1:] += (x * (by * (1 - e))) @ x.T
         return out
@@ -587,21 +613,23 @@ def stepped(first: np.ndarray, slopes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _known(rows: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+def _known(rows: pa.Table, order: int, column: str = "counts") -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts that a bucket got for one order."""
     here = np.flatnonzero(rows["ord"].to_numpy() == order)
     none = [np.zeros(0, np.int64)]
-    return np.concatenate(_numbers(rows["keys"], here) or none), np.concatenate(_numbers(rows["counts"], here) or none)
+    return np.concatenate(_numbers(rows["keys"], here) or none), np.concatenate(_numbers(rows[column], here) or none)
 
 
 def _fit(code):
-    """``place, slope``: what a bucket's training texts add to ``Mixer.slopes``."""
-    def run(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
-        sums = np.zeros(0)
-        if texts.num_rows:
-            mixer = Mixer(code.value, [_known(known, o) for o in ORDERS])
-            every = lowered(texts["text"].combine_chunks())
-            sums = sum(mixer.slopes(every[s.start:s.stop]) for s in parts_of(every, SCORED)).ravel()
+    """``place, slope``: what the n-grams of a bucket's training texts add to ``Mixer.gram_slopes``."""
+    def run(key: tuple, known: pa.Table) -> pa.Table:
+        gram, times = _known(known, ORDERS[-1], "times")
+        gram, times = gram[times > 0], times[times > 0]
+        # as in ``distinct``: those that are equal in their last bytes next to each other
+        turn = np.argsort((gram & 0xFFFFFF) << 24 | (gram >> 24 & 0xFF) << 16 | gram >> 32)
+        gram, times = gram[turn], times[turn]
+        mixer = Mixer(code.value, [_known(known, o) for o in ORDERS])
+        sums = np.sum([mixer.gram_slopes(gram[a:a + FITTED], times[a:a + FITTED]) for a in range(0, len(gram), FITTED)], axis=0).ravel() if len(gram) else np.zeros(0)
         pa.default_memory_pool().release_unused()
         return pa.table({"place": pa.array(np.arange(len(sums))), "slope": pa.array(sums)})
     return run
@@ -613,6 +641,7 @@ def _score(code, first: np.ndarray, train_tokens: int, types: int, ends: int):
         turn = np.argsort(keys)
         keys, counts = keys[turn], counts[turn]
         mixer = Mixer(code.value, [_known(known, o) for o in ORDERS], first)
+        texts = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for c in texts["texts"].chunks for b in c])
         every = lowered(texts["text"].combine_chunks())
         n_words, n_known, base, cost = [], [], [], []
         for s in parts_of(every, SCORED):
@@ -677,11 +706,11 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
         return part.repartition(partitions, "bucket").groupBy("bucket")
 
     slopes = np.zeros((2, GATES, len(ORDERS), 1 + len(ORDERS)))
-    fitted = (by_bucket(rows.filter(~F.col("held_out")).select("text", "bucket")).cogroup(by_bucket(answers.filter(F.col("ord") > 0)))
-              .applyInArrow(_fit(code), "place long, slope double"))
+    fitted = by_bucket(answers.filter(F.col("ord") > 0)).applyInArrow(_fit(code), "place long, slope double")
     for r in fitted.groupBy("place").agg(F.sum("slope").alias("slope")).collect():
         slopes.flat[r["place"]] = r["slope"]
     first = stepped(first_weights(), slopes)
-    return (by_bucket(rows.select("doc_id", "text", "held_out", "bucket")).cogroup(by_bucket(answers))
+    texts = rows.select("doc_id", "text", "held_out", "bucket").mapInArrow(_bundled, "bucket long, texts binary")
+    return (by_bucket(texts).cogroup(by_bucket(answers.drop("times")))
             .applyInArrow(_score(code, first, tokens + ends, types + (ends > 0), ends),
                           "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"))
