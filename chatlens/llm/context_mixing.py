@@ -573,6 +573,7 @@ class Mixer:
         its own counts, by whether the longest context is known and gate: for each order, the derivative of the negative
         cost by its weight, then the second derivatives of the cost. Equal n-grams give equal terms, so each is looked at once."""
         symbol, where = (own & 0xFFFF).astype(np.uint16), self._places(own, np.arange(len(own), dtype=np.int32), True)
+        times = times.astype(np.float32)
         length, n = self.code.length[symbol], len(self.orders)
         out = np.zeros((2, GATES, n, 1 + n))
         for d in range(len(self.code.sign)):
@@ -592,7 +593,6 @@ class Mixer:
                 e = np.exp(np.clip((self.first[:, unknown, gate] @ x) * -sign, -15, 15))
                 e /= 1 + e
                 by = times[these] * e
-                x = x.astype(np.float64)
                 out[unknown, gate, :, 0] += x @ (by * sign)
                 out[unknown, gate, :, 1:] += (x * (by * (1 - e))) @ x.T
         return out
@@ -625,8 +625,8 @@ def _fit(code):
     def run(key: tuple, known: pa.Table) -> pa.Table:
         gram, times = _known(known, ORDERS[-1], "times")
         gram, times = gram[times > 0], times[times > 0]
-        # as in ``distinct``: those that are equal in their last bytes next to each other
-        turn = np.argsort((gram & 0xFFFFFF) << 24 | (gram >> 24 & 0xFF) << 16 | gram >> 32)
+        # in the order of ``distinct``: those that are equal in their last bytes next to each other
+        turn = np.argsort((gram & 0xFFFFFF) << 24 | (gram >> 24 & 0xFF) << 16 | (gram >> 32 & 0xFF) << 8 | gram >> 40)
         gram, times = gram[turn], times[turn]
         mixer = Mixer(code.value, [_known(known, o) for o in ORDERS])
         sums = np.sum([mixer.gram_slopes(gram[a:a + FITTED], times[a:a + FITTED]) for a in range(0, len(gram), FITTED)], axis=0).ravel() if len(gram) else np.zeros(0)
